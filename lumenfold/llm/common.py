@@ -5,18 +5,34 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 U64 = np.uint64
 
 
+def shipped(spark: SparkSession) -> None:
+    """Sends this package's code to the executors once per application, so it need not be installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_lumenfold_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    archive = Path(tempfile.mkdtemp()) / "lumenfold_code.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "lumenfold").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(archive))
+    context._lumenfold_shipped = True
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    shipped(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, packing, token_counts, token_files
+from . import chat, packing, quality, token_counts, token_files, toxicity
 from .common import read
 
 #: Vocabulary of the token operators; a parameter of each of them.
@@ -17,6 +17,11 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -29,8 +34,15 @@ def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.train(docs, read(spark, sf_dir, "labels")))
+    return toxicity.with_fold(scored).select("doc_id", "held_out", "score", "predicted", "n_passages")
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_chat_formatting, op4_token_counts, op5_packing, op7_token_files)}
+    own = (op1_chat_formatting, op3_quality_classifier, op4_token_counts, op5_packing, op7_token_files, op9_toxicity)
+    return {f.__name__: f for f in own}
 
 
 OP1_SQL = """
