@@ -25,5 +25,5 @@ def sample_of(labels: DataFrame, label: str, folds: int, held_out: int, rows: in
 
 
 def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
-    """text, label of the sampled documents; the sample is bounded, so it is broadcast and texts do not move."""
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label")
+    """text, label of the sampled documents, equal texts once. The bounded sample is broadcast: only its texts move."""
+    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "label").distinct()

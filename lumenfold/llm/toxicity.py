@@ -1,7 +1,7 @@
 """Toxicity by maximum-scoring segments.
 
 A word's score is its log-odds of occurring in toxic against clean documents, with an informative Dirichlet
-prior in proportion to the word's count in the whole corpus, less one standard error, so that a word must be
+prior in proportion to the word's count in the whole corpus, less ERRORS standard errors, so that a word must be
 well attested to count. A constant drift makes the expected score of clean text negative. One linear scan
 finds all maximal scoring segments of a text; the largest of n words of clean text follows an extreme-value law,
 P(S >= s) ~ 1 - exp(-K n exp(-lambda s)), where lambda solves sum p exp(lambda s) = 1 over clean words and K
@@ -23,15 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks, words
+from .common import mix, text_blocks, words
 from .labelled import SAMPLE_ROWS, in_fold, labelled_texts, sample_of
 
 #: Documents of the sample that a word must be in to have a score of its own.
-LEAST_DOCS = 3
+LEAST_DOCS = 4
 #: Most words with a score: those in most sampled documents.
 VOCABULARY = 500_000
-#: Weight of the prior in documents, drift per word, and the E-value below which a segment is a toxic passage.
-PRIOR, DRIFT, SIGNIFICANT = 50.0, 0.15, 1e-2
+#: Weight of the prior in documents, drift per word, standard errors taken off, and the E-value below which a segment is a toxic passage.
+PRIOR, DRIFT, ERRORS, SIGNIFICANT = 50.0, 0.15, 1.5, 1e-2
 MOST, LEAST = 8.0, -1.0
 PASSAGES = T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer").add("score", "double"))
 
@@ -75,14 +75,25 @@ class Model:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[at] == key, self.scores[at], self.other)
 
-    def evidence(self, data: np.ndarray, offsets: np.ndarray, passages: bool = True) -> tuple[np.ndarray, list]:
-        """Per text: top segment's log-significance and the sum of all significant ones'; its passages as bytes."""
+    def scored(self, data: np.ndarray, offsets: np.ndarray):
+        """Words of a block with their scores, cumulative totals, the positive ones and each text's bounds in both.
+
+        A word's second and later occurrences in a text score the drift only: repetition is no new evidence.
+        """
         start, end, key, row = words(data, offsets)
         s = self.word_scores(key)
-        total = np.cumsum(s) - s
         up = np.flatnonzero(s > 0)
+        _, once = np.unique(mix(key[up] + mix(row[up].astype(np.uint64))), return_index=True)
+        again = np.ones(len(up), bool)
+        again[once] = False
+        s[up[again]] = -DRIFT
+        up = up[~again]
         first = np.searchsorted(row, np.arange(len(offsets)))
-        bounds = np.searchsorted(up, first)
+        return start, end, s, np.cumsum(s) - s, up, first, np.searchsorted(up, first)
+
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list]:
+        """Per text: top segment's log-significance and the sum of all significant ones'; its passages as bytes."""
+        start, end, s, total, up, first, bounds = self.scored(data, offsets)
         out, found = np.zeros((len(offsets) - 1, 2)), []
         out[:, 0] = -10.0
         for k in range(len(offsets) - 1):
@@ -180,12 +191,12 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     if not t.sum() or not c.sum():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -DRIFT, 1.0, 0.0, (-4.0, 0.0, 0.0))
     corpus, every = _corpus_counts(docs, keys)
-    prior = PRIOR * corpus / max(every, 1) + 0.1
+    prior = PRIOR * corpus / max(every, 1) + 0.5
     nt, nc = max(t.max(), 1) + PRIOR, max(c.max(), 1) + PRIOR  # documents of each kind: the commonest word is in nearly all
     odds = lambda y, n: np.log((y + prior) / np.maximum(n - y - prior, 0.5))
     delta = odds(t, nt) - odds(c, nc)
     error = np.sqrt(1 / (t + prior) + 1 / (c + prior))
-    solid = np.sign(delta) * np.maximum(np.abs(delta) - error, 0)
+    solid = np.sign(delta) * np.maximum(np.abs(delta) - ERRORS * error, 0)
     scores = np.clip(solid, LEAST, MOST) - DRIFT
     model = Model(keys, scores, -DRIFT, 1.0, 0.0, (0.0, 1.0, 0.0))
     # lambda: over clean words; those outside the vocabulary have the score `other`
@@ -197,12 +208,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text"):
             m = frozen.value
-            n = np.bincount(words(data, offsets)[3], minlength=len(offsets) - 1)
+            _, _, s, total, up, first, bounds = m.scored(data, offsets)
+            n = np.diff(first)
             best = np.zeros(len(n))
-            start, _, key, row = words(data, offsets)
-            s = m.word_scores(key)
-            total, up = np.cumsum(s) - s, np.flatnonzero(s > 0)
-            bounds = np.searchsorted(up, np.searchsorted(row, np.arange(len(n) + 1)))
             for k in range(len(n)):
                 own = up[bounds[k] : bounds[k + 1]]
                 best[k] = max((x for *_, x in segments(own, s[own], total[own])), default=0.0)
