@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, packing, quality, token_counts, token_files, toxicity
+from . import chat, decontamination, embeddings, minhash, packing, quality, token_counts, token_files, toxicity
 from .common import read
 
 #: Vocabulary of the token operators; a parameter of each of them.
@@ -30,6 +30,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(read(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_chat_formatting, op3_quality_classifier, op4_token_counts, op5_packing, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination)
+    own = (op1_chat_formatting, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
