@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, embeddings, minhash, packing, quality, token_counts, token_files, toxicity
+from . import chat, decontamination, embeddings, minhash, packing, quality, substrings, token_counts, token_files, toxicity
 from .common import read
 
 #: Vocabulary of the token operators; a parameter of each of them.
@@ -17,6 +17,10 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format_chats(read(spark, sf_dir, "conversations"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removals(read(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, read(spark, sf_dir, "labels")))
@@ -53,7 +57,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = (op1_chat_formatting, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination)
+    own = (op1_chat_formatting, op2_suffix_array_dedup, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination)
     return {f.__name__: f for f in own}
 
 
