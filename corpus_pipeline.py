@@ -1,21 +1,65 @@
-"""A corpus through five of the operators. Each stage's result is written as Parquet and reread by the next."""
+"""A corpus through five operators: toxic documents go, one document of each near-duplicate class stays, repeated
+passages and benchmark passages are cut out of the texts, and what is left is packed into windows.
+
+Every stage's result is written as Parquet in the shared folder and reread by the next, so a lost executor costs
+one stage's tasks at most. An emptied text stays a row: the packing gives it its end id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lumenfold.llm import packing
-from lumenfold.llm.common import read, written
+from lumenfold.llm import decontamination, minhash, packing, substrings, toxicity
+from lumenfold.llm.common import read, shipped, written
 from lumenfold.llm.queries import TOKENIZER
 
+#: The columns of documents; what all stages but the last return.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+OTHERS = tuple(c for c in COLUMNS if c != "text")
+
+
+def _with_text(df: DataFrame, text: str) -> DataFrame:
+    """COLUMNS with a new text and its length."""
+    return df.select("doc_id", F.col(text).alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shipped(spark)
+    docs = docs.select(*COLUMNS)
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shipped(spark)
+    return minhash.one_of_each(docs.select(*COLUMNS))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shipped(spark)
+    return _with_text(substrings.removals(docs, keep=OTHERS, clean="kept_text"), "kept_text")
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontamination.scan(docs, read(spark, sf_dir, "benchmark"), keep=OTHERS, clean="kept_text")
+    return _with_text(found, "kept_text")
+
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    shipped(spark)
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_copies),
+    ("suffix_array_dedup", without_repeats),
+    ("decontamination", without_benchmark),
+    ("packing", packed),
+]
 
-#: Not expressible in SQL.
+#: SQL cannot express the fitted, sampled and packed stages; the tests hold them against brute force.
 ORACLE_SQL = None
 
 
