@@ -12,7 +12,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 U64 = np.uint64
 
@@ -147,3 +147,49 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     h = (total[ends] - total[starts]) * powers(pow(BASE, -1, 1 << 64), n + 1)[starts]
     h = mix(h + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
     return starts, ends, h, np.searchsorted(offsets, starts, side="right") - 1
+
+
+#: Most bits of a membership filter (8 MB): what is broadcast stays bounded, however many ids there are.
+FILTER_BITS, FILTER_SLICE = 1 << 26, 1 << 16
+
+
+def possible_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows whose `column` may be in `ids`: all that are, and few others.
+
+    A Bloom filter of two hashes, built from slices in tasks and broadcast as one row. It thins a table before a
+    join by shuffle; where there are more ids than it can tell apart it lets more rows through and loses none.
+    """
+    from pyspark.sql import functions as F
+
+    spark = rows.sparkSession
+    ids = ids.select(column).where(F.col(column).isNotNull())
+    bits = min(FILTER_BITS, max(FILTER_SLICE * 8, 1 << (16 * ids.count()).bit_length()))
+    place = lambda k: F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(bits, bool)
+        for b in batches:
+            own[b.column("p").to_numpy()] = True
+        packed = np.packbits(own, bitorder="little").reshape(-1, FILTER_SLICE)
+        at = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([packed[k].tobytes() for k in at], pa.binary())], names=["slice", "bits"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, v in zip(b.column("slice").to_pylist(), b.column("bits").to_pylist(), strict=True):
+                found[k] = found.get(k, np.zeros(FILTER_SLICE, np.uint8)) | np.frombuffer(v, np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["slice", "bits"])
+
+    schema = "slice long, bits binary"
+    marks = ids.select(F.explode(F.array(place(1), place(2))).alias("p")).mapInArrow(mark, schema)
+    whole = bytearray(bits // 8)
+    for r in marks.repartition("slice").mapInArrow(join, schema).collect():
+        whole[r["slice"] * FILTER_SLICE : (r["slice"] + 1) * FILTER_SLICE] = r["bits"]
+    table = spark.createDataFrame([(bytes(whole),)], "_bits binary")
+
+    def marked(p: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.getbit(byte, (p % 8).cast("int")) == 1
+
+    return rows.join(F.broadcast(table), marked(place(1)) & marked(place(2)), "left_semi")
