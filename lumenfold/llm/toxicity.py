@@ -160,10 +160,12 @@ def _corpus_counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
 
 def _rate(p: np.ndarray, s: np.ndarray) -> float:
     """The positive root of sum p exp(rate s) = 1; there is one if the mean is negative and a score positive."""
+    seen = p > 0
+    p, s = p[seen], s[seen]
     if not (s > 0).any() or p @ s >= 0:
         return 1.0
     low, high = 1e-6, 1.0
-    while p @ np.exp(high * s) < 1:
+    while high < 64 and p @ np.exp(high * s) < 1:
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
