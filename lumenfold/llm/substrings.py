@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import U64, blocks, mix, scratch, text_blocks, written
 from .grouping import suffix_arrays
 
-WINDOW, SEED = 50, 16
+WINDOW, SEED, FINE = 50, 16, (32, 41, 46)
+#: Symbols of a lane beyond which its strings are cut by longer anchors before they are compared.
+LARGE = 4096
 #: Bytes of text in a chunk; most windows of a stretch; symbols in one batch of lanes.
 CHUNK, LONGEST, BATCH = 4 << 20, 64, 3 << 19
 #: Bytes of text for each part that anchors are dealt to, and the most parts.
@@ -76,7 +78,7 @@ def chunks_of(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
 # ---- stretches of a chunk
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, offsets: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of a block's texts: first byte, number of windows, anchor key and text of each stretch."""
     none = np.zeros(0, np.int64)
     n = len(data)
@@ -84,13 +86,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
         return none, none, np.zeros(0, np.uint64), none
     h = data.astype(np.uint64) + U64(1)
     width = 1
-    while width < SEED:  # hashes of strings twice as long, from two neighbours
-        h = h[:-width] * U64(0x9E3779B97F4A7C15 + 2 * width) + h[width:]
+    while width < seed:  # hashes of strings up to twice as long, from two that may overlap
+        step = min(width, seed - width)
+        h = h[:-step] * U64(0x9E3779B97F4A7C15 + 2 * width) + h[step:]
         h ^= h >> U64(31)
-        width *= 2
+        width += step
     h *= U64(0xD6E8FEB86659FD93)
     h ^= h >> U64(32)
-    span, width = WINDOW - SEED + 1, 1
+    span, width = WINDOW - seed + 1, 1
     while width * 2 <= span:
         h = np.minimum(h[:-width], h[width:])
         width *= 2
@@ -146,22 +149,18 @@ class Chunk:
 
 
 def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    end = np.cumsum(size)
-    return data[np.arange(int(end[-1]) if len(end) else 0) + np.repeat(first - (end - size), size)]
+    return data[_runs(first, size)]
 
 
 def content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte strings of at most LONGEST + WINDOW - 1 bytes, a column of bytes at a time."""
+    """64-bit hashes of short byte strings, eight bytes of every string at a time."""
     h = mix(size.astype(np.uint64) + U64(11))
-    step = 8
-    padded = np.concatenate([data, np.zeros(step, np.uint8)])
-    for k in range(0, int(size.max(initial=0)), step):
-        on = np.flatnonzero(size > k)
-        at = first[on] + k
-        word = np.zeros(len(on), np.uint64)
-        rest = size[on] - k
-        for b in range(step):
-            word |= np.where(rest > b, padded[at + b], 0).astype(np.uint64) << U64(8 * b)
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    for k in range(0, int(size.max(initial=0)), 8):
+        on = slice(None) if k < WINDOW - 8 else np.flatnonzero(size > k)
+        rest = np.minimum(size[on] - k, 8).astype(np.uint64)
+        word = words[first[on] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
         h[on] = mix(h[on] * U64(0x9E3779B97F4A7C15) + word)
     return h
 
@@ -268,16 +267,8 @@ def least_documents(first: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc
     low = np.repeat(doc, windows)  # of every window, in order
     begin = np.concatenate([[0], np.cumsum(windows)])
     several = np.flatnonzero(per > 1)
-    lane_size = np.add.reduceat(size + 1, at)[several] + 1 if n else np.zeros(0, np.int64)
-    by = np.argsort(lane_size, kind="stable")[::-1]  # lanes of like lengths advance together
-    several, lane_size = several[by], lane_size[by]
-    total = np.cumsum(lane_size)
-    i = 0
-    while i < len(several):
-        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BATCH, side="right")))
-        own = np.concatenate([np.arange(at[g], at[g] + per[g]) for g in several[i:j].tolist()])
-        _lanes(own, per[several[i:j]], lane_size[i:j], first, size, doc, data, begin, low)
-        i = j
+    own = _runs(at[several], per[several])
+    _settle(first[own], size[own], begin[own], np.repeat(several, per[several]), doc[own], data, low, 0)
     run = np.ones(len(low), bool)
     run[1:] = low[1:] != low[:-1]
     run[begin[:-1]] = True
@@ -286,20 +277,90 @@ def least_documents(first: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc
     return np.searchsorted(begin, start, side="right") - 1, length, low[start]
 
 
-def _lanes(own, per, lane_size, first, size, doc, data, begin, low) -> None:
-    """Puts the stretches `own` (per[k] of lane k) through suffix arrays and lowers `low` of equal windows."""
+def _settle(first, size, place, group, doc, data, low, level: int) -> None:
+    """Lowers `low` at equal windows of strings of one group; place: the first window's, doc: of the whole string.
+
+    Strings are cut by the anchors of FINE[level] bytes within them, which equal windows have in common too, and
+    equal pieces become one. Pieces of one such anchor that still differ reach beyond what their documents share:
+    they are compared by suffix arrays, or, where there are very many of them, cut by longer anchors first.
+    """
+    pieces = [_pieces(first[i:j], size[i:j], place[i:j], group[i:j], doc[i:j], data, FINE[level]) for i, j in _whole_groups(size, group, 1 << 20)]
+    if not pieces:
+        return
+    # of each piece: its first window and number of windows in `low`, and which distinct piece it is
+    into, count, which = (np.concatenate([p[k] for p in pieces]) for k in range(3))
+    base = np.cumsum([0] + [len(p[3]) for p in pieces])
+    which = which + np.repeat(base[:-1], [len(p[2]) for p in pieces])
+    start, length, key, least = (np.concatenate([p[k] for p in pieces]) for k in range(3, 7))
+    own_low = np.repeat(least, length)
+    own_begin = np.cumsum(length) - length
+    lane = np.cumsum(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])) - 1
+    several = np.bincount(lane)[lane] > 1
+    large = (np.bincount(lane, length + WINDOW)[lane] > LARGE) & several if level + 1 < len(FINE) else np.zeros(len(lane), bool)
+    few = several & ~large
+    _compare(start[few], length[few] + WINDOW - 1, own_begin[few], lane[few], data, own_low)
+    if large.any():
+        _settle(start[large], length[large] + WINDOW - 1, own_begin[large], lane[large], least[large], data, own_low, level + 1)
+    low[_runs(into, count)] = own_low[_runs(own_begin[which], count)]
+
+
+def _whole_groups(size: np.ndarray, group: np.ndarray, limit: int):
+    """Ranges of some `limit` bytes that no group crosses."""
+    upto, i = np.cumsum(size), 0
+    while i < len(size):
+        j = min(len(size), max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + limit, side="right"))))
+        j = int(np.searchsorted(group, group[j - 1], side="right"))
+        yield i, j
+        i = j
+
+
+def _pieces(first, size, place, group, doc, data, seed: int):
+    """Pieces of strings by anchor, and the distinct ones, sorted by anchor."""
+    text = gather(data, first, size)
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    at, windows, key, of = anchors(text, offsets, seed)
+    key = mix(key + group[of].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+    content = content_hashes(text, at, windows + WINDOW - 1)
+    order = np.lexsort((content, key))
+    k, c = key[order], content[order]
+    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+    which = np.empty(len(key), np.int64)
+    which[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(k))))
+    one = order[head]
+    least = np.minimum.reduceat(doc[of[order]], head) if len(head) else np.zeros(0, np.int64)
+    inside = at - offsets[of]
+    return place[of] + inside, windows, which, first[of[one]] + inside[one], windows[one], k[head], least
+
+
+def _compare(first, size, window, group, data, low) -> None:
+    """Puts the strings of each group end to end and lowers `low` at equal windows to the least document among them."""
+    if not len(first):
+        return
+    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    per = np.diff(np.append(at, len(group)))
+    lane_size = np.add.reduceat(size + 1, at) + 1
+    by = np.argsort(lane_size, kind="stable")[::-1]  # lanes of like lengths advance together
+    at, per, lane_size = at[by], per[by], lane_size[by]
+    total = np.cumsum(lane_size)
+    i = 0
+    while i < len(at):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BATCH, side="right")))
+        own = _runs(at[i:j], per[i:j])
+        _lanes(first[own], size[own], window[own], per[i:j], lane_size[i:j], data, low)
+        i = j
+
+
+def _lanes(first, size, place, per, lane_size, data, low) -> None:
+    """One batch: per[k] strings in lane k, which has lane_size[k] symbols."""
     lane_begin = np.concatenate([[0], np.cumsum(lane_size)])
     lane = np.repeat(np.arange(len(per)), per)
-    before = np.cumsum(size[own] + 1) - (size[own] + 1)
-    start = before + lane  # each earlier lane has one symbol more: its end
+    start = np.cumsum(size + 1) - (size + 1) + lane  # each earlier lane has one symbol more: its end
     symbols = np.ones(int(lane_begin[-1]), np.int32)
     symbols[lane_begin[1:] - 1] = 0
-    at = np.repeat(start - np.cumsum(size[own]) + size[own], size[own]) + np.arange(int(size[own].sum()))
-    symbols[at] = gather(data, first[own], size[own]).astype(np.int32) + 2
+    symbols[_runs(start, size)] = gather(data, first, size).astype(np.int32) + 2
+    count = size - WINDOW + 1
     window = np.full(len(symbols), -1, np.int64)  # its place in `low`
-    count = size[own] - WINDOW + 1
-    at = np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
-    window[at] = np.repeat(begin[own] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    window[_runs(start, count)] = _runs(place, count)
     order = suffix_arrays(symbols, lane_begin)
     order = order[window[order] >= 0]
     same = np.zeros(len(order), bool)
@@ -316,6 +377,11 @@ def _lanes(own, per, lane_size, first, size, doc, data, begin, low) -> None:
         low[where] = np.repeat(np.minimum.reduceat(low[where], head), np.diff(np.append(head, len(order))))
 
 
+def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    end = np.cumsum(size)
+    return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - end + size, size)
+
+
 def earliest(stretches: DataFrame) -> DataFrame:
     """chunk, part, runs, lengths, documents: for every chunk's stretches the smallest document of each window."""
 
