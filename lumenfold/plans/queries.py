@@ -826,3 +826,176 @@ def stream_hist_fill(spark, sf_dir):
     running = fill.running(stream, [_VALUE], ["value"], "value", by=["event_type"])
     fill.start_table(running, f"{out}/table", f"{out}/checkpoint").awaitTermination()
     return rounded(spark.read.parquet(f"{out}/table").select("event_type", "value", "n", "sumw"), sumw=3)
+
+
+# ---- more of the nested event chain
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice, 2) AS pt, round(l_quantity, 2) AS quantity FROM lineitem JOIN orders ON o_orderkey = l_orderkey")
+def generic_object_table(spark, sf_dir):
+    flat = tables.generic_table(_events(spark, sf_dir), "items", ["l_orderkey"])
+    return rounded(flat.select("l_orderkey", "l_linenumber", "pt", "quantity"), pt=2, quantity=2)
+
+
+@query("SELECT o_custkey, o_orderkey AS \"Jkey\", round(o_totalprice, 2) AS \"Jtotal\", l_linenumber, round(l_quantity, 2) AS quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey IS NOT NULL")
+def grandchild_table(spark, sf_dir):
+    """Customer as event, orders as items, line items as their constituents."""
+    child = F.struct("l_linenumber", F.col("l_quantity").alias("quantity"))
+    items = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(child).alias("kids"))
+    o = read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
+    e = o.where("o_custkey is not null").groupBy("o_custkey").agg(F.collect_list(F.struct(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("total"), "kids")).alias("items"))
+    return rounded(tables.grandchild_table(e, "items", "kids", ["o_custkey"], ["key", "total"]), Jtotal=2, quantity=2)
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(l_tax * (l_extendedprice / l_quantity / 1000) ** 4, 6) AS wt_gen, round(l_discount * (l_extendedprice * (1 - l_discount) / l_quantity / 1000) ** 4, 6) AS wt_reco
+FROM lineitem WHERE l_tax > 0 AND l_quantity > 0""")
+def transfer_item_table(spark, sf_dir):
+    entry = F.struct("l_linenumber", F.col("l_tax").alias("wt_gen"), F.col("l_discount").alias("wt_reco"))
+    q = F.col("l_quantity") * 1000
+    item = F.struct(q.alias("pt"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("pt_denom"), q.alias("pt_gen"), F.col("l_extendedprice").alias("pt_denom_gen"), F.array(entry).alias("entries"))
+    e = _items(spark, sf_dir).where("l_quantity > 0").groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    return rounded(tables.transfer_table(e, "items", "entries", ["l_orderkey"]).select("l_orderkey", "l_linenumber", "wt_gen", "wt_reco"), wt_gen=6, wt_reco=6)
+
+
+@query(f"""
+WITH {_RANKED}, e AS (SELECT l_orderkey, any_value(n) AS n, max(l_extendedprice) FILTER (k = 1) AS lead, max(l_extendedprice) FILTER (k = 3) AS third, max(charge) FILTER (k = 3) AS third_charge FROM l GROUP BY 1)
+SELECT o_orderkey AS event_id, round(o_totalprice, 2) AS ht, n::int AS n_items, round(lead, 2) AS lead_pt, round(coalesce(third, 0), 2) AS third_pt, coalesce(third_charge, -999)::int AS third_charge FROM e JOIN orders ON o_orderkey = l_orderkey""")
+def event_table(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    wanted = {"event_id": "o_orderkey", "ht": "o_totalprice", "met": "MET.pt", "pileup": "Pileup.nTrueInt"}  # the last two do not exist here
+    derived = {"n_items": F.size("items"), "lead_pt": nested.nth("items", 0, field="pt"), "third_pt": nested.nth("items", 2, 0.0, "pt"), "third_charge": nested.nth("items", 2, -999, "charge")}
+    return rounded(tables.event_table(e, wanted, derived), ht=2, lead_pt=2, third_pt=2)
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 + sqrt(l_discount ** 2 + l_tax ** 2)), 4) AS up, round(l_extendedprice * (1 - sqrt(l_discount ** 2 + l_tax ** 2)), 4) AS down FROM lineitem WHERE l_discount IS NOT NULL AND l_tax IS NOT NULL")
+def quadrature_shift(spark, sf_dir):
+    l = _items(spark, sf_dir).where("l_discount is not null and l_tax is not null")  # noqa: E741
+    u = F.array(1 + F.col("l_discount"), 1 + F.col("l_tax"))
+    sources = {s: nested.source_for({"common": {"pt": "l_extendedprice"}, "UP": {"up": True}, "nominal": {"up": False}}, s) for s in ("UP", "DN")}
+    shift = lambda s: nested.quadrature_shift(sources[s]["pt"], u, sources[s]["up"])
+    return rounded(l.select("l_orderkey", "l_linenumber", shift("UP").alias("up"), shift("DN").alias("down")), up=4, down=4)
+
+
+@query(f"""
+WITH {_RANKED}, m AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS pt, l_quantity >= 20 OR l_extendedprice >= 40000 AS ok, (l_linenumber - 1)::int AS idx, k FROM l),
+f AS (SELECT a.l_orderkey, count(*) FILTER (a.ok) AS n_ok, count(*) FILTER (coalesce(b.ok, false)) AS n_matched, bool_or(a.ok) AS any_ok FROM m a LEFT JOIN m b ON b.l_orderkey = a.l_orderkey AND b.k = a.idx + 1 GROUP BY 1)
+SELECT l_orderkey, n_ok::int AS n_ok, n_matched::int AS n_matched, any_ok FROM f JOIN orders ON o_orderkey = l_orderkey""")
+def matched_masks(spark, sf_dir):
+    """Items that pass an id level or a threshold, items whose index points to such an item, and whether there is one."""
+    e = _events(spark, sf_dir)
+    items = nested.with_fields("items", puId=lambda x: x["quantity"], iReco=lambda x: x["l_linenumber"] - 1)
+    e = e.withColumn("items", items).withColumn("mask", F.transform("items", lambda x: select.passes_id_or_pt(x, 20, 40000)))
+    flagged = F.zip_with("items", "mask", lambda x, m: x.withField("flag", m))
+    return e.select("l_orderkey", F.size(F.filter("mask", lambda m: m)).alias("n_ok"), F.size(select.matched_mask("items", "mask", "iReco")).alias("n_matched"), nested.any_matched(flagged, "flag").alias("any_ok"))
+
+
+_VETO_ETA, _VETO_PHI = Axis.regular("e", 5, -2.5, 2.5, clamp=True), Axis.regular("p", 6, -3.14159, 3.14159, clamp=True)
+_VETO = {(e, p): float((e * 7 + p) % 4 == 0) for e in range(5) for p in range(6)}
+_VETO_SQL = ", ".join(f"({e}, {p}, {v!r}::double)" for (e, p), v in _VETO.items())
+
+
+@query(f"""
+WITH {_RANKED}, v(e, p, v) AS (VALUES {_VETO_SQL}), x AS (SELECT *, greatest(least(phi, 3.14159), -3.14159) AS clipped FROM l)
+SELECT l_orderkey, l_linenumber FROM x JOIN v ON v.e = {case(_VETO_ETA, 'eta')} AND v.p = least(greatest(floor((clipped - -3.14159::double) / (3.14159::double - -3.14159::double) * 6.0)::int, 0), 5) WHERE v.v = 0""")
+def map_veto(spark, sf_dir):
+    l = _items(spark, sf_dir).withColumns({"eta": (F.col("l_quantity") - 25) / 10, "phi": (F.col("l_discount") - 0.05) * 60})  # noqa: E741
+    phi = F.greatest(F.least("phi", F.lit(3.14159)), F.lit(-3.14159))
+    t = spark.createDataFrame([(e, p, v) for (e, p), v in _VETO.items()], "e int, p int, value double")
+    out = lookup.binned_lookup(l, t, [(_VETO_ETA, "eta"), (_VETO_PHI, phi)], default=None, into="veto")
+    return out.where("veto = 0").select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_totalprice < 120000 AND o_custkey >= 100 AND o_custkey < 900 AND o_totalprice IS NOT NULL")
+def sample_stitching(spark, sf_dir):
+    flags = {"ht_max": 120000, "vpt_low": 100, "vpt_high": 900}
+    return read(spark, sf_dir, "orders").where(select.in_sample(flags, "o_totalprice", "o_custkey")).select("o_orderkey")
+
+
+_SFT = Axis.variable("pt", [10.0, 20.0, 30.0, 60.0], underflow=False, overflow=False)
+_SFE = Axis.variable("eta", [0.0, 0.9, 1.2, 2.1, 2.4], underflow=False, overflow=False)
+_SFS = {(e, p): round(0.95 + 0.01 * e + 0.02 * p, 4) for e in range(4) for p in range(3)}
+_SFS_SQL = ", ".join(f"({e}, {p}, {v!r}::double)" for (e, p), v in _SFS.items())
+
+
+@query(f"""
+WITH {_RANKED}, s(e, p, v) AS (VALUES {_SFS_SQL}), x AS (SELECT l_orderkey, k, coalesce(v, 1.0) AS f FROM l LEFT JOIN s ON s.e = {case(_SFE, 'abs(eta)')} AND s.p = {case(_SFT, KPRICE)} WHERE k <= 2 AND n >= 2)
+SELECT l_orderkey, round(product(f), 7) AS sf, round(max(f) FILTER (k = 1), 7) AS trigger FROM x GROUP BY 1""")
+def pair_scale_factor(spark, sf_dir):
+    e = _events(spark, sf_dir).where(F.size("items") >= 2)
+    legs = {f"{v}{k}": nested.nth("items", k, field=v) / (1000 if v == "pt" else 1) for k in (0, 1) for v in ("eta", "pt")}
+    e = e.select("l_orderkey", *[c.alias(n) for n, c in legs.items()])
+    t = spark.createDataFrame([(a, p, v) for (a, p), v in _SFS.items()], "eta int, pt int, value double")
+    both = lookup.efficiency_pair(e, t, [("eta0", "pt0"), ("eta1", "pt1")], _SFE, _SFT, into="sf")
+    both = lookup.efficiency_pair(both, t, [("eta0", "pt0")], _SFE, _SFT, into="trigger")
+    return rounded(both.select("l_orderkey", "sf", "trigger"), sf=7, trigger=7)
+
+
+_PU = Axis.regular("pu", 50, 0.5, 50.5, underflow=False, overflow=False)
+
+
+@query("""
+SELECT p_partkey, round(1 + (p_size - 25) / 100.0, 6)::double AS nominal, round(CASE WHEN p_size < 26 THEN 1.0 ELSE (p_size - 25) / 10.0 END, 6)::double AS guarded FROM part WHERE p_size BETWEEN 1 AND 50""")
+def pileup_weight(spark, sf_dir):
+    """A one-dimensional correction with variants as keys, and one whose values at or below 0 count as 1."""
+    t = spark.createDataFrame([(k, s, 1 + (k - 24) / 100 if s == "nominal" else (k - 24) / 10) for k in range(50) for s in ("nominal", "raw")], "pu int, syst string, value double")
+    p = read(spark, sf_dir, "part").where(F.col("p_size").between(1, 50))
+    p = lookup.binned_lookup(p.withColumn("syst", F.lit("nominal")), t, [(_PU, "p_size")], keys=["syst"], into="nominal")
+    p = lookup.binned_lookup(p.withColumn("syst", F.lit("raw")), t, [(_PU, "p_size")], keys=["syst"], default=None, into="raw")
+    return rounded(p.select("p_partkey", "nominal", weights.guarded("raw").alias("guarded")), nominal=6, guarded=6)
+
+
+@query("""
+WITH f AS (SELECT l_orderkey, CASE WHEN l_linenumber = 1 AND l_returnflag = 'N' THEN 21 WHEN l_linenumber = 1 THEN 0 ELSE l_linenumber END AS fl FROM lineitem)
+SELECT l_orderkey, bool_or(fl = 21) AS has_gluon, CASE WHEN bool_or(fl = 21) THEN 1.1 ELSE 1.0 END::double AS up, CASE WHEN bool_or(fl = 21) THEN 0.9 ELSE 1.0 END::double AS down FROM f GROUP BY 1""")
+def flavour_weights(spark, sf_dir):
+    hadron, parton = F.when(F.col("l_linenumber") == 1, 0).otherwise(F.col("l_linenumber")), F.when(F.col("l_returnflag") == "N", 21).otherwise(1)
+    item = F.struct(nested.flavour(hadron, parton).alias("fl"))
+    e = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(item).alias("jets"))
+    up, down = weights.flavour_presence("jets", "fl", 21, 0.1)
+    return e.select("l_orderkey", F.exists("jets", lambda x: x["fl"] == 21).alias("has_gluon"), F.round(up, 6).alias("up"), F.round(down, 6).alias("down"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(list_concat(embedding, embedding), lambda x: 1 + x::double) AS w FROM embeddings),
+s AS (SELECT vec_id, sqrt(list_sum(list_transform(w[2:101], lambda x: (x - 1) ** 2)) / 99) AS pdf, (w[103] - w[102]) * 0.5 AS alpha FROM e)
+SELECT vec_id, round(1 - pdf, 6) AS pdf_down, round(alpha, 6) + 0.0 AS alpha, round(1 + sqrt(pdf ** 2 + alpha ** 2), 6) AS both_up FROM s""")
+def pdf_uncertainties(spark, sf_dir):
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.transform(F.concat("embedding", "embedding"), lambda x: 1 + x.cast("double")).alias("w"))
+    out = e.select("vec_id", weights.hessian("w")[1].alias("pdf_down"), weights.coupling("w").alias("alpha"), weights.hessian_and_coupling("w")[0].alias("both_up"))
+    return rounded(out, pdf_down=6, alpha=6, both_up=6)
+
+
+@query(f"""SELECT {case(DISC, 'l_discount')} AS disc, round(sum(l_quantity * {_poly_sql('l_quantity::double')}), 3) AS sumw FROM lineitem WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1""")
+def reweighted_fill(spark, sf_dir):
+    w = F.col("l_quantity") * lookup.polynomial("l_quantity", _SEGMENTS)
+    return rounded(hist.histogram(_items(spark, sf_dir), [DISC], ["l_discount"], w).select("disc", "sumw"), sumw=3)
+
+
+@query("SELECT l_returnflag AS level, l_linestatus AS step, round(sum(l_quantity), 2) AS sumw, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def merged_partials(spark, sf_dir):
+    """Partial counts per supplier (a file's part) added up."""
+    parts = _items(spark, sf_dir).groupBy(F.col("l_returnflag").alias("level"), F.col("l_linestatus").alias("step"), "l_suppkey").agg(F.sum("l_quantity").alias("sumw"), F.count(F.lit(1)).alias("n"))
+    return rounded(layout.merged(parts, ["level", "step"], ["sumw", "n"]), sumw=2)
+
+
+@query(f"""WITH {_COV}, {_VAL}, d AS (SELECT a.cell AS i, b.cell AS j, sum(a.w * b.w) AS cov FROM (SELECT l_orderkey AS e, {case(CELLS, 'l_quantity')} AS cell, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2) a
+JOIN (SELECT l_orderkey AS e, {case(CELLS, 'l_quantity')} AS cell, sum(l_quantity) AS w FROM lineitem GROUP BY 1, 2) b ON a.e = b.e GROUP BY 1, 2),
+u AS (SELECT {case(CELLS, 'l_quantity')} AS i, sum(l_quantity) AS y FROM lineitem GROUP BY 1), j AS (SELECT i, value AS x, y FROM v JOIN u USING (i))
+SELECT c.i, c.j, round((c.cov / (p.y * q.y) + d.cov * p.x * q.x / (p.y * p.y * q.y * q.y)) * 1e6, 5) AS cov FROM c JOIN d ON d.i = c.i AND d.j = c.j JOIN j p ON p.i = c.i JOIN j q ON q.i = c.j""")
+def ratio_covariance(spark, sf_dir):
+    """Covariance of price over quantity per cell, the two taken as uncorrelated."""
+    quantity = hist.histogram(_items(spark, sf_dir), [CELLS], ["l_quantity"], "l_quantity").select(F.col("cell").alias("i"), F.col("sumw").alias("value"))
+    cov_q = cov.event_covariance(_cells(spark, sf_dir), "l_orderkey", "cell", "l_quantity")
+    out = algebra.compare_covariance(_cov(spark, sf_dir), cov_q, _values(spark, sf_dir), quantity, "ratio")
+    return rounded(out.withColumn("cov", F.col("cov") * 1e6), cov=5)
+
+
+@query("""
+WITH l AS (SELECT l_orderkey, l_extendedprice AS p, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS k, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem)
+SELECT l_orderkey, round(max(p) FILTER (k = 2), 2) AS upper_right, round(max(p) FILTER (k = 3), 2) AS lower_left FROM l WHERE n >= 4 GROUP BY 1""")
+def nested_matrices(spark, sf_dir):
+    flat = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_extendedprice").alias("p")))).alias("f"))
+    flat = flat.where(F.size("f") >= 4).select("l_orderkey", F.slice("f.p", 1, 4).alias("flat"))
+    m = F.get(nested.unflatten_matrix("flat", F.array(F.lit(2)), F.array(F.lit(2))), F.lit(0))
+    return rounded(flat.select("l_orderkey", F.get(F.get(m, F.lit(0)), F.lit(1)).alias("upper_right"), F.get(F.get(m, F.lit(1)), F.lit(0)).alias("lower_left")), upper_right=2, lower_left=2)
