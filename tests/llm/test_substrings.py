@@ -63,6 +63,28 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, rows)
 
 
+def test_many_contexts_of_common_lines(monkeypatch):
+    """Lines of 33, 47 and 60 bytes before and after texts of their own, with the cut at longer anchors forced."""
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    lines = [own(33), own(47), own(60)]
+    rows = [(k, (own(rng.randint(0, 40)) + rng.choice(lines) + own(rng.randint(0, 40)) + rng.choice(lines) * rng.randint(1, 2)).encode()) for k in range(80)]
+    monkeypatch.setattr(substrings, "LARGE", 150)
+    data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    first, windows, key, text = substrings.anchors(data, offsets)
+    order = np.argsort(key, kind="stable")
+    first, windows, key, text = first[order], windows[order], key[order], text[order]
+    of, length, doc = substrings.least_documents(first, windows + 49, key, text, data)
+    at = np.repeat(first[of] - np.concatenate([[0], np.cumsum(windows)])[of], length) + np.arange(length.sum())
+    got = dict(zip(at.tolist(), np.repeat(doc, length).tolist(), strict=True))
+    least = {}
+    for k, t in rows:
+        for i in range(len(t) - 49):
+            least.setdefault(t[i : i + 50], k)
+    assert got == {int(offsets[k]) + i: least[t[i : i + 50]] for k, t in rows for i in range(len(t) - 49)}
+
+
 def test_empty_and_single(spark):
     assert substrings.removals(spark.createDataFrame([], DOCS)).count() == 0
     check(spark, [(1, "only one document, with no other to repeat it, of more than fifty bytes")])
