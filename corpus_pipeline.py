@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm import decontamination, minhash, packing, substrings, toxicity
-from lumenfold.llm.common import read, shipped, written
+from lumenfold.llm.common import forget, read, shipped, written
 from lumenfold.llm.queries import TOKENIZER
 
 #: The columns of documents; what all stages but the last return.
@@ -65,6 +65,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
+    last = []
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        forget(*last)
+        last = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)

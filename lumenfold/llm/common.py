@@ -50,7 +50,17 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch = path
+    return table
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes `written` tables that nothing will read again, so that a long pipeline's disk use stays that of a step."""
+    for t in tables:
+        context = t.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(t._scratch)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

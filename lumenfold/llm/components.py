@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import forget, written
 
 #: Rounds after which something is wrong: rounds grow with the logarithm of the longest chain.
 ROUNDS = 60
@@ -33,7 +33,8 @@ def components(links: DataFrame) -> DataFrame:
     edges = written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a <> b").distinct(), "links")
     seen = None
     for _ in range(ROUNDS):
-        edges = written(_star(_star(edges, True), False), "links")
+        last, edges = edges, written(_star(_star(edges, True), False), "links")
+        forget(last)
         state = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if state == seen:
             break

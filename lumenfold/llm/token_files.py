@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_blocks, written
+from .common import forget, text_blocks, written
 from .tokens import encoder
 
 #: Longest code; a decoding table has 2 ** MAX_BITS entries.
@@ -247,4 +247,5 @@ def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_column: str
     width = id_type(encoder(tokenizer).library.get_vocab_size(), end_id)
     tokens = written(tokenized(docs, tokenizer, end_id, id_column, text_column), "token-ids")
     blocks, length = write_files(tokens, width, id_column)
+    forget(tokens)
     return read_files(blocks, length, id_column)

@@ -55,7 +55,7 @@ def test_longest_match_on_a_real_vocabulary():
 
 
 def test_token_counts_of_all_rows(spark):
-    out = token_counts.count_tokens(spark.createDataFrame(ROWS, DOCS), PATH).collect()
+    out = token_counts.count_tokens(spark.createDataFrame([(*r, "clash") for r in ROWS], DOCS), PATH).collect()
     assert len(out) == len(ROWS)
     by = {r.doc_id: r for r in out}
     assert by[1].n_tokens == by[2].n_words == 0 and by[7].n_words == 6000
@@ -67,7 +67,7 @@ def _ids(text, end):
 
 
 def test_packing_places_every_id_once(spark):
-    docs = spark.createDataFrame(ROWS, DOCS).repartition(2)
+    docs = spark.createDataFrame([(*r, "clash") for r in ROWS], DOCS).repartition(2)
     pieces = packing.pack(docs, PATH).collect()
     sequences = {}
     for p in pieces:
@@ -100,7 +100,7 @@ def test_packing_pads_little(spark):
 
 
 def test_token_files_round_trip(spark):
-    out = token_files.round_trip(spark.createDataFrame(ROWS, DOCS), PATH).collect()
+    out = token_files.round_trip(spark.createDataFrame([(*r, "clash") for r in ROWS], DOCS), PATH).collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
     for r, (doc_id, text) in zip(sorted(out, key=lambda r: r.start), rows, strict=True):
