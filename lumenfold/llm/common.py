@@ -15,10 +15,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 
 U64 = np.uint64
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shipped(spark: SparkSession) -> None:
-    """Sends this package's code to the executors once per application, so it need not be installed there."""
+    """Sends this package's code to the executors once per application, so it need not be installed there.
+
+    Arrow batches are kept to 8 MB: texts are worked on in blocks of 1 MB, so larger batches only hold memory.
+    """
+    if spark.conf.get(ARROW_BYTES) == "67108864b":  # Spark's default, unless the session has its own
+        spark.conf.set(ARROW_BYTES, "8388608b")
     context = spark.sparkContext
     if getattr(context, "_lumenfold_shipped", False):
         return
