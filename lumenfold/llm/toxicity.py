@@ -33,6 +33,8 @@ VOCABULARY = 500_000
 #: Weight of the prior in documents, drift per word, standard errors taken off, and the E-value below which a segment is a toxic passage.
 PRIOR, DRIFT, ERRORS, SIGNIFICANT = 50.0, 0.15, 1.5, 1e-2
 MOST, LEAST = 8.0, -1.0
+#: Words behind a scoring word in which its repetition is no new evidence; passages further apart are scored each by itself.
+REPEAT = 20
 PASSAGES = T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer").add("score", "double"))
 
 
@@ -78,14 +80,15 @@ class Model:
     def scored(self, data: np.ndarray, offsets: np.ndarray):
         """Words of a block with their scores, cumulative totals, the positive ones and each text's bounds in both.
 
-        A word's second and later occurrences in a text score the drift only: repetition is no new evidence.
+        A word that stood within the REPEAT words before scores the drift only: repetition on the spot is no new evidence.
         """
         start, end, key, row = words(data, offsets)
         s = self.word_scores(key)
         up = np.flatnonzero(s > 0)
-        _, once = np.unique(mix(key[up] + mix(row[up].astype(np.uint64))), return_index=True)
-        again = np.ones(len(up), bool)
-        again[once] = False
+        which = mix(key[up] + mix(row[up].astype(np.uint64)))
+        order = np.argsort(which, kind="stable")
+        again = np.zeros(len(up), bool)
+        again[order[1:]] = (which[order[1:]] == which[order[:-1]]) & (np.diff(up[order]) <= REPEAT)
         s[up[again]] = -DRIFT
         up = up[~again]
         first = np.searchsorted(row, np.arange(len(offsets)))

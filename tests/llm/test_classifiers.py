@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumenfold.llm import quality, toxicity
+from lumenfold.llm.common import text_buffer, words
 
 DOCS = "doc_id long, text string, score string"
 
@@ -97,3 +99,17 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0) ^ (x[:, 1] > 0.2)).astype(float)
     trees = quality.fit(x[:3000], y[:3000])
     assert ((trees.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.97
+
+
+def test_repeated_words_far_apart_score_again():
+    bad = ["vile", "rotten", "wicked", "cursed", "foul", "cruel"]
+    dense, filler = " ".join(bad), " ".join(["calm"] * 300)
+    twice = f"{filler} {dense} {filler} {dense} {filler}"
+    scattered = " ".join(f"{b} {filler}" for b in bad)  # each word once, far apart
+    data, offsets = text_buffer(pa.array([twice, f"{scattered} {dense}", scattered]))
+    keys = np.unique(words(*text_buffer(pa.array([dense])))[2])
+    model = toxicity.Model(keys, np.full(len(keys), 4.0), -toxicity.DRIFT, 1.0, 0.0, (0.0, 1.0, 0.1))
+    evidence, found = model.evidence(data, offsets)
+    raw = data.tobytes()
+    assert [[raw[o + a : o + b].decode() for a, b, _ in f] for o, f in zip(offsets[:2].tolist(), found, strict=False)] == [[dense, dense], [dense]]
+    assert not found[2] and evidence[1, 0] == found[1][0][2] - np.log(len(f"{scattered} {dense}".split()))
