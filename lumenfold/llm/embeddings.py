@@ -73,17 +73,19 @@ def cells(unit: np.ndarray, tables: int = TABLES, probes: int = PROBES, cell: fl
         best = np.argsort(-((x - point) @ near.T), axis=1)[:, :probes]
         own[:, t] = _keys(point, t)
         others[:, t] = _keys(point[:, None, :] + near[best], t)
-    return own, others
+    return mix(own + U64(d)), mix(others + U64(d))  # vectors of different lengths share no cell
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors in double precision of those rows that have finite, non-zero ones, and the rows' places."""
+def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length: unit vectors in double precision of those rows that have finite, non-zero ones, and the rows' places."""
     rows = [np.array(v, np.float64) if v else np.zeros(0) for v in column.to_pylist()]  # None components become nan
-    d = max((len(r) for r in rows), default=0)
-    good = np.array([len(r) == d and d > 0 and bool(np.isfinite(r).all()) and bool(r.any()) for r in rows], bool)
-    x = np.stack([r for r, g in zip(rows, good, strict=True) if g]) if good.any() else np.zeros((0, d))
-    x = x / np.abs(x).max(1, keepdims=True) if len(x) else x
-    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x, np.flatnonzero(good)
+    good = np.array([bool(np.isfinite(r).all()) and bool(r.any()) for r in rows], bool)
+    length = np.array([len(r) for r in rows], np.int64)
+    for d in np.unique(length[good]):
+        at = np.flatnonzero(good & (length == d))
+        x = np.stack([rows[k] for k in at])
+        x = x / np.abs(x).max(1, keepdims=True)
+        yield x / np.linalg.norm(x, axis=1, keepdims=True), at
 
 
 def _valid():
@@ -97,15 +99,13 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES, prob
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            unit, at = _vectors(batch.column("embedding"))
-            if not len(at):
-                continue
-            own, others = cells(unit, tables, probes, cell)
-            key = np.concatenate([own.ravel(), others.ravel()])
-            ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[at]
-            who = np.concatenate([np.repeat(ids, tables), np.repeat(ids, tables * probes)])
-            is_own = np.arange(len(key)) < own.size
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array(is_own)], names=["cell", "vec_id", "own"])
+            for unit, at in _vectors(batch.column("embedding")):
+                own, others = cells(unit, tables, probes, cell)
+                key = np.concatenate([own.ravel(), others.ravel()])
+                ids = batch.column("vec_id").to_numpy(zero_copy_only=False)[at]
+                who = np.concatenate([np.repeat(ids, tables), np.repeat(ids, tables * probes)])
+                is_own = np.arange(len(key)) < own.size
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(who), pa.array(is_own)], names=["cell", "vec_id", "own"])
 
     filed = written(vectors.mapInArrow(file, "cell long, vec_id long, own boolean"), "cells")
     met = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count_if("own").alias("n_own")).where("n > 1 and n_own > 0")
@@ -120,19 +120,19 @@ def links(vectors: DataFrame, threshold: float = 0.9, tables: int = TABLES, prob
 
     def pairs(found: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(found)
-        unit, at = _vectors(table.column("embedding").combine_chunks())
-        ids = table.column("vec_id").to_numpy()[at]
-        own, side = table.column("own").to_numpy()[at], table.column("side").to_numpy()[at]
         split = table.column("lo")[0].as_py() != table.column("hi")[0].as_py()
         a, b = [], []
-        for i in range(0, len(ids), 512):
-            cos = unit[i : i + 512] @ unit.T
-            ok = (cos >= threshold) & (ids[i : i + 512, None] < ids) & (own[i : i + 512, None] | own)
-            if split:
-                ok &= side[i : i + 512, None] != side
-            x, y = np.nonzero(ok)
-            a.append(ids[i + x])
-            b.append(ids[y])
+        for unit, at in _vectors(table.column("embedding").combine_chunks()):  # several lengths only where hashes collide
+            ids = table.column("vec_id").to_numpy()[at]
+            own, side = table.column("own").to_numpy()[at], table.column("side").to_numpy()[at]
+            for i in range(0, len(ids), 512):
+                cos = unit[i : i + 512] @ unit.T
+                ok = (cos >= threshold) & (ids[i : i + 512, None] < ids) & (own[i : i + 512, None] | own)
+                if split:
+                    ok &= side[i : i + 512, None] != side
+                x, y = np.nonzero(ok)
+                a.append(ids[i + x])
+                b.append(ids[y])
         pair = np.unique(np.column_stack([np.concatenate(a), np.concatenate(b)]), axis=0) if a else np.zeros((0, 2), np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["a", "b"])
 
@@ -161,7 +161,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.9, **how) -> DataFram
 
     Vectors that are null, zero or have null or non-finite components, and null ids, link with nothing. Equal
     vectors link with each other without being compared. Repeated rows count as one vector and are returned each;
-    vectors of another length than the rest of their cell are never compared. Other columns are ignored.
+    vectors of different lengths are never compared, those of one length as if they were alone. Other columns are ignored.
     """
     rows = table.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     copies = rows.where(_valid()).groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count_distinct("vec_id").alias("copies"))

@@ -54,3 +54,13 @@ def test_decoding_is_the_nearest_lattice_point():
     around = ((x[:, None] - p[:, None] - near) ** 2).sum(2)
     assert (d[:, None] <= around + 1e-9).all()
     assert (d <= 1 + 1e-9).all()  # the covering radius is 1
+
+
+def test_a_longer_vector_among_many(spark):
+    x = vectors(3, n=60)
+    rows = [(k, v.tolist(), "clash") for k, v in enumerate(x)]
+    longer = [(1000, [*x[0].tolist(), 0.5], "a"), (1001, [*x[0].tolist(), 0.51], "a")]
+    alone = {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()}
+    mixed = {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(spark.createDataFrame(rows + longer, SCHEMA).coalesce(1)).collect()}
+    assert sum(n for n, _ in alone.values()) > 0
+    assert mixed == alone | {1000: (1, 1000), 1001: (1, 1000)}
