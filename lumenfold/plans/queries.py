@@ -644,7 +644,7 @@ WITH {_RANKED}, p AS (SELECT a.l_orderkey, b.eta AS eta1, a.eta AS eta2, b.phi A
 SELECT l_orderkey, count(*) FILTER (sqrt((eta1 - eta2) ** 2 + ({_DPHI}) ** 2) > 1.0)::int AS n_far, round(min(sqrt((eta1 - eta2) ** 2 + ({_DPHI}) ** 2)), 6) AS nearest FROM p GROUP BY 1""")
 def delta_r_overlap(spark, sf_dir):
     e = _events(spark, sf_dir).where(F.size("items") >= 2)
-    lead, rest = F.get("items", F.lit(0)), F.slice("items", 2, 1000)
+    lead, rest = F.get("items", F.lit(0)), F.slice("items", F.lit(2), F.size("items"))
     far = F.filter(rest, lambda x: select.clear_of(x, [(lead["eta"], lead["phi"])], 1.0))
     near = F.array_min(F.transform(rest, lambda x: expr.delta_r(x["eta"], x["phi"], lead["eta"], lead["phi"])))
     return rounded(e.select("l_orderkey", F.size(far).alias("n_far"), near.alias("nearest")), nearest=6)

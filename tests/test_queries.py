@@ -38,3 +38,18 @@ def test_scan_is_pruned_and_filtered(spark, sf_dir):
     plan = plans.queries()["hist_weighted_2d"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [" in plan and "l_shipdate" not in plan.split("ReadSchema")[1]
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_overlap_of_an_order_with_many_items(spark, sf_dir, tmp_path):
+    """An event of more than 1001 items: the SQL counts all of them."""
+    c = duckdb.connect()
+    c.execute("set timezone='UTC'")
+    key = c.execute(f"select min(l_orderkey) from '{sf_dir}/lineitem.parquet'").fetchone()[0]
+    c.execute(f"""copy (select * from '{sf_dir}/lineitem.parquet' union all
+      select t.* replace (i::int + 100 as l_linenumber, 1 + i % 50 as l_quantity, 100 + i as l_extendedprice) from (select * from '{sf_dir}/lineitem.parquet' where l_orderkey = {key} limit 1) t, range(1500) r(i)) to '{tmp_path}/lineitem.parquet'""")
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet'")
+    c.execute(f"copy (select * from '{sf_dir}/orders.parquet') to '{tmp_path}/orders.parquet'")
+    c.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    want = c.execute(plans.oracle_sql()["delta_r_overlap"]).to_arrow_table().to_pylist()
+    got = [r.asDict() for r in plans.queries()["delta_r_overlap"](spark, str(tmp_path)).collect()]
+    assert plain(got) == plain(want)
