@@ -9,6 +9,7 @@ carries the number of pieces it pops and no piece is ever built.
 from __future__ import annotations
 
 import json
+import re
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -18,6 +19,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, text_blocks
 
+#: Runs of word bytes, and of the others, in a text without blanks.
+RUNS = re.compile(b"([%b]+)|[^%b]+" % ((re.escape(bytes(x for x in range(256) if WORD[x])),) * 2))
+#: Longest string between blanks whose count is remembered.
+LONGEST = 64
 #: Words whose counts a task remembers; beyond it the memory starts anew (a matter of speed only).
 MEMORY = 1 << 18
 #: Byte that marks a word's first piece: pieces that begin with it match only there.
@@ -36,7 +41,8 @@ def load_pieces(path: str) -> list[bytes]:
 
 
 class Automaton:
-    """count(word): pieces of greedy longest match on MARK + word; a word with an unmatched byte is 1 unknown piece.
+    """count(word): pieces of greedy longest match on MARK + word, or on the word alone where it follows another without
+    a blank; a word with an unmatched byte is 1 unknown piece.
 
     Entries are either word starts (MARK and then no MARK) or continuations (no MARK); others are ignored.
     """
@@ -76,10 +82,10 @@ class Automaton:
                         self.fail[v], self.popped[v] = self.next[z][b], k
                 queue.append(v)
 
-    def count(self, word: bytes) -> int:
+    def count(self, word: bytes, mark: bytes = bytes([MARK])) -> int:
         step, fail, popped = self.next, self.fail, self.popped
         v, total = 0, 0
-        for b in bytes([MARK]) + word:
+        for b in mark + word:
             while (t := step[v].get(b)) is None:
                 if fail[v] < 0:
                     return 1
@@ -93,6 +99,14 @@ class Automaton:
             v = fail[v]
         return total
 
+    def counts(self, text: bytes) -> tuple[int, int]:
+        """Words and pieces of a text without blanks: each run of word bytes or of others is matched by itself."""
+        n_words = total = 0
+        for run in RUNS.finditer(text):
+            n_words += run[1] is not None
+            total += self.count(run[0]) if run.start() == 0 else self.count(run[0], b"")
+        return n_words, total
+
 
 _LOADED: dict[str, Automaton] = {}
 
@@ -104,29 +118,32 @@ def automaton(path: str) -> Automaton:
 
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """id, n_words, n_tokens of each row. Words are lower-cased runs of ASCII letters, digits and bytes over 127.
+    """id, n_words, n_tokens of each row. Words are runs of ASCII letters, digits and bytes over 127.
 
+    Tokens are the pieces of words and of the runs of punctuation and symbols between them, in their own case; only
+    ASCII blanks (space, tab, line breaks) have none. The first run after a blank matches word starts, others continuations.
     Null and empty texts count 0; ids may be null or repeat (a row each). `vocabulary` is a path that every
     executor has. Map-only: no shuffle; a task holds the automaton and a bounded memory of words.
     """
     schema = docs.select(F.col(id_column)).schema.add("n_words", "long").add("n_tokens", "long")
-    blank = bytes(MARK if not x else int(x) for x in WORD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count, memory = automaton(vocabulary).count, {}
+        counts, memory = automaton(vocabulary).counts, {}
         for rows, data, offsets in text_blocks(batches, text_column):
-            text = data.tobytes().translate(blank)
+            text = data.tobytes()
             n_words, n_tokens = [], []
             for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                words = text[i:j].split()
-                total = 0
-                for w in words:
+                some = total = 0
+                for w in text[i:j].split():
                     if (k := memory.get(w)) is None:
-                        if len(memory) >= MEMORY:
-                            memory.clear()
-                        k = memory[w] = count(w)
-                    total += k
-                n_words.append(len(words))
+                        k = counts(w)
+                        if len(w) <= LONGEST:
+                            if len(memory) >= MEMORY:
+                                memory.clear()
+                            memory[w] = k
+                    some += k[0]
+                    total += k[1]
+                n_words.append(some)
                 n_tokens.append(total)
             yield pa.RecordBatch.from_arrays([rows.column(id_column), pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=schema.names)
 

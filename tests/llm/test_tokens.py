@@ -139,3 +139,23 @@ def test_code_lengths_are_optimal_without_a_limit():
         cost += a + b
         heapq.heappush(heap, a + b)
     assert (token_files.code_lengths(counts) * counts).sum() == cost
+
+
+def test_token_counts_of_punctuation_and_capitals(spark):
+    texts = ["!!! ### {}", "Hello, World! It's (HERE)", "if (a[i] != 0) { x += 'Y'; }\n\treturn;", "| A | b |\n|---|---|", "größte, 中文! 😀", "a.b.c", "\x00\x01 Z", " \n\t ", "Q" * 300 + "..." * 50]
+    vocabulary = set(token_counts.load_pieces(PATH))
+
+    def brute(text):
+        n = 0
+        for part in text.encode().split():
+            edges = [k for k in range(1, len(part)) if bool(token_counts.WORD[part[k]]) != bool(token_counts.WORD[part[k - 1]])]
+            for k, (i, j) in enumerate(zip([0, *edges], [*edges, len(part)], strict=True)):
+                rest = (b"" if k else b" ") + part[i:j]
+                while rest:
+                    longest = next(m for m in range(len(rest), 0, -1) if rest[:m] in vocabulary)
+                    rest, n = rest[longest:], n + 1
+        return n
+
+    out = token_counts.count_tokens(spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], DOCS), PATH).collect()
+    assert {r.doc_id: r.n_tokens for r in out} == {k: brute(t) for k, t in enumerate(texts)}
+    assert {r.doc_id: r.n_words for r in out} == {0: 0, 1: 5, 2: 7, 3: 2, 4: 3, 5: 3, 6: 1, 7: 0, 8: 1}
