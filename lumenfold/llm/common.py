@@ -12,7 +12,8 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 U64 = np.uint64
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -43,9 +44,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; where that is unset (tests), a local one is set."""
+    """A new folder under ``spark.checkpoint.dir``; where that is unset and the master is local (tests), a local one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = os.path.join(tempfile.gettempdir(), f"lumenfold-{uuid.uuid4().hex[:8]}")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -165,47 +168,59 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, h, np.searchsorted(offsets, starts, side="right") - 1
 
 
-#: Most bits of a membership filter (8 MB): what is broadcast stays bounded, however many ids there are.
-FILTER_BITS, FILTER_SLICE = 1 << 26, 1 << 16
+#: A key is common if it has more than this many rows and more than this part of all rows: at most SPREAD are.
+COMMON_ROWS, SPREAD = 10_000, 10_000
 
 
-def possible_members(rows: DataFrame, ids: DataFrame, column: str) -> DataFrame:
-    """Rows whose `column` may be in `ids`: all that are, and few others.
+def with_key(rows: DataFrame, table: DataFrame, key: str, count: str) -> DataFrame:
+    """`rows` joined with the one row that `table` has for each key; its column `count` says how many rows have the key.
 
-    A Bloom filter of two hashes, built from slices in tasks and broadcast as one row. It thins a table before a
-    join by shuffle; where there are more ids than it can tell apart it lets more rows through and loses none.
+    Keys of very many rows (at most SPREAD of them) are broadcast, so no task gets all rows of one; the rest shuffle.
     """
-    from pyspark.sql import functions as F
-
-    spark = rows.sparkSession
-    ids = ids.select(column).where(F.col(column).isNotNull())
-    bits = min(FILTER_BITS, max(FILTER_SLICE * 8, 1 << (16 * ids.count()).bit_length()))
-    place = lambda k: F.pmod(F.xxhash64(F.col(column), F.lit(k)), F.lit(bits))
-
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for b in batches:
-            own[b.column("p").to_numpy()] = True
-        packed = np.packbits(own, bitorder="little").reshape(-1, FILTER_SLICE)
-        at = np.flatnonzero(packed.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([packed[k].tobytes() for k in at], pa.binary())], names=["slice", "bits"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, np.ndarray] = {}
-        for b in batches:
-            for k, v in zip(b.column("slice").to_pylist(), b.column("bits").to_pylist(), strict=True):
-                found[k] = found.get(k, np.zeros(FILTER_SLICE, np.uint8)) | np.frombuffer(v, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["slice", "bits"])
-
-    schema = "slice long, bits binary"
-    marks = ids.select(F.explode(F.array(place(1), place(2))).alias("p")).mapInArrow(mark, schema)
-    whole = bytearray(bits // 8)
-    for r in marks.repartition("slice").mapInArrow(join, schema).collect():
-        whole[r["slice"] * FILTER_SLICE : (r["slice"] + 1) * FILTER_SLICE] = r["bits"]
-    table = spark.createDataFrame([(bytes(whole),)], "_bits binary")
-
-    def marked(p: Column) -> Column:
-        byte = F.conv(F.hex(F.substring(F.col("_bits"), (F.shiftright(p, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-        return F.getbit(byte, (p % 8).cast("int")) == 1
-
-    return rows.join(F.broadcast(table), marked(place(1)) & marked(place(2)), "left_semi")
+    total = table.agg(F.sum(count)).first()[0] or 0
+    common = table.where(F.col(count) > max(COMMON_ROWS, total // SPREAD))
+    if common.isEmpty():
+        return rows.join(table.drop(count), key)
+    rest = rows.join(F.broadcast(common.select(key)), key, "left_anti").join(table.drop(count), key)
+    return rest.unionByName(rows.join(F.broadcast(common.drop(count)), key))
+
+
+def bucketed(df: DataFrame, column: str, name: str, buckets: int) -> DataFrame:
+    """`df` written to the shared folder in buckets of `column`, so that joins on it do not move its rows.
+
+    The catalog holds the table only until its plan is resolved.
+    """
+    spark = df.sparkSession
+    table, path = f"lumenfold_{uuid.uuid4().hex}", scratch(spark, name)
+    df.write.bucketBy(buckets, column).option("compression", "zstd").option("path", path).saveAsTable(table)
+    found = spark.table(table)
+    found.schema  # resolves it
+    spark.sql(f"DROP TABLE {table}")
+    found._scratch = path
+    return found
+
+
+#: Bytes of text in a bucket.
+BUCKET = 128 << 20
+
+
+def buckets_for(spark: SparkSession, size: int) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET), 1)
+
+
+def groups_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) of each group of rows that come sorted by integer `columns`."""
+    last, held = None, []
+    for batch in batches:
+        key = np.column_stack([batch.column(c).to_numpy() for c in columns])
+        edge = (np.flatnonzero(np.any(key[1:] != key[:-1], axis=1)) + 1).tolist()
+        for s, e in zip([0, *edge], [*edge, len(key)], strict=True):
+            if e == s:
+                continue
+            if held and tuple(key[s]) != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            last = tuple(key[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield last, pa.Table.from_batches(held)

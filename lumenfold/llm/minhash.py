@@ -1,16 +1,20 @@
 """MinHash near-duplicates: improved consistent weighted sampling over TF-IDF shingles.
 
 A shingle is five consecutive words (a shorter text is one shingle); its weight is its count in the document
-times its inverse document frequency. Frequencies are counted over all documents in a hashed table of fixed size
-(shingles that share an entry share its count), so what is broadcast never grows. Each of BANDS x ROWS consistent
-samples picks one shingle and one weight level, equal for two documents with probability equal to their weighted
-Jaccard similarity. Documents that agree on a band meet; each is compared with the band's leader by exact weighted
-Jaccard, and verified links form classes.
-
-Scale: equal texts are one representative. A band group is reduced to its leader by a partial aggregate, never
-collected, so a group of a third of all rows is a third of all rows' one comparison each. Members of a group that
-did not link to the leader get a second comparison with the leader of the group's other components. Only texts
-that have a candidate are shuffled to the comparison. Results are classes, so copies are never paired off.
+times its inverse document frequency. Frequencies are counted over all documents in a hashed table of fixed size,
+less what an entry holds of rare shingles on average; a shingle in fewer than one of RAREST documents is as rare as
+one in that many, so rarity means the same at every size. Each of BANDS x ROWS consistent samples picks one shingle
+and one weight level, equal for two documents with probability equal to their weighted Jaccard similarity. Documents
+that agree on a band meet; candidates are compared by exact weighted Jaccard, and verified links form classes.
+
+Within a band group every member is first compared with the group's leader. A group that is one component then is
+done, as classes need no further link. In a group that is not, members of different components are candidates: all
+of them where the group is small; in larger groups those that share one of their rarest shingles, which every pair at
+the threshold does (`prefixes`), and whose weights and places of that shingle allow the threshold.
+
+Scale: equal texts are one representative. Groups are reduced by partial aggregates and never collected; a leader of
+very many pairs is dealt out to several tasks. Texts lie in buckets of doc_id, so only those of candidates move.
+Results are classes, so copies are never paired off.
 """
 
 from __future__ import annotations
@@ -22,12 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, forget, mix, possible_members, text_blocks, text_buffer, words, written
+from .common import SPREAD, U64, bucketed, buckets_for, forget, groups_of, mix, text_blocks, text_buffer, with_key, words, written
 from .components import components
 
 WORDS, THRESHOLD = 5, 0.8
 #: At similarity 0.8 a pair meets in some band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.997.
 BANDS, ROWS = 8, 3
+#: Members of a group up to which all are candidates; texts in a block of numbers; pairs of one text that a task gets.
+SMALL, BLOCK, SALTED = 16, 1024, 4096
+#: Shingles in fewer documents than one in this many count as in that many: rarity is told up to here at every size.
+RAREST = 1024
 #: Entries of the table of document frequencies, and of one row of it in the shuffle.
 TABLE, SLICE = 1 << 20, 1 << 14
 #: Bits of a shingle's id; the rest of 64 numbers the block's rows, so that one sort groups both.
@@ -102,7 +110,8 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     for r in summed:
         df[r["slice"] * SLICE : (r["slice"] + 1) * SLICE] = _unpacked(bytes(r["counts"]))
         n += r["rows"]
-    return (1 + np.log((1 + n) / (1 + np.minimum(df, n)))).astype(np.float32)
+    df -= df.sum() / TABLE  # what an entry holds of rare shingles on average
+    return (1 + np.log((1 + n) / (1 + np.clip(df, max(1.0, n / RAREST), max(n, 1))))).astype(np.float32)
 
 
 def _quantiles(n: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
@@ -152,21 +161,24 @@ def samples(row: np.ndarray, ids: np.ndarray, weight: np.ndarray, rows: int, k:
 
 
 def bands(docs: DataFrame, idf: np.ndarray, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
-    """doc_id, band, key: one row per band of every row with a shingle."""
+    """doc_id, band, key, own (share of the weight in the rarest shingles): one row per band of every row with a shingle."""
     table = docs.sparkSession.sparkContext.broadcast(idf)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, data, offsets in text_blocks(batches, "text"):
             row, ids, count = shingles(data, offsets)
-            who, drawn = samples(row, ids, count * table.value[_entry(ids)], block.num_rows, n_bands * n_rows)
+            rarity = table.value[_entry(ids)]
+            who, drawn = samples(row, ids, count * rarity, block.num_rows, n_bands * n_rows)
+            own = np.bincount(row, count * (rarity == table.value.max()), minlength=block.num_rows)[who] / np.bincount(row, count, minlength=block.num_rows)[who]
             h = np.zeros((len(who), n_bands), np.uint64)
             for j in range(n_rows):
                 h = mix(h * U64(3) + drawn[:, j::n_rows] + U64(1))
             doc = block.column("doc_id").take(pa.array(np.repeat(who, n_bands)))
             band = np.tile(np.arange(n_bands, dtype=np.int32), len(who))
-            yield pa.RecordBatch.from_arrays([doc, pa.array(band), pa.array(h.ravel().view(np.int64))], names=["doc_id", "band", "key"])
+            columns = [doc, pa.array(band), pa.array(h.ravel().view(np.int64)), pa.array(np.repeat(own.astype(np.float32), n_bands))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "band", "key", "own"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, band int, key long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, band int, key long, own float")
 
 
 def similarity(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -192,16 +204,106 @@ def similarity(pairs: DataFrame, idf: np.ndarray) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, similarity double")
 
 
+def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, text of each representative, in buckets of doc_id: later joins on doc_id leave the texts where they are."""
+    size = reps.agg(F.sum("size")).first()[0] or 0
+    n = buckets_for(docs.sparkSession, size)
+    named = reps.select(F.col("rep").alias("doc_id")).where("doc_id is not null").distinct()
+    return bucketed(docs.repartition(n, "doc_id").join(named, "doc_id", "left_semi"), "doc_id", "texts", n)
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
-    """a, b of those pairs (distinct) that reach the threshold. Only texts of some pair move, then meet pairwise."""
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    needed = written(needed, "candidate-ids")
-    have = written(possible_members(texts, needed, "doc_id").join(needed, "doc_id"), "candidate-texts")
-    left = have.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = have.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    near = similarity(pairs.join(left, "a").join(right, "b"), idf).where(F.col("similarity") >= threshold)
-    out = written(near.select("a", "b"), "verified")
-    forget(needed, have)
+    """a, b of those pairs (distinct) that reach the threshold.
+
+    The texts of a stay in their buckets until they move to b's, once a pair. A b of very many pairs (a group's
+    leader) is dealt out with copies of its text, so no task gets all pairs of one.
+    """
+    per = pairs.groupBy("b").count()
+    total = per.agg(F.sum("count")).first()[0] or 0
+    hot = F.broadcast(per.where(F.col("count") > max(SALTED, total // SPREAD)).select("b", F.ceil(F.col("count") / SALTED).alias("salts")))  # at most SPREAD rows
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
+    met = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), salts)).drop("salts").join(left, "a")
+    heads = texts.join(per.select(F.col("b").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    heads = heads.join(hot, "b", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("salts")
+    near = similarity(met.join(heads, ["b", "salt"]), idf).where(F.col("similarity") >= threshold)
+    return written(near.select("a", "b"), "verified")
+
+
+def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, shingle, weight (of the whole text), most: the rarest shingles of each text, enough to find every partner.
+
+    In order of rarity all that two texts share lies from their first common shingle on, so their overlap is at most
+    what either has from there. `most` is the greatest weight of a partner that this still lets reach the threshold;
+    shingles that leave no partner are not given, which are all but the first 1 - t of a text's weight.
+    """
+    table = texts.sparkSession.sparkContext.broadcast(idf)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, data, offsets in text_blocks(batches, "text"):
+            row, ids, count = shingles(data, offsets)
+            rarity = table.value[_entry(ids)].astype(float)
+            order = np.lexsort((ids, -rarity, row))
+            row, ids, w = row[order], ids[order], (count * rarity)[order]
+            total = np.bincount(row, w, minlength=block.num_rows)
+            through = np.cumsum(w)
+            ends = np.concatenate([[0.0], through])[np.searchsorted(row, np.arange(block.num_rows), side="right")]
+            most = (ends[row] - through + w) * (1 + threshold) / threshold - total[row]
+            near = most >= (threshold - 1e-9) * total[row]
+            row = row[near]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id").take(pa.array(row)), pa.array(ids[near].astype(np.int64)), pa.array(total[row]), pa.array(most[near])], names=["doc_id", "shingle", "weight", "most"]
+            )
+
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long, weight double, most double")
+
+
+def _sharing(entries: DataFrame) -> DataFrame:
+    """a, b: pairs of different components that share a rare shingle and whose weights and places allow the threshold.
+
+    entries: rows of `prefixes` with the text's component c. Texts that no other text of the group can reach are left
+    out first; a group is dealt out in pairs of blocks, so a task holds numbers of two blocks, and no texts.
+    """
+    slack = 1 + 1e-9
+    per = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("weight").alias("least"), F.max("most").alias("furthest"))
+    open_ = entries.join(per.where("lo < hi").drop("lo", "hi"), "shingle").where((F.col("least") <= F.col("most") * slack) & (F.col("weight") <= F.col("furthest") * slack))
+    parts = F.ceil(F.col("n") / BLOCK)
+    dealt = open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    dealt = dealt.select("shingle", "doc_id", "c", "weight", "most", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in groups_of(batches, "shingle", "lo", "hi"):
+            doc, c, w, most = (rows.column(x).to_numpy() for x in ("doc_id", "c", "weight", "most"))
+            most = most * slack
+            ok = (w <= most[:, None]) & (w[:, None] <= most) & (c != c[:, None]) & (doc[:, None] < doc)
+            i, j = np.nonzero(ok)
+            if len(i):
+                yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], names=["a", "b"])
+
+    keys = ["shingle", "lo", "hi"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def _residue(filed: DataFrame, group: DataFrame, pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:
+    """a, b: links between components that share a band group and that the leaders did not join; None if there are none."""
+    key = ["band", "key"]
+    label = group.select(F.col("node").alias("doc_id"), F.col("component").alias("c"))
+    named = filed.join(label, "doc_id", "left").withColumn("c", F.coalesce("c", "doc_id"))
+    open_ = named.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo < _hi").drop("_lo", "_hi")
+    left = written(named.join(open_, key), "residue")
+    if left.isEmpty():
+        return None
+    few = left.where(F.col("n") <= SMALL)
+    one, two = (few.select(*key, F.col("doc_id").alias(d), F.col("c").alias(f"c_{d}")) for d in ("a", "b"))
+    candidates = one.join(two, key).where("c_a <> c_b and a < b").select("a", "b")
+    docs = written(left.where(F.col("n") > SMALL).select("doc_id", "c").distinct(), "residue-documents")
+    if not docs.isEmpty():
+        rare = prefixes(texts.join(docs.select("doc_id"), "doc_id", "left_semi"), idf, threshold)
+        candidates = candidates.union(_sharing(written(rare.join(docs, "doc_id"), "prefixes")))
+    done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    candidates = written(candidates.distinct().join(done, ["a", "b"], "left_anti"), "candidates")
+    out = _verified(candidates, texts, idf, threshold)
+    forget(left, docs, candidates)
     return out
 
 
@@ -210,30 +312,26 @@ def _digests(docs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """digest (of a text), class_id (smallest doc_id of the class): one row per distinct text."""
+    """digest (of a text), n (rows with it), class_id (smallest doc_id of the class): one row per distinct text."""
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    reps = written(_digests(docs).groupBy("digest").agg(F.min("doc_id").alias("rep")), "text-classes")
+    hashed = docs.select("doc_id", F.md5("text").alias("digest"), F.octet_length("text").alias("size"))
+    reps = written(hashed.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.max("size").cast("long").alias("size")), "text-classes")
     idf = inverse_frequencies(docs)
-    filed = written(bands(docs, idf).join(reps.select(F.col("rep").alias("doc_id")).where("rep is not null").distinct(), "doc_id", "left_semi"), "bands")
-    # two orders of preference, by the band's parity, so that a member has leaders of both
-    prefer = F.xxhash64("doc_id", F.col("band") % 2)
-    leaders = filed.groupBy("band", "key").agg(F.min_by("doc_id", F.struct(prefer, "doc_id")).alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = filed.join(leaders, ["band", "key"])
+    texts = _texts_of(docs, reps)
+    filed = written(bands(texts, idf), "bands")
+    # two orders of preference, by the band's parity: the text with the least of its own, the nearest to all others, and any
+    prefer = F.struct(F.when(F.col("band") % 2 == 0, F.col("own")), F.xxhash64("doc_id", F.col("band") % 2), "doc_id")
+    leaders = filed.groupBy("band", "key").agg(F.min_by("doc_id", prefer).alias("b"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+    leaders = leaders.where("lo < hi").select("band", "key", "b")
+    met = written(filed.drop("own").join(leaders, ["band", "key"]), "groups")
     pairs = written(met.where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct(), "candidates")
-    links = _verified(pairs, docs, idf, threshold)
+    links = _verified(pairs, texts, idf, threshold)
     group = components(links)
-    # second comparison: components within one band group that the leader did not join
-    named = met.join(group, met.doc_id == group.node, "left").select("band", "key", F.coalesce("component", "doc_id").alias("c"), "doc_id", "b")
-    heads = named.groupBy("band", "key", "c").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id", F.lit(2)), "doc_id")).alias("a"))
-    chiefs = heads.groupBy("band", "key").agg(F.min_by("a", F.struct(F.xxhash64("a", F.lit(3)), "a")).alias("b"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    second = heads.join(chiefs, ["band", "key"]).where("a <> b").select("a", "b").distinct()
-    second = written(second.join(pairs, ["a", "b"], "left_anti"), "candidates")
-    if not second.isEmpty():
-        more = _verified(second, docs, idf, threshold)
-        if not more.isEmpty():
-            group = components(links.union(more))
-    out = written(reps.join(group, reps.rep == group.node, "left").select("digest", F.coalesce("component", "rep").alias("class_id")), "classes")
-    forget(reps, filed, pairs, links, second)
+    more = _residue(met.drop("b"), group, pairs, texts, idf, threshold)
+    if more is not None and not more.isEmpty():
+        group = components(links.union(more))
+    out = written(reps.join(group, reps.rep == group.node, "left").select("digest", "n", F.coalesce("component", "rep").alias("class_id")), "classes")
+    forget(reps, filed, met, pairs, links, texts)
     return out
 
 
@@ -243,9 +341,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Equal texts are one class; a null text equals an empty one. Texts without words link with equal texts only. A
     null doc_id is in its text's class but never names one; where all are null the class is null and its rows are
     kept. Repeated rows are rows of one class; rows with one id and several texts link as one document. An empty
-    table gives no rows.
+    table gives no rows; other columns are ignored.
     """
-    out = _digests(docs).join(classes(docs, threshold), "digest").select("doc_id", "class_id")
+    out = with_key(_digests(docs), classes(docs, threshold), "digest", "n").select("doc_id", "class_id")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull()))
 
 
