@@ -301,8 +301,8 @@ def _residue(filed: DataFrame, group: DataFrame, pairs: DataFrame, texts: DataFr
         rare = prefixes(texts.join(docs.select("doc_id"), "doc_id", "left_semi"), idf, threshold)
         candidates = candidates.union(_sharing(written(rare.join(docs, "doc_id"), "prefixes")))
     done = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    candidates = written(candidates.distinct().join(done, ["a", "b"], "left_anti"), "candidates")
-    out = _verified(candidates, texts, idf, threshold)
+    candidates = written(candidates.distinct(), "candidates")  # a pair shares many shingles: once before it is looked up
+    out = _verified(candidates.join(done, ["a", "b"], "left_anti"), texts, idf, threshold)
     forget(left, docs, candidates)
     return out
 
