@@ -2,21 +2,24 @@
 
 Two equal windows of WINDOW bytes have equal anchors: the least hash of the SEED-byte strings in them. Consecutive
 windows with one anchor form a stretch of text. Only stretches whose anchor occurs in several documents can hold a
-repeat; they are dealt out by anchor, so equal windows meet in one place whatever the corpus, and equal stretches
-become one with its smallest document before they do. Where several different stretches share an anchor, they are
-put end to end and a suffix array (`grouping`) brings equal windows together; each run of suffixes with WINDOW
-bytes in common has the smallest document of its members. A window is a repeat for all other documents.
+repeat; they are dealt out by anchor, so equal windows meet in one place whatever the corpus. There the stretches of
+an anchor are put end to end, and a suffix array (`grouping`) brings equal windows together; each run of suffixes
+with WINDOW bytes in common has the smallest document of its members. A window is a repeat for all other documents.
+
+Hashes only say what has to meet. Which windows are equal is read off the suffix arrays, with one exception that
+keeps the shuffle small: a chunk sends byte-equal stretches of its own once, with their smallest document.
 
 Steps, each a table or a shuffle that a lost executor rereads: documents are packed into chunks of some MB, written
-bucketed by chunk; anchors of each chunk (4 bytes each) are dealt out and those of several documents come back;
+bucketed by chunk; anchors of each chunk (6 bytes each) are dealt out and those of several documents come back;
 stretches are dealt out and answers come back; both come back to chunks without moving the chunks. Nothing grows on
-the driver. A passage that every document has is one stretch per chunk.
+the driver. An anchor that occurs very often, as in a line that a third of all documents have, would bring all its
+surroundings to one place: its stretches are cut by the longer anchors of COMMON_SEED bytes before they are dealt out,
+so what lies in the line is one string a chunk, and what reaches beyond it is spread by what follows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +28,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, mix, scratch, text_blocks, written
+from .common import U64, blocks, bucketed, buckets_for, groups_of, mix, text_blocks, written
 from .grouping import suffix_arrays
 
-WINDOW, SEED, FINE = 50, 16, (32, 41, 46)
-#: Symbols of a lane beyond which its strings are cut by longer anchors before they are compared.
-LARGE = 4096
+WINDOW, SEED = 50, 24
+#: Occurrences beyond which an anchor's stretches are cut by longer anchors, and those anchors' bytes.
+COMMON, COMMON_SEED = 20_000, 48
+#: Strings of a lane beyond which it is told apart further, and the anchors for that.
+LANE, FINER = 32, (40, 48)
 #: Bytes of text in a chunk; most windows of a stretch; symbols in one batch of lanes.
-CHUNK, LONGEST, BATCH = 4 << 20, 64, 3 << 19
-#: Bytes of text for each part that anchors are dealt to, and the most parts.
-PART, MOST_PARTS = 12 << 20, 4096
+CHUNK, LONGEST, BATCH = 12 << 20, 64, 3 << 19
+#: Bytes of text for each part that anchors are dealt to.
+PART = 12 << 20
 LAST = np.iinfo(np.int64).max
 
 
 # ---- chunks
 
 
-def chunks_of(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+def chunks_of(docs: DataFrame, keep: tuple[str, ...], size: int) -> DataFrame:
     """chunk, rows (the `keep` columns as an Arrow stream), ids, sizes, text: bucketed by chunk in the shared folder."""
-    spark = docs.sparkSession
     names = list(dict.fromkeys([*keep, "doc_id", "text"]))
 
     def pack(held: list, chunk: int) -> pa.RecordBatch:
@@ -69,10 +73,7 @@ def chunks_of(docs: DataFrame, keep: tuple[str, ...]) -> DataFrame:
             yield pack(held, chunk)
 
     packed = docs.select(*names).mapInArrow(run, "chunk long, rows binary, ids binary, sizes binary, text binary")
-    name = f"chunks_{uuid.uuid4().hex}"
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(buckets, "chunk").option("compression", "zstd").option("path", scratch(spark, "chunks")).saveAsTable(name)
-    return spark.table(name)
+    return bucketed(packed, "chunk", "chunks", buckets_for(docs.sparkSession, size))
 
 
 # ---- stretches of a chunk
@@ -168,9 +169,8 @@ def content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.
 # ---- anchors of several documents
 
 
-def part_bits(chunks: DataFrame) -> int:
-    total = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
-    return max(0, int(min(MOST_PARTS, -(-total // PART)) - 1).bit_length())
+def part_bits(size: int) -> int:
+    return min(31, max(0, (-(-size // PART) - 1).bit_length()))
 
 
 def _parts(key: np.ndarray, bits: int) -> np.ndarray:
@@ -190,7 +190,7 @@ def _low(key: np.ndarray, bits: int) -> np.ndarray:
 
 
 def shared_anchors(chunks: DataFrame, bits: int) -> DataFrame:
-    """chunk, part, anchors: those of each chunk's anchors that some other document has too."""
+    """chunk, part, anchors, common: those of each chunk's anchors that some other document has too, and the very common of them."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,72 +203,75 @@ def shared_anchors(chunks: DataFrame, bits: int) -> DataFrame:
                 if not len(at):
                     continue
                 several = np.maximum.reduceat(doc, at) > np.minimum.reduceat(doc, at)
-                key = np.repeat(key[at], 1 + several)  # twice: known to be in several documents
-                out = [(p, _low(key[s:e], bits).astype("<u4").tobytes()) for p, s, e in _by_part(key, bits)]
+                times = np.minimum(np.diff(np.append(at, len(key))), 0x7FFF) | (several << 15)  # known to be in several documents: the top bit
+                key = key[at]
+                out = [(p, _low(key[s:e], bits).astype("<u4").tobytes(), times[s:e].astype("<u2").tobytes()) for p, s, e in _by_part(key, bits)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p for p, _ in out], pa.int64()), pa.array([chunk.id] * len(out), pa.int64()), pa.array([v for _, v in out], pa.binary())], names=["part", "chunk", "anchors"]
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([chunk.id] * len(out), pa.int64()), *(pa.array([o[j] for o in out], pa.binary()) for j in (1, 2))],
+                    names=["part", "chunk", "anchors", "times"],
                 )
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _groups(batches):
-            held = [(c, np.frombuffer(v, "<u4")) for r in rows for c, v in zip(r.column("chunk").to_pylist(), r.column("anchors").to_pylist(), strict=True)]
-            every = np.sort(np.concatenate([v for _, v in held]))
-            several = np.unique(every[1:][every[1:] == every[:-1]])
-            if not len(several):
+        for (part,), rows in groups_of(batches, "part"):
+            held = [np.frombuffer(v, "<u4") for v in rows.column("anchors").to_pylist()]
+            every, times = np.concatenate(held), np.concatenate([np.frombuffer(v, "<u2") for v in rows.column("times").to_pylist()])
+            order = np.argsort(every, kind="stable")
+            every, times = every[order], times[order]
+            at = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+            several = (np.diff(np.append(at, len(every))) > 1) | (np.maximum.reduceat(times, at) > 0x7FFF)
+            total = np.add.reduceat((times & 0x7FFF).astype(np.int64), at)
+            known, common = every[at][several], (total > COMMON)[several]
+            if not len(known):
                 continue
             found = []
-            for c, v in held:
-                v = np.unique(v)
-                at = np.minimum(np.searchsorted(several, v), len(several) - 1)
-                v = v[several[at] == v]
-                if len(v):
-                    found.append((c, v.tobytes()))
+            for c, v in zip(rows.column("chunk").to_pylist(), held, strict=True):
+                at = np.minimum(np.searchsorted(known, v), len(known) - 1)
+                on = known[at] == v
+                if on.any():
+                    found.append((c, v[on].tobytes(), np.packbits(common[at[on]]).tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([c for c, _ in found], pa.int64()), pa.array([part] * len(found), pa.int64()), pa.array([v for _, v in found], pa.binary())], names=["chunk", "part", "anchors"]
+                [pa.array([f[0] for f in found], pa.int64()), pa.array([int(part)] * len(found), pa.int64()), *(pa.array([f[j] for f in found], pa.binary()) for j in (1, 2))],
+                names=["chunk", "part", "anchors", "common"],
             )
 
-    dealt = chunks.select("chunk", "rows", "ids", "sizes", "text").mapInArrow(local, "part long, chunk long, anchors binary")
-    return dealt.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "chunk long, part long, anchors binary")
+    dealt = chunks.select("chunk", "rows", "ids", "sizes", "text").mapInArrow(local, "part long, chunk long, anchors binary, times binary")
+    return _by_parts(dealt, bits).mapInArrow(meet, "chunk long, part long, anchors binary, common binary")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]):
-    """(part, its record batches) of rows sorted by part."""
-    part, held = None, []
-    for batch in batches:
-        p = batch.column("part").to_numpy()
-        edge = np.flatnonzero(p[1:] != p[:-1]) + 1
-        for s, e in zip([0, *edge.tolist()], [*edge.tolist(), len(p)], strict=True):
-            if e == s:
-                continue
-            if part is not None and p[s] != part:
-                yield part, held
-                held = []
-            part = int(p[s])
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield part, held
+def _by_parts(dealt: DataFrame, bits: int) -> DataFrame:
+    """Parts met in tasks: a few parts a task, however many there are."""
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), (1 << bits) // 8)
+    return dealt.repartition(tasks, "part").sortWithinPartitions("part")
 
 
-def wanted_keys(parts: list, bits: int) -> np.ndarray:
-    """Sorted anchors, with the bits below those kept cut off."""
-    out = [(U64(p["part"]) << U64(32)) | np.frombuffer(p["anchors"], "<u4").astype(np.uint64) for p in sorted(parts, key=lambda p: p["part"])]
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+def wanted_keys(parts: list, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted anchors, with the bits below those kept cut off, and which of them are very common."""
+    keys, common = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+    for p in sorted(parts, key=lambda p: p["part"]):
+        low = np.frombuffer(p["anchors"], "<u4").astype(np.uint64)
+        keys.append((U64(p["part"]) << U64(32)) | low)
+        common.append(np.unpackbits(np.frombuffer(p["common"], np.uint8), count=len(low)).astype(bool))
+    return np.concatenate(keys), np.concatenate(common)
 
 
 # ---- equal windows
 
 
+def _numbered(*keys: np.ndarray) -> np.ndarray:
+    """0, 1, ... for each run of equal keys."""
+    new = np.zeros(len(keys[0]), bool)
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.cumsum(new)
+
+
 def least_documents(first: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc: np.ndarray, data: np.ndarray):
-    """For distinct stretches sorted by anchor: (stretch, windows, document) runs of the smallest document per window."""
-    n = len(first)
+    """(string, windows, document) runs of the smallest document that has each window of each string."""
     windows = size - WINDOW + 1
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, n), bool), anchor[1:] != anchor[:-1]]))
-    per = np.diff(np.append(at, n))
-    low = np.repeat(doc, windows)  # of every window, in order
     begin = np.concatenate([[0], np.cumsum(windows)])
-    several = np.flatnonzero(per > 1)
-    own = _runs(at[several], per[several])
-    _settle(first[own], size[own], begin[own], np.repeat(several, per[several]), doc[own], data, low, 0)
+    low = np.repeat(doc, windows)  # of every window, in order
+    order = np.argsort(anchor, kind="stable")
+    _settle(first[order], size[order], begin[order], _numbered(anchor[order]), doc[order], data, low, 0)
     run = np.ones(len(low), bool)
     run[1:] = low[1:] != low[:-1]
     run[begin[:-1]] = True
@@ -277,144 +280,169 @@ def least_documents(first: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc
     return np.searchsorted(begin, start, side="right") - 1, length, low[start]
 
 
-def _settle(first, size, place, group, doc, data, low, level: int) -> None:
-    """Lowers `low` at equal windows of strings of one group; place: the first window's, doc: of the whole string.
+def _settle(first, size, place, lane, doc, data, low, level: int) -> None:
+    """Lowers `low` at equal windows of one lane to the least document; place: where a string's windows begin in it.
 
-    Strings are cut by the anchors of FINE[level] bytes within them, which equal windows have in common too, and
-    equal pieces become one. Pieces of one such anchor that still differ reach beyond what their documents share:
-    they are compared by suffix arrays, or, where there are very many of them, cut by longer anchors first.
+    Strings come sorted by lane (0, 1, ...). Lanes of some strings have one suffix array. Of longer ones copies are
+    found first, some strings at a time; what is left is dealt to shorter lanes by longer anchors, as windows that
+    are equal have these in common as well.
     """
-    pieces = [_pieces(first[i:j], size[i:j], place[i:j], group[i:j], doc[i:j], data, FINE[level]) for i, j in _whole_groups(size, group, 1 << 20)]
-    if not pieces:
+    per = np.bincount(lane)[lane]
+    few, many = (per > 1) & (per <= LANE), per > LANE
+    _compare(first[few], size[few], place[few], lane[few], data, low)
+    if not many.any():
         return
-    # of each piece: its first window and number of windows in `low`, and which distinct piece it is
-    into, count, which = (np.concatenate([p[k] for p in pieces]) for k in range(3))
-    base = np.cumsum([0] + [len(p[3]) for p in pieces])
-    which = which + np.repeat(base[:-1], [len(p[2]) for p in pieces])
-    start, length, key, least = (np.concatenate([p[k] for p in pieces]) for k in range(3, 7))
-    own_low = np.repeat(least, length)
-    own_begin = np.cumsum(length) - length
-    lane = np.cumsum(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]])) - 1
-    several = np.bincount(lane)[lane] > 1
-    large = (np.bincount(lane, length + WINDOW)[lane] > LARGE) & several if level + 1 < len(FINE) else np.zeros(len(lane), bool)
-    few = several & ~large
-    _compare(start[few], length[few] + WINDOW - 1, own_begin[few], lane[few], data, own_low)
+    first, size, place, lane, doc = (x[many] for x in (first, size, place, lane, doc))
+    windows = size - WINDOW + 1
+    copy_of = _copies(first, size, lane, data)
+    order = np.argsort(copy_of, kind="stable")
+    head = np.flatnonzero(np.concatenate([[True], np.diff(copy_of[order]) > 0]))
+    one = copy_of[order[head]]
+    least = np.minimum.reduceat(doc[order], head)
+    f, z, w = first[one], size[one], windows[one]
+    own_low = np.repeat(least, w)
+    begin = np.cumsum(w) - w
+    own = _numbered(lane[one])
+    per = np.bincount(own)[own]
+    large = (per > LANE) & (level < len(FINER))
+    short = (per > 1) & ~large
+    _compare(f[short], z[short], begin[short], own[short], data, own_low)
     if large.any():
-        _settle(start[large], length[large] + WINDOW - 1, own_begin[large], lane[large], least[large], data, own_low, level + 1)
-    low[_runs(into, count)] = own_low[_runs(own_begin[which], count)]
-
-
-def _whole_groups(size: np.ndarray, group: np.ndarray, limit: int):
-    """Ranges of some `limit` bytes that no group crosses."""
-    upto, i = np.cumsum(size), 0
-    while i < len(size):
-        j = min(len(size), max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + limit, side="right"))))
-        j = int(np.searchsorted(group, group[j - 1], side="right"))
-        yield i, j
-        i = j
-
-
-def _pieces(first, size, place, group, doc, data, seed: int):
-    """Pieces of strings by anchor, and the distinct ones, sorted by anchor."""
-    text = gather(data, first, size)
-    offsets = np.concatenate([[0], np.cumsum(size)])
-    at, windows, key, of = anchors(text, offsets, seed)
-    key = mix(key + group[of].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
-    content = content_hashes(text, at, windows + WINDOW - 1)
-    order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    head = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-    which = np.empty(len(key), np.int64)
-    which[order] = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(k))))
-    one = order[head]
-    least = np.minimum.reduceat(doc[of[order]], head) if len(head) else np.zeros(0, np.int64)
-    inside = at - offsets[of]
-    return place[of] + inside, windows, which, first[of[one]] + inside[one], windows[one], k[head], least
-
-
-def _compare(first, size, window, group, data, low) -> None:
-    """Puts the strings of each group end to end and lowers `low` at equal windows to the least document among them."""
-    if not len(first):
+        f, z, at, own, least = (x[large] for x in (f, z, begin, own, least))
+        offsets = np.concatenate([[0], np.cumsum(z)])
+        parts = []
+        for i, j in blocks(offsets, 1 << 20):
+            inner, n, key, of = anchors(gather(data, f[i:j], z[i:j]), offsets[i : j + 1] - offsets[i], FINER[level])
+            parts.append((inner + offsets[i], n, key, of + i))
+        inner, n, key, of = (np.concatenate(x) for x in zip(*parts, strict=True))
+        inner = inner - offsets[of]
+        key = mix(key + own[of].astype(np.uint64) * U64(0x9E3779B97F4A7C15))
+        order = np.argsort(key, kind="stable")
+        inner, n, of = inner[order], n[order], of[order]
+        _settle(f[of] + inner, n + WINDOW - 1, at[of] + inner, _numbered(key[order]), least[of], data, own_low, level + 1)
+    number = np.empty(len(first), np.int64)
+    number[one] = np.arange(len(one))
+    low[_runs(place, windows)] = own_low[_runs(begin[number[copy_of]], windows)]
+
+
+def _batches(size: np.ndarray, lane: np.ndarray):
+    """(strings, strings of each lane, symbols of each lane) of batches of whole lanes, those of like lengths together."""
+    if not len(size):
         return
-    at = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    per = np.diff(np.append(at, len(group)))
-    lane_size = np.add.reduceat(size + 1, at) + 1
-    by = np.argsort(lane_size, kind="stable")[::-1]  # lanes of like lengths advance together
-    at, per, lane_size = at[by], per[by], lane_size[by]
-    total = np.cumsum(lane_size)
+    at = np.flatnonzero(np.concatenate([[True], lane[1:] != lane[:-1]]))
+    per = np.diff(np.append(at, len(lane)))
+    symbols = np.add.reduceat(size + 1, at) + 1
+    by = np.argsort(symbols, kind="stable")[::-1]
+    at, per, symbols = at[by], per[by], symbols[by]
+    total = np.cumsum(symbols)
     i = 0
     while i < len(at):
         j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BATCH, side="right")))
-        own = _runs(at[i:j], per[i:j])
-        _lanes(first[own], size[own], window[own], per[i:j], lane_size[i:j], data, low)
+        yield _runs(at[i:j], per[i:j]), per[i:j], symbols[i:j]
         i = j
 
 
-def _lanes(first, size, place, per, lane_size, data, low) -> None:
-    """One batch: per[k] strings in lane k, which has lane_size[k] symbols."""
+def _ordered(first, size, per, lane_size, data):
+    """A batch's strings end to end, per[k] of them in lane k: where each begins, the suffix arrays, and from each place four symbols as one."""
     lane_begin = np.concatenate([[0], np.cumsum(lane_size)])
     lane = np.repeat(np.arange(len(per)), per)
     start = np.cumsum(size + 1) - (size + 1) + lane  # each earlier lane has one symbol more: its end
     symbols = np.ones(int(lane_begin[-1]), np.int32)
     symbols[lane_begin[1:] - 1] = 0
     symbols[_runs(start, size)] = gather(data, first, size).astype(np.int32) + 2
-    count = size - WINDOW + 1
-    window = np.full(len(symbols), -1, np.int64)  # its place in `low`
-    window[_runs(start, count)] = _runs(place, count)
-    order = suffix_arrays(symbols, lane_begin)
-    order = order[window[order] >= 0]
-    same = np.zeros(len(order), bool)
-    padded = np.concatenate([symbols.astype(np.uint16), np.zeros(WINDOW, np.uint16)])
-    # neighbours in the suffix order share WINDOW bytes or not: four symbols at a time, dropping pairs that differ
+    padded = np.concatenate([symbols.astype(np.uint16), np.zeros(LONGEST + WINDOW + 4, np.uint16)])
     words = sum(padded[k : len(padded) - 3 + k].astype(np.uint64) << U64(16 * k) for k in range(4))
+    return start, suffix_arrays(symbols, lane_begin), words
+
+
+def _agree(order: np.ndarray, words: np.ndarray, size: int) -> np.ndarray:
+    """Places of the order that share at least `size` symbols with the one before: four at a time, dropping what differs."""
     pair = np.arange(1, len(order))
-    for k in [*range(0, WINDOW - 3, 4), WINDOW - 4]:
+    for k in [*range(0, size - 3, 4), size - 4]:
         pair = pair[words[order[pair] + k] == words[order[pair - 1] + k]]
-    same[pair] = True
-    head = np.flatnonzero(~same)
-    where = window[order]
-    if len(head):
+    return pair
+
+
+def _compare(first, size, place, lane, data, low) -> None:
+    """Lowers `low` at equal windows of each lane's strings to the least document among them."""
+    for own, per, lane_size in _batches(size, lane):
+        start, order, words = _ordered(first[own], size[own], per, lane_size, data)
+        count = size[own] - WINDOW + 1
+        window = np.full(int(lane_size.sum()), -1, np.int64)  # its place in `low`
+        window[_runs(start, count)] = _runs(place[own], count)
+        order = order[window[order] >= 0]
+        same = np.zeros(len(order), bool)
+        same[_agree(order, words, WINDOW)] = True
+        head = np.flatnonzero(~same)
+        where = window[order]
         low[where] = np.repeat(np.minimum.reduceat(low[where], head), np.diff(np.append(head, len(order))))
 
 
+def _copies(first, size, lane, data) -> np.ndarray:
+    """For each string an equal one of its lane that stands for it, found by suffix arrays of LANE strings at a time.
+
+    Rounds end when they find few copies more; those that are left over only cost time later.
+    """
+    copy_of = np.arange(len(first))
+    left = copy_of
+    while True:
+        l = lane[left]
+        place = np.arange(len(left)) - np.searchsorted(l, l)
+        sub = _numbered(l, place // LANE)
+        stands = np.arange(len(left))
+        for own, per, lane_size in _batches(size[left], sub):
+            z = size[left][own]
+            start, order, words = _ordered(first[left][own], z, per, lane_size, data)
+            string = np.full(int(lane_size.sum()), -1, np.int64)
+            string[start] = np.arange(len(own))
+            order = order[string[order] >= 0]
+            which = string[order]
+            pair = 1 + np.flatnonzero(z[which[1:]] == z[which[:-1]])
+            for k in range(0, int(z.max()) - 3, 4):
+                end = np.minimum(k, z[which[pair]] - 4)
+                pair = pair[words[order[pair] + end] == words[order[pair - 1] + end]]
+            same = np.zeros(len(order), bool)
+            same[pair] = True
+            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
+            stands[own[which]] = own[which[head]]
+        copy_of[left] = left[stands]
+        now = left[stands == np.arange(len(left))]
+        done = len(now) > 0.75 * len(left) or int(np.bincount(lane[now]).max()) <= LANE
+        left = now
+        if done:
+            break
+    while (copy_of[copy_of] != copy_of).any():
+        copy_of = copy_of[copy_of]
+    return copy_of
+
+
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     end = np.cumsum(size)
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - end + size, size)
 
 
-def earliest(stretches: DataFrame) -> DataFrame:
+def earliest(stretches: DataFrame, bits: int) -> DataFrame:
     """chunk, part, runs, lengths, documents: for every chunk's stretches the smallest document of each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in _groups(batches):
-            table = pa.Table.from_batches(rows)
+        for (part,), table in groups_of(batches, "part"):
             column = lambda c, t: [np.frombuffer(x, t) for x in table.column(c).to_pylist()]  # noqa: E731,B023
-            anchor, content = column("anchor", "<u4"), column("content", "<u8")
-            sizes, docs, texts = column("sizes", "<u1"), column("documents", "<i8"), column("bytes", "<u1")
-            n = [len(a) for a in anchor]
-            a, c, z, d, data = (np.concatenate(x) for x in (anchor, content, sizes, docs, texts))
-            z = z.astype(np.int64)
-            order = np.lexsort((d, c, a))
-            at = np.flatnonzero(np.concatenate([np.ones(min(1, len(a)), bool), (np.diff(a[order]) != 0) | (c[order][1:] != c[order][:-1])]))
-            which = np.empty(len(a), np.int64)
-            which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(a))))
-            one = order[at]  # of equal stretches the one with the smallest document
-            first = np.cumsum(z) - z
-            of, length, doc = least_documents(first[one], z[one], a[one], d[one], data)
-            runs = np.bincount(of, minlength=len(one))
-            run_at = np.cumsum(runs) - runs
-            edge = np.concatenate([[0], np.cumsum(n)])
+            anchor, sizes, docs, texts = column("anchor", "<u4"), column("sizes", "<u1"), column("documents", "<i8"), column("bytes", "<u1")
+            n = np.array([len(a) for a in anchor])
+            size = np.concatenate(sizes).astype(np.int64)
+            of, length, doc = least_documents(np.cumsum(size) - size, size, np.concatenate(anchor), np.concatenate(docs), np.concatenate(texts))
+            runs = np.bincount(of, minlength=len(size))
+            string, run_at = np.concatenate([[0], np.cumsum(n)]), np.concatenate([[0], np.cumsum(runs)])
             out = []
-            for k in range(len(n)):
-                w = which[edge[k] : edge[k + 1]]
-                take = np.arange(int(runs[w].sum())) + np.repeat(run_at[w] - np.cumsum(runs[w]) + runs[w], runs[w])
-                out.append((runs[w].astype("<u1").tobytes(), length[take].astype("<u1").tobytes(), doc[take].astype("<i8").tobytes()))
+            for s, e in zip(string[:-1].tolist(), string[1:].tolist(), strict=True):
+                a, b = run_at[s], run_at[e]
+                out.append((runs[s:e].astype("<u1").tobytes(), length[a:b].astype("<u1").tobytes(), doc[a:b].astype("<i8").tobytes()))
             yield pa.RecordBatch.from_arrays(
-                [table.column("chunk").combine_chunks(), pa.array([part] * len(n), pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(3))],
+                [table.column("chunk").combine_chunks(), pa.array([int(part)] * len(n), pa.int64()), *(pa.array([o[k] for o in out], pa.binary()) for k in range(3))],
                 names=["chunk", "part", "runs", "lengths", "documents"],
             )
 
-    return stretches.repartition("part").sortWithinPartitions("part").mapInArrow(run, "chunk long, part long, runs binary, lengths binary, documents binary")
+    return _by_parts(stretches, bits).mapInArrow(run, "chunk long, part long, runs binary, lengths binary, documents binary")
 
 
 # ---- the operator
@@ -433,8 +461,9 @@ def removals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: str |
     one id never repeat each other, and a null id counts as the largest. In the `clean` text only whole characters
     are removed. Repeated rows are returned each; an empty table gives no rows; other columns are ignored.
     """
-    chunks = chunks_of(docs, keep)
-    bits = part_bits(chunks)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = chunks_of(docs, keep, size)
+    bits = part_bits(size)
     several = written(shared_anchors(chunks, bits), "anchors")
 
     def cut(key: np.ndarray) -> np.ndarray:
@@ -442,25 +471,24 @@ def removals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: str |
 
     def open_(batch: pa.RecordBatch, k: int):
         chunk = Chunk(batch, k)
-        wanted = wanted_keys(batch.column("parts")[k].as_py() or [], bits)
-        return chunk, wanted
+        return chunk, wanted_keys(batch.column("parts")[k].as_py() or [], bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 chunk, wanted = open_(batch, k)
-                if not len(wanted):
+                if not len(wanted[0]):
                     continue
-                (first, windows, _, _), (key, content, one, least) = _distinct(chunk, wanted, cut)
+                (first, windows, _, _), (key, one, least) = _distinct(chunk, wanted, cut)
                 size = windows[one] + WINDOW - 1
                 at = np.concatenate([[0], np.cumsum(size)])
                 data = gather(chunk.data, first[one], size)
                 out = []
                 for p, s, e in _by_part(key << U64(32 - bits), bits):
-                    out.append((p, key[s:e].astype("<u4").tobytes(), content[s:e].astype("<u8").tobytes(), size[s:e].astype("<u1").tobytes(), least[s:e].astype("<i8").tobytes(), data[at[s] : at[e]].tobytes()))
+                    out.append((p, key[s:e].astype("<u4").tobytes(), size[s:e].astype("<u1").tobytes(), least[s:e].astype("<i8").tobytes(), data[at[s] : at[e]].tobytes()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([o[0] for o in out], pa.int64()), pa.array([chunk.id] * len(out), pa.int64()), *(pa.array([o[j] for o in out], pa.binary()) for j in range(1, 6))],
-                    names=["part", "chunk", "anchor", "content", "sizes", "documents", "bytes"],
+                    [pa.array([o[0] for o in out], pa.int64()), pa.array([chunk.id] * len(out), pa.int64()), *(pa.array([o[j] for o in out], pa.binary()) for j in range(1, 5))],
+                    names=["part", "chunk", "anchor", "sizes", "documents", "bytes"],
                 )
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,7 +497,7 @@ def removals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: str |
                 chunk, wanted = open_(batch, k)
                 gone = np.zeros(len(chunk.data), bool)
                 answers = sorted(batch.column("answers")[k].as_py() or [], key=lambda p: p["part"])
-                if answers and len(wanted):
+                if answers and len(wanted[0]):
                     (first, windows, text, which), _ = _distinct(chunk, wanted, cut)
                     runs = np.concatenate([np.frombuffer(p["runs"], "<u1") for p in answers]).astype(np.int64)
                     length = np.concatenate([np.frombuffer(p["lengths"], "<u1") for p in answers]).astype(np.int64)
@@ -488,8 +516,8 @@ def removals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: str |
                     gone = np.cumsum(edge)[:-1] > 0
                 yield _result(chunk, gone, clean)
 
-    joined = _with_parts(chunks, several, "anchors")
-    answers = written(earliest(joined.mapInArrow(send, "part long, chunk long, anchor binary, content binary, sizes binary, documents binary, bytes binary")), "answers")
+    joined = _with_parts(chunks, several, "anchors", "common")
+    answers = written(earliest(joined.mapInArrow(send, "part long, chunk long, anchor binary, sizes binary, documents binary, bytes binary"), bits), "answers")
     back = answers.groupBy("chunk").agg(F.collect_list(F.struct("part", "runs", "lengths", "documents")).alias("answers"))
     schema = docs.select(*keep).schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_sha256", "string")
     if clean:
@@ -497,25 +525,52 @@ def removals(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), clean: str |
     return joined.join(back.hint("shuffle_hash"), "chunk", "left").mapInArrow(apply, schema)
 
 
-def _distinct(chunk: Chunk, wanted: np.ndarray, cut):
-    """Stretches of wanted anchors, and the distinct ones among them in order of anchor and content.
+def _distinct(chunk: Chunk, wanted: tuple[np.ndarray, np.ndarray], cut):
+    """Stretches of wanted anchors, and the distinct ones among them in order of anchor.
 
-    Returns (first, windows, text, which) of all and (anchor, content hash, one of all, smallest document) of the
-    distinct: `which` numbers the latter. Anchors are compared without their lowest bits.
+    Returns (first, windows, text, which) of all and (anchor, one of all, smallest document) of the distinct: `which`
+    numbers the latter. Anchors are compared without their lowest bits; stretches of very common ones are cut.
     """
+    wanted, common = wanted
     first, windows, key, text = chunk.stretches()
     key = cut(key)
     at = np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)
     on = wanted[at] == key
-    first, windows, key, text = first[on], windows[on], key[on], text[on]
-    content = content_hashes(chunk.data, first, windows + WINDOW - 1)
-    order = np.lexsort((content, key))
-    k, c = key[order], content[order]
-    at = np.flatnonzero(np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
+    first, windows, key, text, often = first[on], windows[on], key[on], text[on], common[at[on]]
+    if often.any():
+        f, size = first[often], windows[often] + WINDOW - 1
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        parts = [(first[~often], windows[~often], key[~often], text[~often])]
+        for i, j in blocks(offsets, 1 << 20):
+            inner, n, longer, of = anchors(gather(chunk.data, f[i:j], size[i:j]), offsets[i : j + 1] - offsets[i], COMMON_SEED)
+            parts.append((f[of + i] + inner + offsets[i] - offsets[of + i], n, cut(longer), text[often][of + i]))
+        first, windows, key, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+    size = windows + WINDOW - 1
+    content = content_hashes(chunk.data, first, size)
+    while True:
+        order = np.lexsort((content, key))
+        k, c = key[order], content[order]
+        new = np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        at = np.flatnonzero(new)
+        of = np.repeat(at, np.diff(np.append(at, len(k))))
+        other = _unequal(chunk.data, first, size, order[~new], order[of[~new]])
+        if not len(other):
+            break
+        content[other] = mix(content[other] + U64(1))  # one hash for different bytes: tell them apart
     which = np.empty(len(key), np.int64)
-    which[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(k))))
+    which[order] = np.cumsum(new) - 1
     least = np.minimum.reduceat(chunk.ids[text[order]], at) if len(at) else np.zeros(0, np.int64)
-    return (first, windows, text, which), (k[at], c[at], order[at], least)
+    return (first, windows, text, which), (k[at], order[at], least)
+
+
+def _unequal(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Those of the strings a whose bytes are not those of the strings b."""
+    words = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,)) if len(data) > 7 else np.zeros(0, np.uint64)
+    bad = size[a] != size[b]
+    for k in range(0, int(size[a].max(initial=0)), 8):
+        end = np.minimum(k, np.minimum(size[a], size[b]) - 8)  # no string is shorter than a window
+        bad |= words[first[a] + end] != words[first[b] + end]
+    return a[bad]
 
 
 def _result(chunk: Chunk, gone: np.ndarray, clean: str | None) -> pa.RecordBatch:

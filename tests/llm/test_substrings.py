@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -47,7 +48,10 @@ def check(spark, rows, parts=3):
     assert sorted(got, key=str) == brute(rows)
 
 
-def test_against_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("common", [3, 20_000])
+def test_against_brute_force(spark, monkeypatch, common):
+    """Also where nearly all anchors are cut by longer ones before they are dealt out."""
+    monkeypatch.setattr(substrings, "COMMON", common)
     rng = random.Random(5)
     words = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(60)]
     base = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 120))) for _ in range(12)]
@@ -63,13 +67,15 @@ def test_against_brute_force(spark, monkeypatch):
     check(spark, rows)
 
 
-def test_many_contexts_of_common_lines(monkeypatch):
-    """Lines of 33, 47 and 60 bytes before and after texts of their own, with the cut at longer anchors forced."""
+@pytest.mark.parametrize("lane", [2, 5, 32])
+def test_many_contexts_of_common_lines(monkeypatch, lane):
+    """Lines of 33, 47 and 60 bytes before and after texts of their own, with short lanes forced; and copies of them."""
     rng = random.Random(6)
     own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
     lines = [own(33), own(47), own(60)]
     rows = [(k, (own(rng.randint(0, 40)) + rng.choice(lines) + own(rng.randint(0, 40)) + rng.choice(lines) * rng.randint(1, 2)).encode()) for k in range(80)]
-    monkeypatch.setattr(substrings, "LARGE", 150)
+    rows += [(80 + k, t) for k, (_, t) in enumerate(rows[:30] * 3)]
+    monkeypatch.setattr(substrings, "LANE", lane)
     data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
     offsets = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
     first, windows, key, text = substrings.anchors(data, offsets)
@@ -85,6 +91,13 @@ def test_many_contexts_of_common_lines(monkeypatch):
     assert got == {int(offsets[k]) + i: least[t[i : i + 50]] for k, t in rows for i in range(len(t) - 49)}
 
 
+def test_all_of_a_given_table(spark, sf_dir):
+    import pyarrow.parquet as pq
+
+    table = pq.read_table(f"{sf_dir}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    check(spark, [(r["doc_id"], r["text"]) for r in table])
+
+
 def test_empty_and_single(spark):
     assert substrings.removals(spark.createDataFrame([], DOCS)).count() == 0
     check(spark, [(1, "only one document, with no other to repeat it, of more than fifty bytes")])
