@@ -6,8 +6,8 @@ repeat; they are dealt out by anchor, so equal windows meet in one place whateve
 an anchor are put end to end, and a suffix array (`grouping`) brings equal windows together; each run of suffixes
 with WINDOW bytes in common has the smallest document of its members. A window is a repeat for all other documents.
 
-Hashes only say what has to meet. Which windows are equal is read off the suffix arrays, with one exception that
-keeps the shuffle small: a chunk sends byte-equal stretches of its own once, with their smallest document.
+Hashes only say what has to meet: copies of a stretch are merged when their bytes are equal, in its chunk and again
+where they meet, and which windows different stretches have in common is read off the suffix arrays.
 
 Steps, each a table or a shuffle that a lost executor rereads: documents are packed into chunks of some MB, written
 bucketed by chunk; anchors of each chunk (6 bytes each) are dealt out and those of several documents come back;
@@ -35,7 +35,7 @@ WINDOW, SEED = 50, 24
 #: Occurrences beyond which an anchor's stretches are cut by longer anchors, and those anchors' bytes.
 COMMON, COMMON_SEED = 20_000, 48
 #: Strings of a lane beyond which it is told apart further, and the anchors for that.
-LANE, FINER = 32, (40, 48)
+LANE, FINER = 16, (40, 48)
 #: Bytes of text in a chunk; most windows of a stretch; symbols in one batch of lanes.
 CHUNK, LONGEST, BATCH = 12 << 20, 64, 3 << 19
 #: Bytes of text for each part that anchors are dealt to.
@@ -283,22 +283,12 @@ def least_documents(first: np.ndarray, size: np.ndarray, anchor: np.ndarray, doc
 def _settle(first, size, place, lane, doc, data, low, level: int) -> None:
     """Lowers `low` at equal windows of one lane to the least document; place: where a string's windows begin in it.
 
-    Strings come sorted by lane (0, 1, ...). Lanes of some strings have one suffix array. Of longer ones copies are
-    found first, some strings at a time; what is left is dealt to shorter lanes by longer anchors, as windows that
-    are equal have these in common as well.
+    Strings come sorted by lane (0, 1, ...). Copies of a string are one, with the least of their documents. What
+    differs in a lane has one suffix array; lanes of many strings are dealt to shorter ones by longer anchors first,
+    as windows that are equal have these in common as well.
     """
-    per = np.bincount(lane)[lane]
-    few, many = (per > 1) & (per <= LANE), per > LANE
-    _compare(first[few], size[few], place[few], lane[few], data, low)
-    if not many.any():
-        return
-    first, size, place, lane, doc = (x[many] for x in (first, size, place, lane, doc))
     windows = size - WINDOW + 1
-    copy_of = _copies(first, size, lane, data)
-    order = np.argsort(copy_of, kind="stable")
-    head = np.flatnonzero(np.concatenate([[True], np.diff(copy_of[order]) > 0]))
-    one = copy_of[order[head]]
-    least = np.minimum.reduceat(doc[order], head)
+    one, which, least = merged(data, first, size, lane, doc)
     f, z, w = first[one], size[one], windows[one]
     own_low = np.repeat(least, w)
     begin = np.cumsum(w) - w
@@ -320,9 +310,28 @@ def _settle(first, size, place, lane, doc, data, low, level: int) -> None:
         order = np.argsort(key, kind="stable")
         inner, n, of = inner[order], n[order], of[order]
         _settle(f[of] + inner, n + WINDOW - 1, at[of] + inner, _numbered(key[order]), least[of], data, own_low, level + 1)
-    number = np.empty(len(first), np.int64)
-    number[one] = np.arange(len(one))
-    low[_runs(place, windows)] = own_low[_runs(begin[number[copy_of]], windows)]
+    low[_runs(place, windows)] = own_low[_runs(begin[which], windows)]
+
+
+def merged(data: np.ndarray, first: np.ndarray, size: np.ndarray, key: np.ndarray, doc: np.ndarray):
+    """Byte-equal strings of one key as one: (one of each, sorted by key; which of them each string is; least document).
+
+    Hashes bring strings together and their bytes are compared.
+    """
+    content = content_hashes(data, first, size)
+    while True:
+        order = np.lexsort((content, key))
+        k, c = key[order], content[order]
+        new = np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
+        at = np.flatnonzero(new)
+        head = np.repeat(at, np.diff(np.append(at, len(k))))
+        other = _unequal(data, first, size, order[~new], order[head[~new]])
+        if not len(other):
+            break
+        content[other] = mix(content[other] + U64(1))  # one hash for different bytes: tell them apart
+    which = np.empty(len(key), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return order[at], which, np.minimum.reduceat(doc[order], at) if len(at) else np.zeros(0, np.int64)
 
 
 def _batches(size: np.ndarray, lane: np.ndarray):
@@ -378,44 +387,6 @@ def _compare(first, size, place, lane, data, low) -> None:
         low[where] = np.repeat(np.minimum.reduceat(low[where], head), np.diff(np.append(head, len(order))))
 
 
-def _copies(first, size, lane, data) -> np.ndarray:
-    """For each string an equal one of its lane that stands for it, found by suffix arrays of LANE strings at a time.
-
-    Rounds end when they find few copies more; those that are left over only cost time later.
-    """
-    copy_of = np.arange(len(first))
-    left = copy_of
-    while True:
-        l = lane[left]
-        place = np.arange(len(left)) - np.searchsorted(l, l)
-        sub = _numbered(l, place // LANE)
-        stands = np.arange(len(left))
-        for own, per, lane_size in _batches(size[left], sub):
-            z = size[left][own]
-            start, order, words = _ordered(first[left][own], z, per, lane_size, data)
-            string = np.full(int(lane_size.sum()), -1, np.int64)
-            string[start] = np.arange(len(own))
-            order = order[string[order] >= 0]
-            which = string[order]
-            pair = 1 + np.flatnonzero(z[which[1:]] == z[which[:-1]])
-            for k in range(0, int(z.max()) - 3, 4):
-                end = np.minimum(k, z[which[pair]] - 4)
-                pair = pair[words[order[pair] + end] == words[order[pair - 1] + end]]
-            same = np.zeros(len(order), bool)
-            same[pair] = True
-            head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
-            stands[own[which]] = own[which[head]]
-        copy_of[left] = left[stands]
-        now = left[stands == np.arange(len(left))]
-        done = len(now) > 0.75 * len(left) or int(np.bincount(lane[now]).max()) <= LANE
-        left = now
-        if done:
-            break
-    while (copy_of[copy_of] != copy_of).any():
-        copy_of = copy_of[copy_of]
-    return copy_of
-
-
 def _runs(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     end = np.cumsum(size)
     return np.arange(int(end[-1]) if len(end) else 0) + np.repeat(start - end + size, size)
@@ -545,22 +516,8 @@ def _distinct(chunk: Chunk, wanted: tuple[np.ndarray, np.ndarray], cut):
             inner, n, longer, of = anchors(gather(chunk.data, f[i:j], size[i:j]), offsets[i : j + 1] - offsets[i], COMMON_SEED)
             parts.append((f[of + i] + inner + offsets[i] - offsets[of + i], n, cut(longer), text[often][of + i]))
         first, windows, key, text = (np.concatenate(x) for x in zip(*parts, strict=True))
-    size = windows + WINDOW - 1
-    content = content_hashes(chunk.data, first, size)
-    while True:
-        order = np.lexsort((content, key))
-        k, c = key[order], content[order]
-        new = np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-        at = np.flatnonzero(new)
-        of = np.repeat(at, np.diff(np.append(at, len(k))))
-        other = _unequal(chunk.data, first, size, order[~new], order[of[~new]])
-        if not len(other):
-            break
-        content[other] = mix(content[other] + U64(1))  # one hash for different bytes: tell them apart
-    which = np.empty(len(key), np.int64)
-    which[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(chunk.ids[text[order]], at) if len(at) else np.zeros(0, np.int64)
-    return (first, windows, text, which), (k[at], order[at], least)
+    one, which, least = merged(chunk.data, first, windows + WINDOW - 1, key, chunk.ids[text])
+    return (first, windows, text, which), (key[one], one, least)
 
 
 def _unequal(data: np.ndarray, first: np.ndarray, size: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
