@@ -62,13 +62,17 @@ def maximal_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def render(turns: DataFrame, begin: str = "<|", middle: str = "|>\n", end: str = "<|end|>\n") -> DataFrame:
-    """conv_id, chat: the turns in order as ``begin role middle text end``; a null role is "unknown", a null text empty."""
+def render(turns: DataFrame, begin: str = "<|", middle: str = "|>\n", end: str = "<|end|>\n", also: tuple[str, ...] = ()) -> DataFrame:
+    """conv_id, columns `also` (equal within a conversation), chat: the turns in order as ``begin role middle text end``.
+
+    A null role is "unknown", a null text empty.
+    """
     piece = F.concat(
         F.lit(begin), F.coalesce("role", F.lit("unknown")), F.lit(middle), F.coalesce("text", F.lit("")), F.lit(end)
     )
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text", piece.alias("piece"))))
-    return turns.groupBy("conv_id").agg(F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("chat"))
+    chat = F.array_join(F.transform(ordered, lambda x: x["piece"]), "").alias("chat")
+    return turns.groupBy("conv_id").agg(*[F.first(c).alias(c) for c in also], chat)
 
 
 def format_chats(turns: DataFrame, **template: str) -> DataFrame:
@@ -78,8 +82,5 @@ def format_chats(turns: DataFrame, **template: str) -> DataFrame:
     """
     keep = maximal_conversations(turns).withColumnRenamed("conv_id", "_keep")
     slim = turns.select("conv_id", "turn", "role", "text")
-    return (
-        render(slim, **template)
-        .join(keep, F.col("conv_id").eqNullSafe(F.col("_keep")))
-        .select("conv_id", "n_turns", "n_copies", "chat")
-    )
+    kept = slim.join(keep, F.col("conv_id").eqNullSafe(F.col("_keep"))).drop("_keep")  # only what stays is rendered
+    return render(kept, also=("n_turns", "n_copies"), **template).select("conv_id", "n_turns", "n_copies", "chat")

@@ -1,13 +1,14 @@
 """Sum-of-squares online packing of token ids into windows of a fixed length.
 
-A document is cut into whole windows and a remainder. The remainder's part that is a multiple of `quantum`
-goes to the open window whose new fill level makes the sum of squared counts of windows per level smallest:
-an array holds how many windows are open at each level, and windows at one level are interchangeable. What is
-left of the remainder (under one quantum) follows the previous such rests in a window of its own kind. At the
-end of a task the windows still open are joined end to end and cut anew, so a task pads one window at most.
-
-Map-only: no shuffle, and a task holds its open windows only (levels x a few). Sequence ids are the task's
-partition number and a counter, so a task that runs again gives the same ids.
+A document of at most a window goes whole into the open window whose new fill level makes the sum of squared counts
+of windows per level smallest: an array holds how many windows are open at each level (each number of ids filled), and
+windows at one level are interchangeable. Of a longer document the whole windows are cut off first. Documents are cut
+for two more reasons only: at a task's end the windows still open are joined end to end and cut anew, so that a task
+pads one window at most; and where more than `most_open` windows are open (as when all documents are just over half
+a window) the same is done at once, so that a task's memory stays bounded.
+
+Map-only: no shuffle, and a task holds its open windows only. Sequence ids are the task's partition number and a
+counter, so a task that runs again gives the same ids.
 """
 
 from __future__ import annotations
@@ -32,13 +33,11 @@ PIECE = (("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("doc_tok
 class SumOfSquares:
     """Feeds pieces (key, start, ids, doc_tokens) to windows; full windows go to `emit` as lists of pieces."""
 
-    def __init__(self, window: int, quantum: int, emit):
-        if window % quantum:
-            raise ValueError("window must be a multiple of quantum")
-        self.window, self.quantum, self.emit = window, quantum, emit
-        self.levels = window // quantum
-        self.count = np.zeros(self.levels + 1, np.int64)  # open windows at each level
-        self.open: list[list[list]] = [[] for _ in range(self.levels)]
+    def __init__(self, window: int, emit, most_open: int = 4096):
+        self.window, self.emit, self.most_open = window, emit, most_open
+        self.count = np.zeros(window + 1, np.int64)  # open windows at each level
+        self.open: list[list[list]] = [[] for _ in range(window)]
+        self.n_open = 0
         self.rest: list = []
         self.rest_fill = 0
 
@@ -47,29 +46,36 @@ class SumOfSquares:
         whole = n // w * w
         for s in range(0, whole, w):
             self.emit([(key, s, ids[s : s + w], n)])
-        units = (n - whole) // self.quantum
-        if units:
-            self._place((key, whole, ids[whole : whole + units * self.quantum], n), units)
-        tail = whole + units * self.quantum
-        if tail < n:
-            self._append((key, tail, ids[tail:], n))
-
-    def _place(self, piece, units: int) -> None:
-        """Moves one window from level h to h + units: the squares change by 2 (N[h + units] - N[h]) + 2."""
-        count, top = self.count, self.levels
-        change = 2 * (count[units:] - count[: top + 1 - units]) + 2
-        change[0] = 2 * count[units] + 1  # a new window
-        change[-1] = 1 - 2 * count[top - units]  # a window that is full is not counted
-        change[1:][count[1 : top + 1 - units] == 0] = np.iinfo(np.int64).max
-        h = int(np.argmin(change))
+        if whole < n:
+            self._place((key, whole, ids[whole:], n))
+        if self.n_open > self.most_open:
+            self._join()
+
+    def level(self, size: int) -> int:
+        """The level of the window to use, 0 for a new one: a move from h to h + size changes the squares by
+        2 (N[h + size] - N[h]) + 2; a full window is not counted. Of equal ones the emptiest."""
+        count, top = self.count, self.window
+        change = 2 * (count[size:] - count[: top + 1 - size]) + 2
+        change[0] = 2 * count[size] + 1  # a new window
+        change[-1] = 1 - 2 * count[top - size]
+        if size == top:
+            return 0
+        change[1:][count[1 : top + 1 - size] == 0] = np.iinfo(np.int64).max
+        return int(np.argmin(change))
+
+    def _place(self, piece) -> None:
+        size = len(piece[2])
+        h = self.level(size)
         into = self.open[h].pop() if h else []
-        count[h] -= h > 0
+        self.count[h] -= h > 0
+        self.n_open -= h > 0
         into.append(piece)
-        if h + units == top:
+        if h + size == self.window:
             self.emit(into)
         else:
-            self.open[h + units].append(into)
-            count[h + units] += 1
+            self.open[h + size].append(into)
+            self.count[h + size] += 1
+            self.n_open += 1
 
     def _append(self, piece) -> None:
         """End to end, cutting at the window's end."""
@@ -83,17 +89,23 @@ class SumOfSquares:
                 self.emit(self.rest)
                 self.rest, self.rest_fill = [], 0
 
-    def close(self) -> None:
+    def _join(self) -> None:
         for level in self.open:
             for window in level:
                 for piece in window:
                     self._append(piece)
+            level.clear()
+        self.count[:] = 0
+        self.n_open = 0
+
+    def close(self) -> None:
+        self._join()
         if self.rest:
             self.emit(self.rest)
             self.rest, self.rest_fill = [], 0
 
 
-def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, quantum: int = 32, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is an empty one and gives the end id alone; ids may be null or repeat (each row is a document
@@ -121,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, q
             out.clear()
             return pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-        packer = SumOfSquares(window, quantum, emit)
+        packer = SumOfSquares(window, emit)
         for rows, data, offsets in text_blocks(batches, text_column):
             key_type = rows.schema.field(id_column).type
             ids, at = code.encode(data, offsets)

@@ -3,7 +3,8 @@
 Texts are encoded once and the ids kept in a table. Its global counts (one row per vocabulary entry, however
 large the corpus) give code lengths on the driver by package-merge. The ids are then range-partitioned by
 document id; each partition writes blocks of some 64k ids: payload bits, the documents' ids and lengths, and
-the bit offset of every 256th id. A reader decodes any block alone, all its checkpoints side by side.
+the bit offset of every 256th id. The codebook and each shard's number of ids lie beside the blocks, so the files are
+read from their path alone. A reader decodes any block by itself, all its checkpoints side by side.
 
 Scale: the ids (2 bytes each) are shuffled once; start positions come from per-shard totals, one row a shard.
 """
@@ -15,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import forget, text_blocks, written
+from .common import forget, scratch, text_blocks, written
 from .tokens import encoder
 
 #: Longest code; a decoding table has 2 ** MAX_BITS entries.
@@ -155,8 +156,11 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
     return tokens.select("ids").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
 
 
-def write_files(tokens: DataFrame, width: str, id_column: str = "doc_id") -> tuple[DataFrame, np.ndarray]:
-    """Blocks in ascending id order (nulls first, equal ids by content), and the code lengths to read them with."""
+def write_files(tokens: DataFrame, width: str, path: str, id_column: str = "doc_id") -> None:
+    """Writes the token files under `path`: blocks, codebook (token, length of its code) and shards (shard, n_tokens).
+
+    Blocks are in ascending id order (nulls first, equal ids by content). The three tables are all a reader needs.
+    """
     spark = tokens.sparkSession
     found = count_ids(tokens, width).toPandas()  # one row per vocabulary entry at most
     counts = np.zeros(int(found.token.max()) + 1 if len(found) else 1, np.int64)
@@ -210,12 +214,19 @@ def write_files(tokens: DataFrame, width: str, id_column: str = "doc_id") -> tup
         .sortWithinPartitions(id_column, "ids")
         .withColumn("_shard", F.spark_partition_id().cast("long"))
     )
-    return written(ordered.mapInArrow(run, schema), "token-files", codec="uncompressed"), length
+    ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
+    used = np.flatnonzero(length)
+    spark.createDataFrame(pa.table({"token": used, "length": length[used]})).coalesce(1).write.parquet(f"{path}/codebook")
+    spark.read.parquet(f"{path}/blocks").groupBy("shard").agg(F.sum("n_tokens").alias("n_tokens")).coalesce(1).write.parquet(f"{path}/shards")
 
 
-def read_files(blocks: DataFrame, length: np.ndarray, id_column: str = "doc_id") -> DataFrame:
-    """id, start (ids of all documents before it), n_tokens, ids_crc32 of every document, decoded from its block."""
+def read_files(spark: SparkSession, path: str, id_column: str = "doc_id", ids: bool = False) -> DataFrame:
+    """id, start (ids of all documents before it), n_tokens, ids_crc32 of every document (and its ids), decoded from its block."""
+    blocks = spark.read.parquet(f"{path}/blocks")
     kind = blocks.schema["ids"].dataType.elementType.simpleString()
+    codebook = spark.read.parquet(f"{path}/codebook").toPandas()  # one row per vocabulary entry at most
+    length = np.zeros(int(codebook.token.max()) + 1 if len(codebook) else 1, np.int64)
+    length[codebook.token.to_numpy(np.int64)] = codebook.length.to_numpy(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decoding_table(length)
@@ -223,29 +234,31 @@ def read_files(blocks: DataFrame, length: np.ndarray, id_column: str = "doc_id")
             for k in range(batch.num_rows):
                 at = lambda name: batch.column(name)[k]
                 n = at("n_tokens").as_py()
-                ids = decode_block(at("payload").as_py(), n, np.frombuffer(at("checkpoints").as_py(), "<u8"), table).astype("<u4")
+                decoded = decode_block(at("payload").as_py(), n, np.frombuffer(at("checkpoints").as_py(), "<u8"), table).astype("<u4")
                 sizes = np.frombuffer(at("lengths").as_py(), "<u4").astype(np.int64)
                 ends = np.cumsum(sizes)
                 starts = ends - sizes
-                crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [at("ids").values, pa.array(np.full(len(sizes), at("shard").as_py())), pa.array(starts + at("first_token").as_py()), pa.array(sizes), pa.array(crc, pa.int64())],
-                    names=[id_column, "shard", "_start", "n_tokens", "ids_crc32"],
-                )
-
-    docs = blocks.mapInArrow(run, f"{id_column} {kind}, shard long, _start long, n_tokens long, ids_crc32 long")
+                crc = [zlib.crc32(decoded[s:e]) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+                columns = [at("ids").values, pa.array(np.full(len(sizes), at("shard").as_py())), pa.array(starts + at("first_token").as_py()), pa.array(sizes), pa.array(crc, pa.int64())]
+                if ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.append(starts, len(decoded)).astype(np.int32)), pa.array(decoded.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = [id_column, "shard", "_start", "n_tokens", "ids_crc32", *["ids"] * ids]
+    docs = blocks.mapInArrow(run, f"{id_column} {kind}, shard long, _start long, n_tokens long, ids_crc32 long{', ids array<int>' if ids else ''}")
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # one row a shard
-    shards = blocks.groupBy("shard").agg(F.sum("n_tokens").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return docs.join(F.broadcast(shards.drop("_n")), "shard").select(id_column, (F.col("_before") + F.col("_start")).alias("start"), "n_tokens", "ids_crc32")
+    shards = spark.read.parquet(f"{path}/shards").select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("_before"))
+    return docs.join(F.broadcast(shards), "shard").select(id_column, (F.col("_before") + F.col("_start")).alias("start"), *names[3:])
 
 
-def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes all texts' ids and reads them back. A null text is an empty one: the end id alone.
+def round_trip(docs: DataFrame, tokenizer: str, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", path: str | None = None) -> DataFrame:
+    """Writes all texts' ids under `path` (a new folder in the shared one) and reads them back. A null text is an empty one: the end id alone.
 
     Ids may be null (first) or repeat; an empty table gives no rows; a text of any length stays in one block.
     """
     width = id_type(encoder(tokenizer).library.get_vocab_size(), end_id)
     tokens = written(tokenized(docs, tokenizer, end_id, id_column, text_column), "token-ids")
-    blocks, length = write_files(tokens, width, id_column)
+    path = path or scratch(docs.sparkSession, "token-files")
+    write_files(tokens, width, path, id_column)
     forget(tokens)
-    return read_files(blocks, length, id_column)
+    return read_files(docs.sparkSession, path, id_column)

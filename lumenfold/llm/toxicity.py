@@ -8,8 +8,11 @@ P(S >= s) ~ 1 - exp(-K n exp(-lambda s)), where lambda solves sum p exp(lambda s
 is fitted to clean documents. A document's evidence is its segments' log-significance beyond that law, turned
 into a probability by a logistic fit.
 
-Scale: word counts of a bounded labelled sample (`labelled.SAMPLE_ROWS`) give the vocabulary, at most
-`VOCABULARY` words; the corpus pass counts only those words, in one array per task. Scoring is map-only.
+The law and the logistic fit see each sampled document with scores of words that the other half of the sample gave,
+as scores look better on the documents they come from. The final scores come from the whole sample.
+
+Scale: words of a bounded labelled sample (`labelled.SAMPLE_ROWS`) are the vocabulary; the corpus pass counts only
+those words, in one array per task. Scoring is map-only.
 """
 
 from __future__ import annotations
@@ -23,13 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, text_blocks, words
+from .common import forget, mix, text_blocks, words, written
 from .labelled import SAMPLE_ROWS, in_fold, labelled_texts, sample_of
 
 #: Documents of the sample that a word must be in to have a score of its own.
 LEAST_DOCS = 4
-#: Most words with a score: those in most sampled documents.
-VOCABULARY = 500_000
 #: Weight of the prior in documents, drift per word, standard errors taken off, and the E-value below which a segment is a toxic passage.
 PRIOR, DRIFT, ERRORS, SIGNIFICANT = 50.0, 0.15, 1.5, 1e-2
 MOST, LEAST = 8.0, -1.0
@@ -121,7 +122,7 @@ class Model:
 
 
 def _sample_counts(texts: DataFrame) -> DataFrame:
-    """word, toxic, clean: documents of the sample with the word; at most VOCABULARY rows."""
+    """word, toxic, clean: documents of the sample with the word; bounded as the sample is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text"):
@@ -136,7 +137,7 @@ def _sample_counts(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t.astype(np.int64)), pa.array((n - t).astype(np.int64))], names=["word", "toxic", "clean"])
 
     counts = texts.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS).orderBy(F.desc(F.col("toxic") + F.col("clean")), "word").limit(VOCABULARY)
+    return counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS)
 
 
 def _corpus_counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -186,16 +187,11 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from labels.toxic outside the held-out fold. Without labelled rows of both kinds nothing is toxic."""
-    texts = labelled_texts(docs, sample_of(labels, "toxic", folds, held_out, sample_rows))
-    counts = _sample_counts(texts).toPandas().sort_values("word")
-    keys = counts.word.to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys, t, c = keys[order], counts.toxic.to_numpy(float)[order], counts.clean.to_numpy(float)[order]
+def _word_model(counts, corpus: np.ndarray, every: int) -> Model:
+    """Scores of words and the rate, from counts (word, toxic, clean) and the corpus counts of the same words."""
+    keys, t, c = counts.word.to_numpy(np.int64).view(np.uint64), counts.toxic.to_numpy(float), counts.clean.to_numpy(float)
     if not t.sum() or not c.sum():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -DRIFT, 1.0, 0.0, (-4.0, 0.0, 0.0))
-    corpus, every = _corpus_counts(docs, keys)
     prior = PRIOR * corpus / max(every, 1) + 0.5
     nt, nc = max(t.max(), 1) + PRIOR, max(c.max(), 1) + PRIOR  # documents of each kind: the commonest word is in nearly all
     odds = lambda y, n: np.log((y + prior) / np.maximum(n - y - prior, 0.5))
@@ -203,32 +199,53 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0,
     error = np.sqrt(1 / (t + prior) + 1 / (c + prior))
     solid = np.sign(delta) * np.maximum(np.abs(delta) - ERRORS * error, 0)
     scores = np.clip(solid, LEAST, MOST) - DRIFT
-    model = Model(keys, scores, -DRIFT, 1.0, 0.0, (0.0, 1.0, 0.0))
     # lambda: over clean words; those outside the vocabulary have the score `other`
     clean = corpus * (c / np.maximum(t + c, 1))
     p = np.append(clean, max(every - corpus.sum(), 0)) / max(every - (corpus - clean).sum(), 1)
-    model.rate = _rate(p, np.append(scores, -DRIFT))
-    frozen = docs.sparkSession.sparkContext.broadcast(model)
+    return Model(keys, scores, -DRIFT, _rate(p, np.append(scores, -DRIFT)), 0.0, (0.0, 1.0, 0.0))
+
+
+def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """A model from labels.toxic outside the held-out fold. Without labelled rows of both kinds nothing is toxic."""
+    half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int")
+    texts = written(labelled_texts(docs, sample_of(labels, "toxic", folds, held_out, sample_rows)).withColumn("half", half), "toxic-sample")
+    halves = [_sample_counts(texts.where(F.col("half") == h)).toPandas() for h in (0, 1)]
+    counts = _sample_counts(texts).toPandas()
+    keys = np.unique(np.concatenate([c.word.to_numpy(np.int64).view(np.uint64) for c in (*halves, counts)]))
+    corpus, every = _corpus_counts(docs, keys)
+
+    def of(c) -> Model:
+        c = c.iloc[np.argsort(c.word.to_numpy(np.int64).view(np.uint64))]
+        return _word_model(c, corpus[np.searchsorted(keys, c.word.to_numpy(np.int64).view(np.uint64))], every)
+
+    model = of(counts)
+    if not len(model.keys):
+        return model
+    # each half is seen by the model of the other
+    frozen = docs.sparkSession.sparkContext.broadcast([of(halves[1]), of(halves[0])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text"):
-            m = frozen.value
-            _, _, s, total, up, first, bounds = m.scored(data, offsets)
-            n = np.diff(first)
-            best = np.zeros(len(n))
-            for k in range(len(n)):
-                own = up[bounds[k] : bounds[k + 1]]
-                best[k] = max((x for *_, x in segments(own, s[own], total[own])), default=0.0)
-            yield pa.RecordBatch.from_arrays([rows.column("label"), pa.array(n.astype(np.int64)), pa.array(best)], names=["label", "n", "best"])
-
-    seen = texts.mapInArrow(run, "label int, n long, best double").toPandas().sort_values(["label", "n", "best"])
+            own = rows.column("half").to_numpy()
+            n, best, rate, sums = (np.zeros(len(own)) for _ in range(4))
+            for h, m in enumerate(frozen.value):
+                _, _, s, total, up, first, bounds = m.scored(data, offsets)
+                for k in np.flatnonzero(own == h):
+                    mine = up[bounds[k] : bounds[k + 1]]
+                    found = [x for *_, x in segments(mine, s[mine], total[mine])]
+                    n[k], best[k], rate[k], sums[k] = first[k + 1] - first[k], max(found, default=0.0), m.rate, sum(x for x in found if m.rate * x > 1)
+            yield pa.RecordBatch.from_arrays([rows.column("label"), *(pa.array(v) for v in (n, best, rate, sums))], names=["label", "n", "best", "rate", "sums"])
+
+    seen = texts.mapInArrow(run, "label int, n double, best double, rate double, sums double").toPandas().sort_values(["label", "n", "best"])
     plain = seen[(seen.label == 0) & (seen.n > 0) & (seen.best > 0)]
     if len(plain):  # a Gumbel variable's mean is its location plus Euler's constant
-        model.log_k = float((model.rate * plain.best - np.log(plain.n)).mean() - 0.5772156649)
-    z = np.where(seen.best > 0, np.maximum(model.rate * seen.best - model.log_k - np.log(np.maximum(seen.n, 1)), -10), -10)
-    model.weights = _logistic(np.column_stack([z, np.zeros(len(z))]), seen.label.to_numpy(float))
-    a, b, _ = model.weights
-    model.weights = (a, max(b, 1e-3), 0.1)
+        model.log_k = float((plain.rate * plain.best - np.log(plain.n)).mean() - 0.5772156649)
+    law = model.log_k + np.log(np.maximum(seen.n, 1))
+    top = np.where(seen.best > 0, np.maximum(seen.rate * seen.best - law, -10), -10)
+    more = np.where(top > -np.log(SIGNIFICANT), np.maximum(seen.rate * seen.sums - law, 0), 0)
+    a, b, c = _logistic(np.column_stack([top, more]), seen.label.to_numpy(float))
+    model.weights = (a, max(b, 1e-3), max(c, 0.0))  # more evidence never lowers a score
+    forget(texts)
     return model
 
 

@@ -41,3 +41,10 @@ def test_main_path_is_native(spark, sf_dir):
     df = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def test_what_goes_is_not_rendered(spark, sf_dir):
+    """The anti-join and the join with its survivors lie below the aggregate that renders."""
+    df = chat.format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and plan.index("collect_list") < plan.index("LeftAnti") and plan.index("collect_list") < plan.index("Join")

@@ -88,17 +88,47 @@ def test_packing_places_every_id_once(spark):
 def test_packing_pads_little(spark):
     rng = np.random.default_rng(0)
     full = []
-    packer = packing.SumOfSquares(2048, 32, lambda s: full.append(sum(len(p[2]) for p in s)))
+    packer = packing.SumOfSquares(2048, lambda s: full.append(sum(len(p[2]) for p in s)))
     total = 0
     for k in range(3000):
         n = int(rng.integers(1, 3000))
         total += n
         packer.add(k, np.zeros(n, np.uint32))
-    assert sum(len(x) for x in packer.open) < 200  # the sum of squares stays small
+    assert sum(len(x) for x in packer.open) == packer.n_open < 2048  # with a level for each id, one window a level
     packer.close()
     assert sum(full) == total and len(full) * 2048 - total < 2048
 
 
+def test_packing_chooses_the_least_sum_of_squares():
+    """Against all levels tried by hand, and documents of at most a window stay whole until the end."""
+    rng = np.random.default_rng(3)
+    whole = []
+    packer = packing.SumOfSquares(64, lambda s: whole.append(s))
+    for k in range(2000):
+        size = int(rng.integers(1, 65))
+
+        def squares(h, size=size):
+            after = packer.count.copy()
+            after[h] -= h > 0
+            after[h + size] += h + size < 64
+            return int((after**2).sum())
+
+        levels = [h for h in range(65 - size) if h == 0 or packer.count[h]]
+        assert squares(packer.level(size)) == min(map(squares, levels))
+        packer.add(k, np.zeros(size, np.uint32))
+    assert all(start == 0 and len(ids) == n for s in whole for _, start, ids, n in s)
+
+
+def test_packing_bounds_what_is_open():
+    full = []
+    packer = packing.SumOfSquares(64, lambda s: full.append(sum(len(p[2]) for p in s)), most_open=10)
+    for k in range(500):
+        packer.add(k, np.zeros(40, np.uint32))
+        assert packer.n_open <= 10
+    packer.close()
+    assert sum(full) == 500 * 40 and len(full) * 64 - sum(full) < 64
+
+
 def test_token_files_round_trip(spark):
     out = token_files.round_trip(spark.createDataFrame([(*r, "clash") for r in ROWS], DOCS), PATH).collect()
     rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
@@ -110,6 +140,15 @@ def test_token_files_round_trip(spark):
     assert token_files.round_trip(spark.createDataFrame([], DOCS), PATH).count() == 0
 
 
+def test_token_files_are_read_from_their_path_alone(spark, tmp_path):
+    docs = spark.createDataFrame([(*r, "clash") for r in ROWS], DOCS)
+    want = sorted(map(tuple, token_files.round_trip(docs, PATH, path=f"{tmp_path}/files").collect()), key=str)
+    got = token_files.read_files(spark.newSession(), f"{tmp_path}/files")
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    texts = token_files.read_files(spark, f"{tmp_path}/files", ids=True).collect()
+    assert all(zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in texts)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_huffman_codes_and_blocks(seed):
     rng = np.random.default_rng(seed)
