@@ -64,3 +64,30 @@ def test_a_longer_vector_among_many(spark):
     mixed = {r.vec_id: (r.n_links, r.component_id) for r in e.near_duplicates(spark.createDataFrame(rows + longer, SCHEMA).coalesce(1)).collect()}
     assert sum(n for n, _ in alone.values()) > 0
     assert mixed == alone | {1000: (1, 1000), 1001: (1, 1000)}
+
+
+def test_an_id_with_several_vectors(spark):
+    x = vectors(5, n=4, d=16)[:4]
+    rows = [(1, x[0]), (2, x[0] * 2 + 1e-3), (2, x[1]), (3, x[1] * 0.5), (2, x[1]), (4, x[2])]
+    out = e.near_duplicates(spark.createDataFrame([(k, v.tolist(), "a") for k, v in rows], SCHEMA)).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in out) == [(1, 1, 1), (2, 1, 1), (2, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_rows_of_a_dense_cluster_grow_with_its_vectors(spark):
+    """400 vectors that are all linked: 79,800 pairs, but only a tree of links and a count for each leave a task."""
+    rng = np.random.default_rng(6)
+    x = np.ones(32) + 0.02 * rng.standard_normal((400, 32))
+    df = spark.createDataFrame([(k, 1, v.tolist()) for k, v in enumerate(x)], "vec_id long, copies long, embedding array<double>")
+    rows = e.links(df).collect()
+    total = {}
+    for r in rows:
+        if r.n is not None:
+            total[r.a] = total.get(r.a, 0) + r.n
+    assert total == {k: 399 for k in range(400)} and len(rows) < 40 * 400
+
+
+def test_counts_do_not_depend_on_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(k, v.tolist(), "a") for k, v in enumerate(vectors(8, n=150))], SCHEMA)
+    whole = sorted(map(tuple, e.near_duplicates(df).collect()))
+    monkeypatch.setattr(e, "BLOCK", 7)
+    assert sorted(map(tuple, e.near_duplicates(df).collect())) == whole
