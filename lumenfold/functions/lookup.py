@@ -1,11 +1,13 @@
 """Corrections: binned tables and piecewise polynomials, joined by bin index.
 
-A correction table has one row per cell, so it is small by construction; its rows are counted before it is
-broadcast, and a larger one is joined by shuffle.
+A correction table has one row per cell, so it is small by construction. Tables made on the driver are counted before
+they are broadcast; tables that are read from files are left to the planner, which knows or measures their size, so
+building a plan never runs a job over them.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +20,10 @@ BROADCAST_ROWS = 500_000
 
 
 def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if a count shows that it is small."""
+    """The table with a broadcast hint if it holds no rows of files and a count shows that it is small."""
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    if re.search(r"(?<![A-Za-z])(Relation \[|InMemoryRelation|StreamingRelation)", plan):
+        return table
     return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
 
 

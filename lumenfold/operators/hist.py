@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.axes import Axis, grid
 from ..functions.expr import unsigned_mod
-from ..functions.lookup import small
+from ..functions.lookup import BROADCAST_ROWS
 
 
 def _col(c) -> Column:
@@ -48,7 +49,8 @@ def dense(h: DataFrame, axes: Sequence[Axis]) -> DataFrame:
     """All cells of the axes, zeros where the histogram has none."""
     names = [a.name for a in axes]
     rest = [c for c in h.columns if c not in names]
-    out = grid(h.sparkSession, axes).join(small(h), names, "left")
+    cells = math.prod(len(a.slots()) for a in axes)  # the histogram has no more rows
+    out = grid(h.sparkSession, axes).join(F.broadcast(h) if set(rest) <= {"n", "sumw", "sumw2"} and cells <= BROADCAST_ROWS else h, names, "left")
     return out.select(*names, *[F.coalesce(c, F.lit(0).cast(h.schema[c].dataType)).alias(c) for c in rest])
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -60,15 +61,61 @@ def muon_pair(minimum_pt: tuple[float, float], maximum_eta: float, opposite: boo
     )
 
 
+#: Least pile-up id of each level (fixed values).
+PILEUP_LEVELS = {"loose": 4, "medium": 6, "tight": 7}
+
+
+def global_event(trigger: str | None = None, met: str = "met", maximum_met: float = -1, jets: str = "jets", tag: str = "passMediumB", maximum_tags: int = -1, muons: str = "muons", maximum_muons: int = -1, electrons: str = "electrons", maximum_electrons: int = -1, noise: Sequence[str] = (), vertices: str = "vertices", minimum_vertices: int = -1) -> Selection:
+    """Selection of whole events: trigger, missing energy, tagged jets, lepton counts, all noise flags, vertices.
+
+    Limits below 0 and empty names are off; counts and limits that are equal pass.
+    """
+    return (
+        Selection()
+        .add_if(bool(trigger), "trigger", lambda: F.col(trigger))
+        .add_if(maximum_met >= 0, "met", lambda: F.col(met) <= maximum_met)
+        .add_if(maximum_tags >= 0, "tags", lambda: F.size(F.filter(jets, lambda x: x[tag])) <= maximum_tags)
+        .add_if(maximum_muons >= 0, "muons", lambda: F.size(muons) <= maximum_muons)
+        .add_if(maximum_electrons >= 0, "electrons", lambda: F.size(electrons) <= maximum_electrons)
+        .add_if(len(noise) > 0, "noise", lambda: reduce(lambda a, b: a & b, [F.col(n) for n in noise]))
+        .add_if(minimum_vertices >= 0, "vertices", lambda: F.col(vertices) >= minimum_vertices)
+    )
+
+
+def jet(minimum_pt: float = -1, maximum_eta: float = -1, jet_id: str = "none", pileup: str = "none", of: str | None = None) -> Selection:
+    """Selection of jets: pt >= minimum, |eta| <= maximum, an id flag by level, pile-up id of at least its level's.
+
+    Works on a table of jets, or on the struct column `of`. Limits below 0 and the level "none" are off.
+    """
+    ids = {"loose": "jetIdLoose", "tight": "jetIdTight", "tightLepVeto": "jetIdLepVeto", "none": None}
+    if jet_id not in ids or pileup not in {*PILEUP_LEVELS, "none"}:
+        raise ValueError(f"no such level: {jet_id}, {pileup}")
+    field = lambda n: F.col(n) if of is None else F.col(of)[n]
+    return (
+        Selection()
+        .add_if(minimum_pt >= 0, "pt", lambda: field("pt") >= minimum_pt)
+        .add_if(maximum_eta >= 0, "eta", lambda: F.abs(field("eta")) <= maximum_eta)
+        .add_if(jet_id != "none", "jetId", lambda: field(ids[jet_id]).cast("boolean"))
+        .add_if(pileup != "none", "puId", lambda: field("puId") >= PILEUP_LEVELS[pileup])
+    )
+
+
+def inherited(event: Selection, items: Selection) -> Selection:
+    """The items' selection behind that of their event: for tables with a row per item."""
+    both = Selection()
+    both.cuts = {**event.cuts, **items.cuts}
+    return both
+
+
 def mass_window(mass, pole: float, width: float) -> Column:
     return (mass if isinstance(mass, Column) else F.col(mass)).between(pole - width, pole + width)
 
 
 def in_sample(flags: dict[str, float], ht: str | None = None, vpt: str | None = None) -> Column:
-    """Sample stitching: ht below the sample's own maximum, low <= vpt < high (a negative high is no limit)."""
+    """Sample stitching: ht at most the sample's own maximum, low <= vpt < high (a negative high is no limit)."""
     cut = F.lit(True)
     if ht and "ht_max" in flags:
-        cut = cut & (F.col(ht) < flags["ht_max"])
+        cut = cut & (F.col(ht) <= flags["ht_max"])
     if vpt and "vpt_low" in flags:
         cut = cut & (F.col(vpt) >= flags["vpt_low"])
         if flags.get("vpt_high", -1) >= 0:

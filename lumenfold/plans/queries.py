@@ -7,6 +7,8 @@ rounded, as engines add in different orders.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,6 +46,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one of `spark.checkpoint.dir`; a local one only where the master is local and it is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="lumenfold-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def rounded(df: DataFrame, **digits: int) -> DataFrame:
     """Rounds columns; adding 0.0 turns a negative zero into zero."""
     return df.withColumns({c: F.round(F.col(c), k) + F.lit(0.0) for c, k in digits.items()})
@@ -317,12 +329,15 @@ class _Model:
         rows = hist.with_bins(_items(spark, sf_dir), [PRICE], [_k(KPRICE)]).withColumnRenamed("_bin_price", "gen")
         rows = hist.with_bins(rows, [PRICE], [_k(KRECO)]).withColumnRenamed("_bin_price", "reco")
         un, out = F.col("l_returnflag") == "N", F.col("l_linestatus") == "O"
-        total = lambda key, cut: rows.where(cut).groupBy(key).agg(F.sum("l_quantity").alias("sumw"))
-        self.gen, self.reco = total("gen", F.lit(True)), total("reco", F.lit(True))
-        self.gamma = algebra.background_fractions(self.gen, total("gen", un), total("gen", ~un & out), "gen")
-        self.rho = algebra.reco_backgrounds(self.reco, total("reco", un | out), "reco")
-        self.transfer = rows.where(~un & ~out).groupBy("reco", "gen").agg(F.sum("l_quantity").alias("sumw"))
-        self.response = algebra.response(self.transfer, self.gen, total("gen", un | out))
+        # one aggregation of the table has all roles; no filter or dropped column makes it another one for some of them
+        role = F.when(un & out, "both").when(un, "un").when(out, "out").otherwise("in").alias("role")
+        cells = rows.groupBy("gen", "reco", role).agg(F.sum("l_quantity").alias("w"))
+        total = lambda key, *roles: cells.groupBy(key).agg(F.sum(F.when(F.col("role").isin(*roles) if roles else F.lit(True), F.col("w"))).alias("sumw")).where("sumw is not null")
+        self.gen, self.reco = total("gen"), total("reco")
+        self.gamma = algebra.background_fractions(self.gen, total("gen", "un", "both"), total("gen", "out"), "gen")
+        self.rho = algebra.reco_backgrounds(self.reco, total("reco", "un", "out", "both"), "reco")
+        self.transfer = cells.groupBy("reco", "gen").agg(F.sum(F.when(F.col("role") == "in", F.col("w"))).alias("sumw")).where("sumw is not null")
+        self.response = algebra.response(self.transfer, self.gen, total("gen", "un", "out", "both"))
         self.truth = self.gen.select("gen", F.col("sumw").alias("value"))
 
     def fold(self) -> DataFrame:
@@ -529,13 +544,13 @@ def yield_percentages(spark, sf_dir):
     return rounded(t, n=3, percent=6)
 
 
-@query(f"""WITH {_MEMBERS}, e AS (SELECT o_orderpriority AS dataset, b.bin, sum(CASE WHEN o_orderstatus = 'F' AND b.ok AND o_custkey % 2 = 0 THEN 1.0 ELSE 0 END) AS num, sum(CASE WHEN o_orderstatus <> 'P' AND b.ok AND o_custkey % 2 = 0 THEN 1.0 ELSE 0 END) AS den
+@query(f"""WITH {_MEMBERS}, e AS (SELECT o_orderpriority AS dataset, b.bin, sum(CASE WHEN o_orderstatus = 'F' AND b.ok AND o_orderdate >= DATE '1995-01-01' THEN 1.0 ELSE 0 END) AS num, sum(CASE WHEN o_orderstatus <> 'P' AND b.ok AND o_orderdate >= DATE '1995-01-01' THEN 1.0 ELSE 0 END) AS den
 FROM orders, LATERAL (VALUES {', '.join(f"('{n}', {b})" for n, b in _BINS.items())}) b(bin, ok) GROUP BY 1, 2),
 a AS (SELECT * FROM e UNION ALL SELECT t, bin, sum(num), sum(den) FROM e JOIN tm ON d = dataset GROUP BY t, bin)
 SELECT dataset, bin, num::double AS num, den::double AS den, round(CASE WHEN den = 0 THEN 0 ELSE num / den END, 8)::double AS efficiency FROM a""")
 def efficiency_totals(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "dataset")
-    e = yields.efficiencies(o, "dataset", {n: F.expr(b) for n, b in _BINS.items()}, F.lit(1.0), F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F", F.col("o_custkey") % 2 == 0)
+    e = yields.efficiencies(o, "dataset", {n: F.expr(b) for n, b in _BINS.items()}, F.lit(1.0), F.col("o_orderstatus") != "P", F.col("o_orderstatus") == "F", F.col("o_orderdate") >= F.lit("1995-01-01").cast("date"))
     return rounded(yields.with_totals(e, "dataset", _TOTALS), efficiency=8)
 
 
@@ -812,20 +827,16 @@ _VALUE = Axis.regular("value", 12, 0, 120)
 @query(f"SELECT event_type, {case(_VALUE, 'value')} AS value, count(*) AS n, round(sum(value), 3) AS sumw FROM events WHERE value IS NOT NULL GROUP BY 1, 2")
 def stream_hist_fill(spark, sf_dir):
     """The running histogram of `events` files through Structured Streaming, after all input has arrived."""
-    import uuid
-
     from ..streaming import fill
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/lumenfold-stream"
-    name = f"stream_{uuid.uuid4().hex}"
     schema = read(spark, sf_dir, "events").schema
     stream = fill.source(spark, sf_dir, schema, glob="events.parquet")
     if not stream.isStreaming:
         raise RuntimeError("not a stream")
-    out = f"{base.rstrip('/')}/{name}"
+    out = _folder(spark, "stream")
     running = fill.running(stream, [_VALUE], ["value"], "value", by=["event_type"])
     fill.start_table(running, f"{out}/table", f"{out}/checkpoint").awaitTermination()
-    return rounded(spark.read.parquet(f"{out}/table").select("event_type", "value", "n", "sumw"), sumw=3)
+    return rounded(fill.latest(spark, f"{out}/table").select("event_type", "value", "n", "sumw"), sumw=3)
 
 
 # ---- more of the nested event chain
@@ -906,10 +917,11 @@ def map_veto(spark, sf_dir):
     return out.where("veto = 0").select("l_orderkey", "l_linenumber")
 
 
-@query("SELECT o_orderkey FROM orders WHERE o_totalprice < 120000 AND o_custkey >= 100 AND o_custkey < 900 AND o_totalprice IS NOT NULL")
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity <= 30 AND l_discount >= 0.02 AND l_discount < 0.08")
 def sample_stitching(spark, sf_dir):
-    flags = {"ht_max": 120000, "vpt_low": 100, "vpt_high": 900}
-    return read(spark, sf_dir, "orders").where(select.in_sample(flags, "o_totalprice", "o_custkey")).select("o_orderkey")
+    """Quantities and discounts are whole steps, so rows lie on all three limits."""
+    flags = {"ht_max": 30, "vpt_low": 0.02, "vpt_high": 0.08}
+    return _items(spark, sf_dir).where(select.in_sample(flags, "l_quantity", "l_discount")).select("l_orderkey", "l_linenumber", "l_quantity")
 
 
 _SFT = Axis.variable("pt", [10.0, 20.0, 30.0, 60.0], underflow=False, overflow=False)
@@ -999,3 +1011,129 @@ def nested_matrices(spark, sf_dir):
     flat = flat.where(F.size("f") >= 4).select("l_orderkey", F.slice("f.p", 1, 4).alias("flat"))
     m = F.get(nested.unflatten_matrix("flat", F.array(F.lit(2)), F.array(F.lit(2))), F.lit(0))
     return rounded(flat.select("l_orderkey", F.get(F.get(m, F.lit(0)), F.lit(1)).alias("upper_right"), F.get(F.get(m, F.lit(1)), F.lit(0)).alias("lower_left")), upper_right=2, lower_left=2)
+
+
+# ---- selections, sources and array functions
+
+
+@query(f"""
+WITH {_RANKED}, e AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_extendedprice > 30000) AS tags, count(*) FILTER (l_returnflag = 'R') AS returned FROM l GROUP BY 1)
+SELECT o_orderkey FROM orders JOIN e ON o_orderkey = l_orderkey WHERE o_orderpriority <> '5-LOW' AND o_totalprice <= 200000 AND tags <= 2 AND n <= 5 AND returned <= 1 AND o_orderstatus <> 'P' AND o_orderdate IS NOT NULL AND n >= 2""")
+def global_selection(spark, sf_dir):
+    e = _events(spark, sf_dir).withColumns(
+        {
+            "jets": nested.with_tags(F.col("items"), "pt", {"MediumB": 30000}),
+            "electrons": F.filter("items", lambda x: x["charge"] == -1),
+            "fired": F.col("o_orderpriority") != "5-LOW",
+            "clean": F.col("o_orderstatus") != "P",
+            "known": F.col("o_orderdate").isNotNull(),
+            "vertices": F.size("items"),
+        }
+    )
+    s = select.global_event("fired", "o_totalprice", 200000, "jets", "passMediumB", 2, "items", 5, "electrons", 1, ["clean", "known"], "vertices", 2)
+    return s.filter(e).select(F.col("l_orderkey").alias("o_orderkey"))
+
+
+_JETS_SQL = "SELECT l_orderkey, l_linenumber, l_extendedprice / 1000 AS pt, (l_quantity - 25) / 10 AS eta, l_returnflag <> 'R' AS tight, l_linenumber AS pu FROM lineitem"
+
+
+def _jets(spark, sf_dir) -> DataFrame:
+    return _items(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 1000).alias("pt"), ((F.col("l_quantity") - 25) / 10).alias("eta"), (F.col("l_returnflag") != "R").cast("int").alias("jetIdTight"), F.col("l_linenumber").alias("puId")
+    )
+
+
+@query(f"WITH j AS ({_JETS_SQL}) SELECT level, l_orderkey, l_linenumber FROM j, (VALUES ('loose', 4), ('medium', 6), ('tight', 7)) v(level, least) WHERE pt >= 20 AND abs(eta) <= 2 AND tight AND pu >= least")
+def jet_selection(spark, sf_dir):
+    j = _jets(spark, sf_dir)
+    passed = {level: select.jet(20, 2, "tight", level).all() for level in select.PILEUP_LEVELS}
+    levels = F.array_compact(F.array(*[F.when(c, F.lit(level)) for level, c in passed.items()]))
+    return j.select(F.explode(levels).alias("level"), "l_orderkey", "l_linenumber")
+
+
+@query(f"""
+WITH j AS (SELECT j.*, o_orderstatus <> 'P' AS good, o_totalprice <= 200000 AS low FROM ({_JETS_SQL}) j JOIN orders ON o_orderkey = l_orderkey),
+s AS (SELECT count(*)::double AS s0, sum(pt) AS s1, sum(pt) FILTER (low) AS s2, sum(pt) FILTER (low AND good) AS s3, sum(pt) FILTER (low AND good AND pt >= 20) AS s4, sum(pt) FILTER (low AND good AND pt >= 20 AND abs(eta) <= 2) AS s5 FROM j)
+SELECT 'item' AS level, k::int AS step_no, step, round(coalesce(v, 0), 3) AS n FROM s, LATERAL (VALUES (0, 'raw', s0), (1, 'all', s1), (2, 'met', s2), (3, 'noise', s3), (4, 'pt', s4), (5, 'eta', s5)) x(k, step, v)""")
+def cutflow_items(spark, sf_dir):
+    """The items' flow, behind the cuts of their events."""
+    o = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("met"), (F.col("o_orderstatus") != "P").alias("good"))
+    event = select.global_event(maximum_met=200000, noise=["good"])
+    return rounded(select.cutflow(_jets(spark, sf_dir).join(o, "l_orderkey"), select.inherited(event, select.jet(20, 2)), "pt", "item"), n=3)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_quantity BETWEEN 20 AND 30")
+def mass_window(spark, sf_dir):
+    return _items(spark, sf_dir).where(select.mass_window("l_quantity", 25, 5)).select("l_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""
+SELECT l_linestatus, count(*) FILTER (l_quantity >= 10 AND l_quantity < 20) AS two_sided, count(*) FILTER (l_returnflag = 'R') AS equal, count(*) AS no_cut,
+  count(*) FILTER ((l_quantity >= 10 AND l_quantity < 20) OR l_returnflag = 'R') AS either, count(*) FILTER ((l_quantity >= 10 AND l_quantity < 20) AND NOT l_returnflag = 'R') AS required, 7.0::double AS constant
+FROM lineitem GROUP BY 1""")
+def cut_kinds(spark, sf_dir):
+    s = select.Selection().add("window", expr.two_sided("l_quantity", 10, 20)).add("flag", expr.equals("l_returnflag", "R"))
+    wanted = {"two_sided": s.cuts["window"], "equal": s.cuts["flag"], "no_cut": expr.no_cut(), "either": s.any("window", "flag"), "required": s.require(window=True, flag=False)}
+    return _items(spark, sf_dir).groupBy("l_linestatus").agg(*[F.count_if(c).alias(n) for n, c in wanted.items()], F.max(expr.constant(7.0)).alias("constant"))
+
+
+@query(f"""
+WITH {_RANKED}, g AS (SELECT a.l_orderkey, a.k, a.l_extendedprice AS p, a.l_tax AS t, a.l_discount AS d, b.l_extendedprice AS q FROM l a LEFT JOIN l b ON b.l_orderkey = a.l_orderkey AND b.k = a.l_linenumber)
+SELECT l_orderkey, count(*) FILTER (t > 0)::int AS n_positive, count(q)::int AS n_gathered, round(sum(q), 2) AS gathered, round(sum(p * (1 - d)), 4) AS raw, round(sum(p), 2) AS stored FROM g JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def entries_gathered(spark, sf_dir):
+    e = _events(spark, sf_dir)
+    items = nested.swapped_pt(nested.with_fields("items", jec=lambda x: F.lit(1.0) - (x["phi"] / 60 + 0.05)), "jec", True)
+    total = lambda c, f: F.aggregate(c, F.lit(0.0), lambda s, x: s + F.coalesce(x[f], F.lit(0.0)))
+    e = e.withColumn("swapped", items).withColumn("got", nested.gather("items", F.transform("items", lambda x: (x["l_linenumber"] - 1).cast("int"))))
+    out = e.select(
+        "l_orderkey", F.size(nested.positive_entries("items", "mass")).alias("n_positive"), F.size(F.filter("got", lambda x: x.isNotNull())).alias("n_gathered"),
+        F.when(F.exists("got", lambda x: x.isNotNull()), total("got", "pt")).alias("gathered"), total("swapped", "pt").alias("raw"), total("swapped", "pt_stored").alias("stored"),
+    )
+    return rounded(out, gathered=2, raw=4, stored=2)
+
+
+@query("SELECT l_returnflag AS flag, count(*) AS n, round(sum(l_quantity), 2) AS quantity, 'nominal' AS objsyst FROM lineitem WHERE l_linestatus = 'O' GROUP BY 1")
+def written_tables(spark, sf_dir):
+    """Two tables of the same objects written under their coordinates; one read back by partition filters, pruned and pushed down."""
+    path = _folder(spark, "skims")
+    make = {"jets": lambda d: d.select("l_returnflag", "l_linestatus", "l_quantity"), "keys": lambda d: d.select("l_orderkey")}
+    layout.write_tables(_items(spark, sf_dir).select("l_orderkey", "l_returnflag", "l_linestatus", "l_quantity"), make, path, objsyst="nominal", dataset="all")
+    t = layout.scan_table(spark, path, ["l_returnflag", "l_quantity", "objsyst"], F.col("l_linestatus") == "O", tbl="jets", dataset="all")
+    return rounded(t.groupBy(F.col("l_returnflag").alias("flag"), "objsyst").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity")), quantity=2)
+
+
+@query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1")
+def event_files(spark, sf_dir):
+    """Event files in nested folders, read recursively; files outside the pattern stay out."""
+    path = _folder(spark, "events")
+    o = read(spark, sf_dir, "orders")
+    o.where("o_orderstatus = 'F'").write.parquet(f"{path}/a/b")
+    o.where("o_orderstatus = 'O'").write.parquet(f"{path}/c")
+    o.where("o_orderstatus = 'P'").write.json(f"{path}/d")
+    return layout.scan_events(spark, path, exclude_prefix="dropped").groupBy(F.col("o_orderstatus").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT r_name AS runtag, n_name AS dataset, n_nationkey % 2 = 0 AS is_mc, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey + 0.5 END::double AS xsec, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey * 10.0 END::double AS ht_max, -1.0::double AS vpt_high, 'A' AS era FROM nation JOIN region ON n_regionkey = r_regionkey")
+def catalog_flags(spark, sf_dir):
+    """Catalog files written from the nations: simulation has a cross section and a flag, data neither."""
+    path = _folder(spark, "catalog")
+    n = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    mc = F.col("n_nationkey") % 2 == 0
+    flags = F.struct(F.when(mc, F.col("n_nationkey") * 10).alias("genHT"), F.array(F.lit(5), F.lit(-1)).alias("genVpt"))
+    attributes = F.struct(F.when(mc, F.col("n_nationkey") + 0.5).alias("xsec"), F.lit("A").alias("era"), flags.alias("flags"))
+    sets = n.groupBy("r_name").agg(F.map_from_entries(F.collect_list(F.struct("n_name", attributes))).alias("sets"))
+    sets.select(F.to_json(F.create_map("r_name", "sets")).alias("value"), F.col("r_name").alias("file")).write.partitionBy("file").text(path)
+    found = catalog.load_catalog(spark, path, glob="*.txt")
+    return found.select("runtag", "dataset", "is_mc", "xsec", "ht_max", "vpt_high", "era")
+
+
+@query(f"""WITH m(stack, dataset) AS (VALUES ('urgent', '1-URGENT'), ('all', '1-URGENT'), ('all', '2-HIGH'), ('all', '3-MEDIUM')),
+h AS (SELECT o_orderpriority AS dataset, {case(_TOTAL, 'o_totalprice / 1000')} AS total, count(*) AS n FROM orders WHERE o_totalprice IS NOT NULL GROUP BY 1, 2)
+SELECT stack, total AS i, total AS j, sum(CASE WHEN dataset <> '3-MEDIUM' THEN n ELSE 0 END)::double AS cov FROM h JOIN m USING (dataset) GROUP BY 1, 2""")
+def stacked_covariances(spark, sf_dir):
+    """A stack's covariance; one dataset has none stored, which counts as zero."""
+    o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "dataset")
+    h = hist.histogram(o, [_TOTAL], [F.col("o_totalprice") / 1000], by=["dataset"])
+    stored = h.where("dataset <> '3-MEDIUM'").select("dataset", F.col("total").alias("i"), F.col("total").alias("j"), F.col("sumw2").alias("cov"))
+    links = spark.createDataFrame([("urgent", "1-URGENT", "dset"), ("all", "urgent", "stack"), ("all", "2-HIGH", "dset"), ("all", "3-MEDIUM", "dset")], "stack string, child string, kind string")
+    return catalog.stacked_covariance(stored, h, catalog.stack_members(spark, links), "total")

@@ -18,21 +18,24 @@ def catalog(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     return spark.createDataFrame(list(rows), CATALOG)
 
 
-def load_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Reads *.json files of the shape {runtag: {dataset: {attributes}}} into one row per dataset.
+def load_catalog(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
+    """Reads JSON files of the shape {runtag: {dataset: {attributes}}} into one row per dataset.
 
+    ht_max, vpt_low and vpt_high are the attributes flags.genHT and flags.genVpt (a pair); flags is their JSON text.
     Run tags and datasets are keys of JSON objects, so they are read as maps, not as columns.
     """
     attributes = T.MapType(T.StringType(), T.StringType())
     schema = T.MapType(T.StringType(), T.MapType(T.StringType(), attributes))
-    text = spark.read.text(path, wholetext=True, pathGlobFilter="*.json")
+    text = spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True)
     flat = (
         text.select(F.from_json("value", schema).alias("m"))
         .select(F.explode("m").alias("runtag", "sets"))
         .select("runtag", F.explode("sets").alias("dataset", "a"))
     )
     number = lambda k: F.try_element_at("a", F.lit(k)).cast("double").alias(k)
-    return flat.select("runtag", "dataset", F.try_element_at("a", F.lit("xsec")).isNotNull().alias("is_mc"), *[number(k) for k in ("xsec", "lumi", "eventcount", "ht_max")])
+    flag = lambda path, name: F.get_json_object(F.try_element_at("a", F.lit("flags")), path).cast("double").alias(name)
+    flags = [flag("$.genHT", "ht_max"), flag("$.genVpt[0]", "vpt_low"), flag("$.genVpt[1]", "vpt_high")]
+    return flat.select("runtag", "dataset", F.try_element_at("a", F.lit("xsec")).isNotNull().alias("is_mc"), *[number(k) for k in ("xsec", "lumi", "eventcount")], *flags, *[F.try_element_at("a", F.lit(k)).alias(k) for k in ("era", "tag", "location", "label", "flags")])
 
 
 def checked(cat: DataFrame) -> DataFrame:
@@ -66,14 +69,14 @@ def stack_members(spark: SparkSession, links: DataFrame, roots: Sequence[str] |
 
     A recursive common table expression; a dataset on two paths counts twice, as it would be added twice.
     """
-    links.createOrReplaceTempView("_stack_links")
     start = "" if roots is None else "WHERE stack IN (" + ", ".join("'" + r.replace("'", "''") + "'" for r in roots) + ")"
     return spark.sql(
         f"""WITH RECURSIVE m(stack, child, kind) AS (
-              SELECT stack, child, kind FROM _stack_links {start}
+              SELECT stack, child, kind FROM {{links}} {start}
               UNION ALL
-              SELECT m.stack, l.child, l.kind FROM m JOIN _stack_links l ON m.kind = 'stack' AND l.stack = m.child)
-            SELECT stack, child AS dataset, count(*) AS times FROM m WHERE kind = 'dset' GROUP BY stack, child"""
+              SELECT m.stack, l.child, l.kind FROM m JOIN {{links}} l ON m.kind = 'stack' AND l.stack = m.child)
+            SELECT stack, child AS dataset, count(*) AS times FROM m WHERE kind = 'dset' GROUP BY stack, child""",
+        links=links,
     )
 
 
@@ -88,3 +91,13 @@ def stacked(hist: DataFrame, members: DataFrame, keys: Sequence[str], dataset: s
     """stack, keys, sumw, sumw2: sums over each stack's datasets."""
     m = small(members.select("stack", F.col("dataset").alias(dataset), "times"))
     return hist.join(m, dataset).groupBy("stack", *keys).agg(F.sum(F.col("sumw") * F.col("times")).alias("sumw"), F.sum(F.col("sumw2") * F.col("times")).alias("sumw2"))
+
+
+def stacked_covariance(covariance: DataFrame | None, hist: DataFrame, members: DataFrame, key: str, dataset: str = "dataset") -> DataFrame:
+    """stack, i, j, cov of each stack: sums over its datasets. Where no covariance is stored it is zero on the diagonal."""
+    m = small(members.select("stack", F.col("dataset").alias(dataset), "times"))
+    zero = hist.join(m, dataset).select("stack", F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("cov"))
+    if covariance is None:
+        return zero.distinct()
+    stored = covariance.join(m, dataset).select("stack", "i", "j", (F.col("cov") * F.col("times")).alias("cov"))
+    return stored.unionByName(zero).groupBy("stack", "i", "j").agg(F.sum("cov").alias("cov"))

@@ -87,15 +87,21 @@ def missing(expected: DataFrame, produced: DataFrame, keys: Sequence[str]) -> Da
 
 
 def file_rows(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """file, n of every file below a path that has rows, from row metadata; unreadable files are skipped."""
+    """file, n, n_read of every file below a path: its rows by its footer, and those whose columns could all be read.
+
+    Unreadable files are skipped, unreadable pages end a file.
+    """
     df = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).option("ignoreCorruptFiles", "true").parquet(path)
-    return df.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    name = F.col("_metadata.file_path").alias("file")
+    footers = df.groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    pages = df.select(name, F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h")).groupBy("file").agg(F.count("h").alias("n_read"), F.bit_xor("h").alias("_all"))
+    return footers.join(pages, "file", "left").select("file", "n", F.coalesce(F.when(F.col("_all").isNotNull(), F.col("n_read")), F.lit(0).cast("long")).alias("n_read"))
 
 
 def empty_or_corrupt(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """file: listed files that give no row, as they are empty or cannot be read. A report; nothing is deleted."""
+    """file: listed files that have no row, or whose footer or columns cannot be read whole. A report; nothing is deleted."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select(F.col("path").alias("file"))
-    return listed.join(file_rows(spark, path, glob), "file", "left_anti")
+    return listed.join(file_rows(spark, path, glob).where("n > 0 and n = n_read"), "file", "left_anti")
 
 
 def binned(spark: SparkSession, values_path: str, covariance_path: str | None = None, **coordinates) -> tuple[DataFrame, DataFrame | None]:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -36,10 +37,20 @@ def start(hist: DataFrame, name: str, checkpoint: str, mode: str = "complete") -
     return hist.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The histogram after the last whole batch that `start_table` wrote."""
+    table = spark.read.parquet(path)
+    last = table.agg(F.max("batch")).first()[0]
+    return table.where(F.col("batch") == F.lit(last)).drop("batch")
+
+
 def start_table(hist: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Writes the current histogram whole after every batch: each batch replaces the last one."""
+    """Writes the current histogram whole after every batch, under `path`/batch=<number>.
+
+    Earlier batches stay, so a reader never meets a table that is being replaced; a batch that runs again writes its own.
+    """
 
-    def replace(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return hist.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -287,6 +287,45 @@ def test_layout_round_trip_and_reports(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).groupBy("tbl").count().count() == 2
 
 
+def test_corrupt_pages_and_footers_are_found(spark, tmp_path):
+    """2,000 bytes of data overwritten leave the footer whole; a cut file has none."""
+    path = tmp_path / "f"
+    df = spark.range(60000).selectExpr("id", "uuid() AS s")
+    for _ in range(3):
+        df.coalesce(1).write.mode("append").parquet(str(path))
+    pages, footer, _ = sorted(path.glob("*.parquet"))
+    raw = bytearray(pages.read_bytes())
+    raw[4000:6000] = b"\7" * 2000
+    pages.write_bytes(raw)
+    footer.write_bytes(footer.read_bytes()[:-100])
+    for crc in path.glob(".*.crc"):
+        crc.unlink()
+    got = {r.file.rsplit("/", 1)[1] for r in layout.empty_or_corrupt(spark, str(path)).collect()}
+    assert got == {pages.name, footer.name}
+
+
+def test_catalog_flags(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"r": {"low": {"xsec": 1.0, "flags": {"genHT": 70}}, "v": {"xsec": 1.0, "flags": {"genVpt": [50, -1]}}, "d": {"lumi": 2.0, "era": "B"}}}')
+    cat = {r.dataset: r for r in catalog.load_catalog(spark, str(tmp_path)).collect()}
+    assert cat["low"].ht_max == 70 and cat["low"].vpt_low is None
+    assert (cat["v"].vpt_low, cat["v"].vpt_high, cat["v"].ht_max) == (50, -1, None)
+    assert cat["d"].era == "B" and cat["d"].ht_max is None and not cat["d"].is_mc
+
+
+def test_stitching_keeps_the_boundary(spark):
+    rows = spark.createDataFrame([(69.0, 5.0), (70.0, 5.0), (70.1, 5.0), (70.0, 4.9), (70.0, 10.0)], "ht double, vpt double")
+    flags = {"ht_max": 70, "vpt_low": 5, "vpt_high": 10}
+    assert sorted(map(tuple, rows.where(select.in_sample(flags, "ht", "vpt")).collect())) == [(69.0, 5.0), (70.0, 5.0)]
+
+
+def test_plans_are_built_without_jobs_on_files(spark, sf_dir):
+    from lumenfold.functions.lookup import small
+
+    table = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
+    assert small(table) is table
+    assert small(spark.createDataFrame([(1,)], "x int"))._jdf.queryExecution().logical().toString().startswith("'UnresolvedHint") or "ResolvedHint" in small(spark.createDataFrame([(1,)], "x int"))._jdf.queryExecution().analyzed().toString()
+
+
 def test_completeness(spark):
     want = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("d", 10), ("e", 10)], "file string, entries long")
     made = spark.createDataFrame([("a", 0, 5, True), ("a", 5, 10, True), ("b", 0, 4, True), ("b", 6, 10, True), ("c", 0, 10, False), ("e", 0, 6, True), ("e", 4, 10, True)], "file string, start long, stop long, ok boolean")

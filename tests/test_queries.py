@@ -53,3 +53,13 @@ def test_overlap_of_an_order_with_many_items(spark, sf_dir, tmp_path):
     want = c.execute(plans.oracle_sql()["delta_r_overlap"]).to_arrow_table().to_pylist()
     got = [r.asDict() for r in plans.queries()["delta_r_overlap"](spark, str(tmp_path)).collect()]
     assert plain(got) == plain(want)
+
+
+@pytest.mark.parametrize("name", ["backgrounds_gamma_rho", "fold_closure", "fold_shifted_truth", "fold_error_propagation"])
+def test_the_fold_reads_its_table_once(spark, sf_dir, name):
+    """All roles come from one aggregation of the items; error propagation has one more for the squares."""
+    df = plans.queries()[name](spark, sf_dir)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("== Initial Plan ==")[0]
+    assert 1 <= final.count("FileScan") <= 2
