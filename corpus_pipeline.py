@@ -25,6 +25,9 @@ def _with_text(df: DataFrame, text: str) -> DataFrame:
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that toxicity scoring does not reject. A null or empty text is never toxic; rows that repeat are judged each;
+    without labels, or with an empty table, nothing goes. Returns COLUMNS; further columns of `docs` are left out.
+    """
     shipped(spark)
     docs = docs.select(*COLUMNS)
     model = toxicity.train(docs, read(spark, sf_dir, "labels"))
@@ -32,21 +35,38 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates: its smallest doc_id, once where rows repeat.
+
+    Null texts are empty ones, which are one class; a null doc_id stands for its class only where all are null.
+    Returns COLUMNS; further columns are left out; an empty table gives no rows.
+    """
     shipped(spark)
     return minhash.one_of_each(docs.select(*COLUMNS))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the characters that lie wholly in 50-byte strings of documents with a smaller doc_id.
+
+    Every row stays, also when nothing is left of its text; a null text becomes an empty one; a null doc_id counts as
+    the largest, and rows of one doc_id do not repeat each other. Returns COLUMNS with n_chars of the new text.
+    """
     shipped(spark)
+    docs = docs.select(*COLUMNS)
     return _with_text(substrings.removals(docs, keep=OTHERS, clean="kept_text"), "kept_text")
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words that lie in benchmark windows. Every row stays; a null text becomes an empty one; null ids
+    and repeated rows are cleaned like any other. Returns COLUMNS with n_chars of the new text.
+    """
+    shipped(spark)
+    docs = docs.select(*COLUMNS)
     found = decontamination.scan(docs, read(spark, sf_dir, "benchmark"), keep=OTHERS, clean="kept_text")
     return _with_text(found, "kept_text")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 ids: columns of `packing.pack`. A null or empty text is its end id."""
     shipped(spark)
     return packing.pack(docs, TOKENIZER)
 
@@ -64,6 +84,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`, each on what the one before it wrote."""
     docs = read(spark, sf_dir, "documents")
     last = []
     for name, stage in STAGES[:-1]:
