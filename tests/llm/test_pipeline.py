@@ -44,3 +44,27 @@ def test_queries_match_sql(spark, sf_dir, name):
     got = [r.asDict() for r in queries.queries()[name](spark, sf_dir).collect()]
     order = lambda rows: sorted(tuple(sorted(r.items())) for r in rows)
     assert order(got) == order(want)
+
+
+def test_stages_with_nulls_repeats_clashes_and_empty_tables(spark, sf_dir):
+    long = " ".join(f"w{k}" for k in range(300))
+    other = " ".join(f"v{k}" for k in range(300))
+    rows = [(1, long), (2, long), (3, long + " tail"), (4, None), (5, ""), (6, other), (6, other), (None, other + " end of its own"), (7, "x" * 60000)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, predicted string, class_id string, kept_text string"
+    docs = spark.createDataFrame([(i, t, None, "s", None, "a", "b", "c") for i, t in rows], schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf_dir)
+        got = out.collect()
+        if name == "packing":
+            assert {r.doc_id for r in got} == {i for i, _ in rows}
+        else:
+            assert out.columns == COLUMNS
+        if name == "near_duplicates":
+            assert sorted(str(r.doc_id) for r in got) == ["1", "4", "6", "7", "None"]  # a text that only null ids have is never compared
+        elif name in ("toxicity", "suffix_array_dedup", "decontamination"):
+            assert len(got) == len(rows)
+        if name == "suffix_array_dedup":
+            text = {r.doc_id: r.text for r in got}
+            assert text[1] == long and text[2] == "" and text[4] == "" and text[6] == other
+        empty = stage(spark, docs.limit(0), sf_dir)
+        assert empty.count() == 0
