@@ -34,6 +34,8 @@ WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 8, 3
 #: Members of a group up to which all are candidates; texts in a block of numbers; pairs of one text that a task gets.
 SMALL, BLOCK, SALTED = 16, 1024, 4096
+#: Shingles before its own that an entry of `prefixes` names: what two texts share there has given the pair already.
+BEFORE = 4
 #: Shingles in fewer documents than one in this many count as in that many: rarity is told up to here at every size.
 RAREST = 1024
 #: Entries of the table of document frequencies, and of one row of it in the shuffle.
@@ -231,11 +233,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: fl
 
 
 def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, shingle, weight (of the whole text), most: the rarest shingles of each text, enough to find every partner.
+    """doc_id, shingle, weight (of the whole text), most, before: the rarest shingles of each text, enough to find every partner.
 
     In order of rarity all that two texts share lies from their first common shingle on, so their overlap is at most
     what either has from there. `most` is the greatest weight of a partner that this still lets reach the threshold;
-    shingles that leave no partner are not given, which are all but the first 1 - t of a text's weight.
+    shingles that leave no partner are not given, which are all but the first 1 - t of a text's weight. `before` names
+    the BEFORE shingles that precede this one (-1: none); they are rows of the text too, with a larger `most`.
     """
     table = texts.sparkSession.sparkContext.broadcast(idf)
 
@@ -250,38 +253,53 @@ def prefixes(texts: DataFrame, idf: np.ndarray, threshold: float = THRESHOLD) ->
             ends = np.concatenate([[0.0], through])[np.searchsorted(row, np.arange(block.num_rows), side="right")]
             most = (ends[row] - through + w) * (1 + threshold) / threshold - total[row]
             near = most >= (threshold - 1e-9) * total[row]
-            row = row[near]
-            yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id").take(pa.array(row)), pa.array(ids[near].astype(np.int64)), pa.array(total[row]), pa.array(most[near])], names=["doc_id", "shingle", "weight", "most"]
-            )
+            ids = ids.astype(np.int64)
+            before = np.full((len(ids), BEFORE), -1, np.int64)
+            for k in range(1, BEFORE + 1):
+                before[k:, k - 1] = np.where(row[k:] == row[:-k], ids[:-k], -1)
+            row, before = row[near], before[near]
+            named = pa.ListArray.from_arrays(pa.array(np.arange(0, before.size + 1, BEFORE, dtype=np.int32)), pa.array(before.ravel()))
+            columns = [block.column("doc_id").take(pa.array(row)), pa.array(ids[near]), pa.array(total[row]), pa.array(most[near]), named]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "shingle", "weight", "most", "before"])
 
-    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long, weight double, most double")
+    return texts.select("doc_id", "text").mapInArrow(run, "doc_id long, shingle long, weight double, most double, before array<long>")
 
 
 def _sharing(entries: DataFrame) -> DataFrame:
-    """a, b: pairs of different components that share a rare shingle and whose weights and places allow the threshold.
+    """a, b: pairs of different components that share a rare shingle and whose weights and places allow the threshold; few repeat.
 
     entries: rows of `prefixes` with the text's component c. Texts that no other text of the group can reach are left
-    out first; a group is dealt out in pairs of blocks, so a task holds numbers of two blocks, and no texts.
+    out first; a group is dealt out in pairs of blocks, so a task holds numbers of two blocks, and no texts. A pair is
+    given at the first shingle it shares; it is left out at a later one if both name a common shingle before that, where
+    it met on easier terms. So rows grow with the pairs, not with all that each pair shares.
     """
     slack = 1 + 1e-9
     per = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.min("weight").alias("least"), F.max("most").alias("furthest"))
     open_ = entries.join(per.where("lo < hi").drop("lo", "hi"), "shingle").where((F.col("least") <= F.col("most") * slack) & (F.col("weight") <= F.col("furthest") * slack))
     parts = F.ceil(F.col("n") / BLOCK)
     dealt = open_.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    dealt = dealt.select("shingle", "doc_id", "c", "weight", "most", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    dealt = dealt.select("shingle", "doc_id", "c", "weight", "most", "before", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groups_of(batches, "shingle", "lo", "hi"):
-            doc, c, w, most = (rows.column(x).to_numpy() for x in ("doc_id", "c", "weight", "most"))
+        for (_, lo, hi), rows in groups_of(batches, "shingle", "lo", "hi"):
+            doc, c, w, most, part = (rows.column(x).to_numpy() for x in ("doc_id", "c", "weight", "most", "part"))
             most = most * slack
             ok = (w <= most[:, None]) & (w[:, None] <= most) & (c != c[:, None]) & (doc[:, None] < doc)
+            if lo != hi:  # pairs of one block meet where it is dealt out with itself
+                ok &= part != part[:, None]
             i, j = np.nonzero(ok)
+            if len(i):
+                before = rows.column("before").combine_chunks().flatten().to_numpy().reshape(-1, BEFORE)
+                again = np.zeros(len(i), bool)
+                for x in before.T:
+                    for y in before.T:
+                        again |= (x[i] == y[j]) & (x[i] >= 0)
+                i, j = i[~again], j[~again]
             if len(i):
                 yield pa.RecordBatch.from_arrays([pa.array(doc[i]), pa.array(doc[j])], names=["a", "b"])
 
     keys = ["shingle", "lo", "hi"]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long")
 
 
 def _residue(filed: DataFrame, group: DataFrame, pairs: DataFrame, texts: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame | None:

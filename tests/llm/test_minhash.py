@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from lumenfold.llm import minhash
-from lumenfold.llm.common import text_buffer
+from lumenfold.llm.common import text_buffer, written
 from lumenfold.llm.components import components
 
 DOCS = "doc_id long, text string, class_id string"
@@ -170,3 +170,35 @@ def test_an_id_with_several_texts(spark):
     df = spark.createDataFrame([(*r, "x") for r in rows], DOCS)
     got = {(r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()}
     assert got == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_pairs_that_share_rare_shingles(spark, monkeypatch):
+    """Against all pairs of entries, with groups of several blocks: none is lost and few are given twice."""
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    rng = random.Random(14)
+    words = [f"w{k}" for k in range(3000)]
+    template = [rng.choice(words) for _ in range(300)]
+    rows = []
+    for k in range(120):
+        t = list(template)
+        for _ in range(rng.randint(1, 3)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((k, " ".join(t), k // 2))
+    rows += [(500, None, 500), (501, "", 501), (502, "one two", 502), (503, "one two", 503)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, c long").repartition(3)
+    rare = minhash.prefixes(df, minhash.inverse_frequencies(df))
+    entries = written(rare.join(df.select("doc_id", "c"), "doc_id"), "entries")
+    per = {}
+    for r in entries.collect():
+        per.setdefault(r.shingle, []).append(r)
+    meetings = [
+        (a.doc_id, b.doc_id)
+        for group in per.values()
+        for a in group
+        for b in group
+        if a.doc_id < b.doc_id and a.c != b.c and a.weight <= b.most * (1 + 1e-9) and b.weight <= a.most * (1 + 1e-9)
+    ]
+    want = set(meetings)
+    got = [(r.a, r.b) for r in minhash._sharing(entries).collect()]
+    assert set(got) == want and (502, 503) in want
+    assert len(want) > 500 and len(meetings) > 5 * len(want) and len(got) < 1.2 * len(want)
