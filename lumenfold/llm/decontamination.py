@@ -7,25 +7,33 @@ Burrows-Wheeler transform, kept as a wavelet matrix. All phrases are searched ba
 narrows every phrase's interval of suffixes by two wavelet ranks. Occurrences are located by walking back to a
 sampled suffix position (every 16th and every run's first), and their spans are merged.
 
-Scale: map-only over documents; phrases are broadcast in blocks of a bounded size, however many items there are.
+Scale: map-only over documents. Phrases are made in tasks and written in blocks; GROUP_BLOCKS of them, some 60 MB,
+are broadcast for one pass over the texts, in which a shard is indexed once. A larger benchmark takes more passes,
+each written to the shared folder, so neither the driver nor a broadcast ever holds more than one group.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks, text_buffer, words
+from .common import forget, text_blocks, words, written
 
-#: Bytes of text per shard, and of benchmark text per broadcast block of phrases.
+#: Bytes of text per shard, and of benchmark text whose windows are made at once.
 SHARD_BYTES, PHRASE_BYTES = 8 << 20, 4 << 20
+#: Windows in a block (some 7 MB), and blocks that one pass over the documents searches for.
+BLOCK_PHRASES, GROUP_BLOCKS = 1 << 17, 8
 SAMPLE = 16
+#: Columns of the rows between two passes.
+WORDS, HITS, ITEMS, SPANS = "_n_words", "_n_hit", "_items_so_far", "_spans_so_far"
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -131,77 +139,84 @@ class Phrases:
     items: list
 
 
-def phrases_of(items: list, texts: list, window: int) -> Phrases:
-    data, offsets = text_buffer(pa.array(texts, pa.large_string()))
+def phrases_of(items: list, data: np.ndarray, offsets: np.ndarray, window: int, most: int) -> Iterator[Phrases]:
+    """The windows of the items' texts, in blocks of at most `most` of them; a block's are distinct."""
     _, _, key, row = words(data, offsets)
-    vocabulary = np.unique(key)
-    symbol = np.searchsorted(vocabulary, key) + 1
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    found: dict[tuple, list] = {}
-    for k in range(len(texts)):
-        own = symbol[bounds[k] : bounds[k + 1]].tolist()
-        for i in range(max(1, len(own) - window + 1) if own else 0):
-            to = found.setdefault(tuple(own[i : i + window]), [])
-            if not to or to[-1] != k:
-                to.append(k)
-    rows = np.zeros((len(found), window), np.int32)
-    for i, p in enumerate(found):
-        rows[i, : len(p)] = p
-    sizes = np.array([len(v) for v in found.values()], np.int64)
-    return Phrases(vocabulary, rows, np.array([len(p) for p in found], np.int64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64), np.array([k for v in found.values() for k in v], np.int64), items)
-
-
-def phrase_blocks(benchmark: DataFrame, window: int) -> Iterator[Phrases]:
-    items, texts, size = [], [], 0
-    for item, text in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator():
-        items.append(item)
-        texts.append(text)
-        size += len(text)
-        if size >= PHRASE_BYTES:
-            yield phrases_of(items, texts, window)
-            items, texts, size = [], [], 0
-    if items:
-        yield phrases_of(items, texts, window)
-
-
-def _occurrences(key: np.ndarray, row: np.ndarray, p: Phrases):
-    """Words of the shard (places) that some phrase covers, and the pairs (row, item) of its occurrences."""
-    nothing = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
-    if not len(p.vocabulary) or not len(key):
-        return nothing
-    at = np.minimum(np.searchsorted(p.vocabulary, key), len(p.vocabulary) - 1)
-    known = np.flatnonzero(p.vocabulary[at] == key)
+    n = np.bincount(row, minlength=len(items))
+    count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
+    owner = np.repeat(np.arange(len(items)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(np.cumsum(n) - n, count)
+    size = np.repeat(np.minimum(n, window), count)
+    for lo in range(0, len(start), most):
+        own, first, length = owner[lo : lo + most], start[lo : lo + most], size[lo : lo + most]
+        begin = int(first[0])
+        vocabulary, symbol = np.unique(key[begin : int(first[-1] + length[-1])], return_inverse=True)
+        symbol = np.append(symbol + 1, np.zeros(window, np.int64)).astype(np.int32)
+        rows = symbol[(first - begin)[:, None] + np.arange(window)]
+        rows[np.arange(window) >= length[:, None]] = 0
+        rows, which = np.unique(rows, axis=0, return_inverse=True)
+        pair = np.unique(np.column_stack([which.ravel(), own]), axis=0)
+        owners = np.unique(pair[:, 1])
+        owner_at = np.searchsorted(pair[:, 0], np.arange(len(rows) + 1))
+        yield Phrases(vocabulary, rows, np.count_nonzero(rows, axis=1), owner_at, np.searchsorted(owners, pair[:, 1]), [items[k] for k in owners.tolist()])
+
+
+def phrase_table(benchmark: DataFrame, window: int) -> DataFrame:
+    """The blocks of phrases (place, pickled block), made in tasks and written to the shared folder."""
+    most, limit = BLOCK_PHRASES, PHRASE_BYTES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = TaskContext.get().partitionId() << 32
+        for rows, data, offsets in text_blocks(batches, "text", limit):
+            for block in phrases_of(rows.column("item_id").to_pylist(), data, offsets, window, most):
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([pickle.dumps(block)], pa.binary())], names=["place", "block"])
+                place += 1
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
+    return written(items.mapInArrow(run, "place long, block binary"), "phrases")
+
+
+def _occurrences(key: np.ndarray, row: np.ndarray, vocabulary: np.ndarray, blocks: list[Phrases]):
+    """Of each block with words in common: places of the shard's words that its phrases cover, and pairs (row, item's number)."""
+    if not len(vocabulary) or not len(key):
+        return
+    at = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
+    known = np.flatnonzero(vocabulary[at] == key)
     if not len(known):
-        return nothing
+        return
     new_run = np.concatenate([[True], (np.diff(known) > 1) | (row[known[1:]] != row[known[:-1]])])
     first = np.flatnonzero(new_run)
     size = np.diff(np.append(first, len(known)))
-    kept = np.repeat(size >= p.length.min(), size)
+    kept = np.repeat(size >= min(p.length.min() for p in blocks), size)
     known, new_run = known[kept], new_run[kept]
     if not len(known):
-        return nothing
+        return
     run = np.cumsum(new_run) - 1  # a 0 behind each run
     place = np.arange(len(known)) + run
     text = np.zeros(len(known) + run[-1] + 1, np.int64)
     text[place] = at[known] + 1
     word = np.full(len(text), -1, np.int64)
     word[place] = known
-    index = FMIndex(text, len(p.vocabulary) + 1)
-    low, high = index.search(p.rows, p.length)
-    found = np.flatnonzero(high > low)
-    n = (high - low)[found]
-    which = np.repeat(found, n)
-    rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
-    where = index.locate(rows)
-    cover = np.zeros(len(text) + 1, np.int64)
-    np.add.at(cover, where, 1)
-    np.add.at(cover, where + p.length[which], -1)
-    hit = word[np.flatnonzero(np.cumsum(cover)[:-1] > 0)]
-    # (row, phrase) pairs once, then each with the phrase's items
-    pair = np.unique(np.column_stack([row[word[where]], which]), axis=0) if len(where) else np.zeros((0, 2), np.int64)
-    n = np.diff(p.owner_at)[pair[:, 1]]
-    owner = p.owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.owner_at[pair[:, 1]], n)]
-    return hit, np.unique(np.column_stack([np.repeat(pair[:, 0], n), owner]), axis=0)
+    index = FMIndex(text, len(vocabulary) + 1)
+    for p in blocks:
+        symbols = np.append(0, np.searchsorted(vocabulary, p.vocabulary) + 1)
+        low, high = index.search(symbols[p.rows], p.length)
+        found = np.flatnonzero(high > low)
+        if not len(found):
+            continue
+        n = (high - low)[found]
+        which = np.repeat(found, n)
+        rows = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[found], n)
+        where = index.locate(rows)
+        cover = np.zeros(len(text) + 1, np.int64)
+        np.add.at(cover, where, 1)
+        np.add.at(cover, where + p.length[which], -1)
+        hit = word[np.flatnonzero(np.cumsum(cover)[:-1] > 0)]
+        # (row, phrase) pairs once, then each with the phrase's items
+        pair = np.unique(np.column_stack([row[word[where]], which]), axis=0)
+        n = np.diff(p.owner_at)[pair[:, 1]]
+        owner = p.owners[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(p.owner_at[pair[:, 1]], n)]
+        yield p, hit, np.unique(np.column_stack([np.repeat(pair[:, 0], n), owner]), axis=0)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[str, ...] = ("doc_id",), clean: str | None = None) -> DataFrame:
@@ -211,10 +226,34 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
     null item_id marks words but is in no list; repeated rows are scanned each; empty tables give no hits or no rows.
     Spans reach from a merged run's first word to its last.
     """
-    blocks = [docs.sparkSession.sparkContext.broadcast(b) for b in phrase_blocks(benchmark, window)]
+    table = phrase_table(benchmark, window)
+    places = sorted(r.place for r in table.select("place").collect())
+    groups = [places[i : i + GROUP_BLOCKS] for i in range(0, len(places), GROUP_BLOCKS)] or [[]]
+    docs, before = docs.select(*dict.fromkeys([*keep, "text"])), []
+    for group in groups:
+        found = table.where(F.col("place").between(group[0], group[-1])).collect() if group else []
+        blocks = [pickle.loads(r.block) for r in found]
+        last = group is groups[-1]
+        docs = _pass(docs, blocks, keep, clean if last else None, bool(before), last)
+        if not last:
+            docs = written(docs, "decontaminated")
+            forget(*before)
+            before = [docs]
+    forget(table)
+    return docs
+
+
+def _pass(docs: DataFrame, phrases: list[Phrases], keep: tuple[str, ...], clean: str | None, again: bool, last: bool) -> DataFrame:
+    """One pass over the texts with a bounded group of blocks. Where it is not the first (`again`), the rows hold the
+    spans and items that earlier ones found, in columns SPANS and ITEMS; where it is not the `last`, it returns such rows.
+    """
+    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p.vocabulary for p in phrases)]))
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, phrases))
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-    schema = docs.select(*keep).schema.add("n_words", "long").add("n_hit", "long").add("items", T.ArrayType(T.StringType()))
-    schema = schema.add("spans", T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer")))
+    carried = [*keep] if last else list(dict.fromkeys([*keep, "text"]))
+    names = ("n_words", "n_hit", "items", "spans") if last else (WORDS, HITS, ITEMS, SPANS)
+    schema = docs.select(*carried).schema.add(names[0], "long").add(names[1], "long").add(names[2], T.ArrayType(T.StringType()))
+    schema = schema.add(names[3], T.ArrayType(T.StructType().add("begin", "integer").add("end", "integer")))
     if clean:
         schema = schema.add(clean, "string")
 
@@ -225,15 +264,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
         rows = int(base[-1])
         hit = np.zeros(len(key), bool)
         items: list[set] = [set() for _ in range(rows)]
-        for b in blocks:
-            p = b.value
-            at, pairs = _occurrences(key, row, p)
+        if again:
+            hit = _inside(start, row, held, base)
+            items = [set(own) for h in held for own in h[4].column(ITEMS).to_pylist()]
+        vocabulary, blocks = shared.value
+        for p, at, pairs in _occurrences(key, row, vocabulary, blocks):
             hit[at] = True
             for r, k in pairs.tolist():
                 if p.items[k] is not None:
                     items[r].add(p.items[k])
-            if len(blocks) > 1:
-                b.__dict__.pop("_value", None)  # one block of phrases at a time
         hits = np.flatnonzero(hit)
         new = np.concatenate([np.ones(min(1, len(hits)), bool), (np.diff(hits) > 1) | (row[hits[1:]] != row[hits[:-1]])])
         at = np.flatnonzero(new)
@@ -246,7 +285,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
             offsets, data = h[6], h[5]
             own = [[(a - o, b - o) for a, b in s] for s, o in zip(own, offsets[:-1].tolist(), strict=True)]
             columns = [
-                *(h[4].column(c) for c in keep),
+                *(h[4].column(c) for c in carried),
                 pa.array(n_words[lo:hi].astype(np.int64)),
                 pa.array(n_hit[lo:hi].astype(np.int64)),
                 pa.array([sorted(s) for s in items[lo:hi]], pa.list_(pa.string())),
@@ -268,7 +307,19 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
         if held:
             yield from shard(held)
 
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
+
+
+def _inside(start: np.ndarray, row: np.ndarray, held: list, base: np.ndarray) -> np.ndarray:
+    """Whether words of the shard begin inside spans that an earlier pass found."""
+    hit = np.zeros(len(start), bool)
+    for h, first in zip(held, base.tolist(), strict=False):
+        for r, (spans, o) in enumerate(zip(h[4].column(SPANS).to_pylist(), h[6][:-1].tolist(), strict=True)):
+            lo, hi = np.searchsorted(row, [first + r, first + r + 1])
+            for s in spans:
+                a, b = np.searchsorted(start[lo:hi], [s["begin"] + o, s["end"] + o])
+                hit[lo + a : lo + b] = True
+    return hit
 
 
 def _without(text: bytes, spans: list[tuple[int, int]]) -> str:

@@ -53,7 +53,9 @@ def test_against_brute_force(spark, monkeypatch):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = sorted((tuple(r) for r in d.report(df, bench).collect()), key=str)
     assert got == brute(docs, items)
-    monkeypatch.setattr(d, "PHRASE_BYTES", 100)  # several blocks of phrases give the same
+    monkeypatch.setattr(d, "BLOCK_PHRASES", 40)  # several blocks of phrases in one pass, and several passes, give the same
+    assert sorted((tuple(r) for r in d.report(df, bench).collect()), key=str) == got
+    monkeypatch.setattr(d, "GROUP_BLOCKS", 3)
     assert sorted((tuple(r) for r in d.report(df, bench).collect()), key=str) == got
 
 
@@ -71,6 +73,17 @@ def test_clean_text(spark):
     assert row.left == "keep this; . And that" and [tuple(s) for s in row.spans] == [(11, 29)]
 
 
+def test_clean_text_in_several_passes(spark, monkeypatch):
+    """Spans of earlier passes are kept, also where `keep` names the text itself and a window overlaps an earlier one."""
+    monkeypatch.setattr(d, "BLOCK_PHRASES", 1)
+    monkeypatch.setattr(d, "GROUP_BLOCKS", 1)
+    docs = spark.createDataFrame([(1, "é one two three; four nine"), (2, None)], "doc_id long, text string")
+    items = spark.createDataFrame([("a", "one two"), ("b", "two three four"), ("c", "nine"), ("d", "absent")], "item_id string, text string")
+    rows = sorted(d.scan(docs, items, keep=("doc_id", "text"), clean="left").collect())
+    assert [(r.doc_id, r.n_words, r.n_hit, r["items"], r.left) for r in rows] == [(1, 6, 5, ["a", "b", "c"], "é "), (2, 0, 0, [], "")]
+    assert rows[0].text == "é one two three; four nine"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.lists(st.integers(1, 4), min_size=1, max_size=30), min_size=1, max_size=10), st.lists(st.integers(1, 4), min_size=1, max_size=5))
 def test_index_counts_and_locates(runs, phrase):
