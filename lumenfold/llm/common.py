@@ -104,6 +104,34 @@ def text_blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 <
             yield batch.slice(i, j - i), data[lo : offsets[j]], offsets[i : j + 1] - lo
 
 
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """The stretches between offsets as an Arrow column; nothing is copied."""
+    buffers = [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]
+    return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers)
+
+
+def binary_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and n + 1 offsets of a large binary column without nulls."""
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def ragged(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., size[0] of them, then first[1], ..."""
+    return np.arange(int(size.sum())) + np.repeat(first - np.cumsum(size) + size, size)
+
+
+def equal_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Of the stretches between offsets: each one's place among the distinct ones, and the distinct ones (bytes).
+
+    Arrow compares the bytes themselves, so no two different stretches ever share a place.
+    """
+    found = binaries(data, offsets).dictionary_encode()
+    return found.indices.to_numpy().astype(np.int64), found.dictionary
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U64(32))
@@ -114,16 +142,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-#: An odd multiplier for polynomial hashes modulo 2**64 (any odd number whose bits look random does).
-BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """The first n powers of an odd base modulo 2**64."""
-    if len(_POWERS.get(base, ())) < n:
-        _POWERS[base] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n + (n >> 2), base, np.uint64)]), dtype=np.uint64)
-    return _POWERS[base][:n]
+def content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of short byte strings, eight bytes of every string at a time, each step mixed before the next."""
+    h = mix(size.astype(np.uint64) + U64(11))
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    on = np.arange(len(size))
+    for k in range(0, int(size.max(initial=0)), 8):
+        on = on[size[on] > k]
+        rest = np.minimum(size[on] - k, 8).astype(np.uint64)
+        word = eight[first[on] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
+        h[on] = mix(h[on] * U64(0x9E3779B97F4A7C15) + word)
+    return h
 
 
 def _word_table() -> np.ndarray:
@@ -140,15 +170,15 @@ def _word_table() -> np.ndarray:
 WORD = _word_table()
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: start and end byte, 64-bit hash and row of each lower-cased alphanumeric word.
+def word_bytes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: start and end byte and row of each alphanumeric word; all words' lower-cased bytes end to end, and where each ends there.
 
     Word bytes are ASCII letters and digits and all of UTF-8's bytes over 127; words end at row ends.
     """
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
-        return z, z, np.zeros(0, np.uint64), z
+        return z, z, z, np.zeros(0, np.uint8), np.zeros(1, np.int64)
     b = WORD[data]
     is_word = b != 0
     cut = np.zeros(n + 1, bool)
@@ -161,11 +191,13 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = np.append(starts[1:], n)
     keep = is_word[starts]
     starts, ends = starts[keep], ends[keep]
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(b * powers(BASE, n), out=total[1:])
-    h = (total[ends] - total[starts]) * powers(pow(BASE, -1, 1 << 64), n + 1)[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
-    return starts, ends, h, np.searchsorted(offsets, starts, side="right") - 1
+    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1, b[is_word], np.concatenate([[0], np.cumsum(ends - starts)])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: start and end byte, 64-bit hash and row of each lower-cased alphanumeric word, as `word_bytes` finds them."""
+    starts, ends, row, packed, at = word_bytes(data, offsets)
+    return starts, ends, content_hashes(packed, at[:-1], np.diff(at)), row
 
 
 #: A key is common if it has more than this many rows and more than this part of all rows: at most SPREAD are.

@@ -7,9 +7,12 @@ Burrows-Wheeler transform, kept as a wavelet matrix. All phrases are searched ba
 narrows every phrase's interval of suffixes by two wavelet ranks. Occurrences are located by walking back to a
 sampled suffix position (every 16th and every run's first), and their spans are merged.
 
-Scale: map-only over documents. Phrases are made in tasks and written in blocks; GROUP_BLOCKS of them, some 60 MB,
-are broadcast for one pass over the texts, in which a shard is indexed once. A larger benchmark takes more passes,
-each written to the shared folder, so neither the driver nor a broadcast ever holds more than one group.
+Words are told apart by their bytes, never by a hash: a pass's vocabulary holds them, and Arrow looks texts' words up.
+
+Scale: map-only over documents. The benchmark is dealt out by its bytes, however many files it has; phrases are made in
+tasks and written in blocks with their size. Blocks of GROUP_BYTES are broadcast for one pass over the texts, in which a
+shard is indexed once. A larger benchmark takes more passes, each written to the shared folder, so neither the driver nor
+a broadcast ever holds more than one group.
 """
 
 from __future__ import annotations
@@ -20,17 +23,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import forget, text_blocks, words, written
+from .common import binaries, equal_bytes, forget, text_blocks, word_bytes, written
 
 #: Bytes of text per shard, and of benchmark text whose windows are made at once.
 SHARD_BYTES, PHRASE_BYTES = 8 << 20, 4 << 20
-#: Windows in a block (some 7 MB), and blocks that one pass over the documents searches for.
-BLOCK_PHRASES, GROUP_BLOCKS = 1 << 17, 8
+#: Windows in a block (some 7 MB), and bytes of the blocks that one pass over the documents searches for.
+BLOCK_PHRASES, GROUP_BYTES = 1 << 17, 64 << 20
 SAMPLE = 16
 #: Columns of the rows between two passes.
 WORDS, HITS, ITEMS, SPANS = "_n_words", "_n_hit", "_items_so_far", "_spans_so_far"
@@ -129,9 +133,9 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """A block of distinct phrases: symbols are places in `vocabulary` plus 1; owners lists each phrase's items."""
+    """A block of distinct phrases: symbols are places in `vocabulary` (distinct words' bytes) plus 1; owners lists each phrase's items."""
 
-    vocabulary: np.ndarray
+    vocabulary: pa.Array
     rows: np.ndarray
     length: np.ndarray
     owner_at: np.ndarray
@@ -141,7 +145,7 @@ class Phrases:
 
 def phrases_of(items: list, data: np.ndarray, offsets: np.ndarray, window: int, most: int) -> Iterator[Phrases]:
     """The windows of the items' texts, in blocks of at most `most` of them; a block's are distinct."""
-    _, _, key, row = words(data, offsets)
+    _, _, row, packed, at = word_bytes(data, offsets)
     n = np.bincount(row, minlength=len(items))
     count = np.where(n > 0, np.maximum(1, n - window + 1), 0)
     owner = np.repeat(np.arange(len(items)), count)
@@ -149,8 +153,8 @@ def phrases_of(items: list, data: np.ndarray, offsets: np.ndarray, window: int,
     size = np.repeat(np.minimum(n, window), count)
     for lo in range(0, len(start), most):
         own, first, length = owner[lo : lo + most], start[lo : lo + most], size[lo : lo + most]
-        begin = int(first[0])
-        vocabulary, symbol = np.unique(key[begin : int(first[-1] + length[-1])], return_inverse=True)
+        begin, end = int(first[0]), int(first[-1] + length[-1])
+        symbol, vocabulary = equal_bytes(packed, at[begin : end + 1])
         symbol = np.append(symbol + 1, np.zeros(window, np.int64)).astype(np.int32)
         rows = symbol[(first - begin)[:, None] + np.arange(window)]
         rows[np.arange(window) >= length[:, None]] = 0
@@ -162,26 +166,44 @@ def phrases_of(items: list, data: np.ndarray, offsets: np.ndarray, window: int,
 
 
 def phrase_table(benchmark: DataFrame, window: int) -> DataFrame:
-    """The blocks of phrases (place, pickled block), made in tasks and written to the shared folder."""
+    """The blocks of phrases (place, size in bytes, pickled block), made in tasks and written to the shared folder."""
     most, limit = BLOCK_PHRASES, PHRASE_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = TaskContext.get().partitionId() << 32
         for rows, data, offsets in text_blocks(batches, "text", limit):
             for block in phrases_of(rows.column("item_id").to_pylist(), data, offsets, window, most):
-                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([pickle.dumps(block)], pa.binary())], names=["place", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array([place]), pa.array([len(dumped := pickle.dumps(block))]), pa.array([dumped], pa.binary())], names=["place", "size", "block"])
                 place += 1
 
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
-    return written(items.mapInArrow(run, "place long, block binary"), "phrases")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    items = items.repartition(-(-size // limit) or 1)  # many small files make no more blocks than one large one
+    return written(items.mapInArrow(run, "place long, size long, block binary"), "phrases")
+
+
+def groups_by_bytes(blocks: list[tuple[int, int]], limit: int) -> list[list[int]]:
+    """Places of the blocks (place, bytes), in order, in groups of at most `limit` bytes each, or one larger block."""
+    groups, used = [], limit + 1
+    for place, size in sorted(blocks):
+        if used + size > limit:
+            groups.append([])
+            used = 0
+        groups[-1].append(place)
+        used += size
+    return groups
 
 
-def _occurrences(key: np.ndarray, row: np.ndarray, vocabulary: np.ndarray, blocks: list[Phrases]):
+def _symbols(packed: np.ndarray, at: np.ndarray, vocabulary: pa.Array) -> np.ndarray:
+    """Each word's place in the vocabulary plus 1; 0 for other words."""
+    if not len(vocabulary):
+        return np.zeros(len(at) - 1, np.int32)
+    return pc.fill_null(pc.index_in(binaries(packed, at), vocabulary), -1).to_numpy() + np.int32(1)
+
+
+def _occurrences(symbol: np.ndarray, row: np.ndarray, vocabulary: pa.Array, blocks: list[Phrases]):
     """Of each block with words in common: places of the shard's words that its phrases cover, and pairs (row, item's number)."""
-    if not len(vocabulary) or not len(key):
-        return
-    at = np.minimum(np.searchsorted(vocabulary, key), len(vocabulary) - 1)
-    known = np.flatnonzero(vocabulary[at] == key)
+    known = np.flatnonzero(symbol)
     if not len(known):
         return
     new_run = np.concatenate([[True], (np.diff(known) > 1) | (row[known[1:]] != row[known[:-1]])])
@@ -194,12 +216,12 @@ def _occurrences(key: np.ndarray, row: np.ndarray, vocabulary: np.ndarray, block
     run = np.cumsum(new_run) - 1  # a 0 behind each run
     place = np.arange(len(known)) + run
     text = np.zeros(len(known) + run[-1] + 1, np.int64)
-    text[place] = at[known] + 1
+    text[place] = symbol[known]
     word = np.full(len(text), -1, np.int64)
     word[place] = known
     index = FMIndex(text, len(vocabulary) + 1)
     for p in blocks:
-        symbols = np.append(0, np.searchsorted(vocabulary, p.vocabulary) + 1)
+        symbols = np.append(0, pc.index_in(p.vocabulary, vocabulary).to_numpy() + 1)
         low, high = index.search(symbols[p.rows], p.length)
         found = np.flatnonzero(high > low)
         if not len(found):
@@ -224,11 +246,11 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, keep: tuple[st
 
     `clean` names a further column: the text without its spans. Null texts (of either table) have no words; a
     null item_id marks words but is in no list; repeated rows are scanned each; empty tables give no hits or no rows.
-    Spans reach from a merged run's first word to its last.
+    Whole texts are scanned, however long: one that is longer than a shard is a shard of its own. Further columns of
+    either table are left out unless `keep` names them. Spans reach from a merged run's first word to its last.
     """
     table = phrase_table(benchmark, window)
-    places = sorted(r.place for r in table.select("place").collect())
-    groups = [places[i : i + GROUP_BLOCKS] for i in range(0, len(places), GROUP_BLOCKS)] or [[]]
+    groups = groups_by_bytes([(r.place, r.size) for r in table.select("place", "size").collect()], GROUP_BYTES) or [[]]
     docs, before = docs.select(*dict.fromkeys([*keep, "text"])), []
     for group in groups:
         found = table.where(F.col("place").between(group[0], group[-1])).collect() if group else []
@@ -247,7 +269,7 @@ def _pass(docs: DataFrame, phrases: list[Phrases], keep: tuple[str, ...], clean:
     """One pass over the texts with a bounded group of blocks. Where it is not the first (`again`), the rows hold the
     spans and items that earlier ones found, in columns SPANS and ITEMS; where it is not the `last`, it returns such rows.
     """
-    vocabulary = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p.vocabulary for p in phrases)]))
+    vocabulary = pc.unique(pa.chunked_array([p.vocabulary for p in phrases], pa.large_binary()))
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, phrases))
     span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
     carried = [*keep] if last else list(dict.fromkeys([*keep, "text"]))
@@ -258,17 +280,17 @@ def _pass(docs: DataFrame, phrases: list[Phrases], keep: tuple[str, ...], clean:
         schema = schema.add(clean, "string")
 
     def shard(held: list) -> Iterator[pa.RecordBatch]:
-        key, row, start, end = (np.concatenate([h[k] for h in held]) for k in (2, 3, 0, 1))
+        symbol, row, start, end = (np.concatenate([h[k] for h in held]) for k in (2, 3, 0, 1))
         base = np.cumsum([0] + [h[4].num_rows for h in held])
         row = row + np.repeat(base[:-1], [len(h[0]) for h in held])
         rows = int(base[-1])
-        hit = np.zeros(len(key), bool)
+        hit = np.zeros(len(symbol), bool)
         items: list[set] = [set() for _ in range(rows)]
         if again:
             hit = _inside(start, row, held, base)
             items = [set(own) for h in held for own in h[4].column(ITEMS).to_pylist()]
         vocabulary, blocks = shared.value
-        for p, at, pairs in _occurrences(key, row, vocabulary, blocks):
+        for p, at, pairs in _occurrences(symbol, row, vocabulary, blocks):
             hit[at] = True
             for r, k in pairs.tolist():
                 if p.items[k] is not None:
@@ -298,8 +320,8 @@ def _pass(docs: DataFrame, phrases: list[Phrases], keep: tuple[str, ...], clean:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for rows, data, offsets in text_blocks(batches, "text"):
-            start, end, key, row = words(data, offsets)
-            held.append((start.astype(np.int32), end.astype(np.int32), key, row, rows, data if clean else None, offsets))
+            start, end, row, packed, at = word_bytes(data, offsets)
+            held.append((start.astype(np.int32), end.astype(np.int32), _symbols(packed, at, shared.value[0]), row, rows, data if clean else None, offsets))
             size += len(data)
             if size >= SHARD_BYTES:
                 yield from shard(held)

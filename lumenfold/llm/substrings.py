@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, bucketed, buckets_for, groups_of, mix, text_blocks, written
+from .common import U64, blocks, bucketed, buckets_for, content_hashes, groups_of, mix, text_blocks, written
 from .grouping import suffix_arrays
 
 WINDOW, SEED = 50, 24
@@ -153,19 +153,6 @@ def gather(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
     return data[_runs(first, size)]
 
 
-def content_hashes(data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit hashes of short byte strings, eight bytes of every string at a time."""
-    h = mix(size.astype(np.uint64) + U64(11))
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    words = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
-    for k in range(0, int(size.max(initial=0)), 8):
-        on = slice(None) if k < WINDOW - 8 else np.flatnonzero(size > k)
-        rest = np.minimum(size[on] - k, 8).astype(np.uint64)
-        word = words[first[on] + k] & (U64(0xFFFFFFFFFFFFFFFF) >> (U64(64) - U64(8) * rest))
-        h[on] = mix(h[on] * U64(0x9E3779B97F4A7C15) + word)
-    return h
-
-
 # ---- anchors of several documents
 
 

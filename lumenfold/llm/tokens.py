@@ -1,21 +1,23 @@
 """Token ids of whole texts by the tokenizers library, with each distinct pre-token encoded once per task.
 
-A byte-level BPE works on pre-tokens. Their bounds are found with numpy over a block of texts, each pre-token
-is hashed, and only pre-tokens that the task has not met yet go to the library's model; ids of the rest are
-gathered from arrays. Texts with characters outside ASCII and the Latin letters U+00C0 to U+027F, whose
+A byte-level BPE works on pre-tokens. Their bounds are found with numpy over a block of texts, equal ones become one
+by their bytes (Arrow's dictionary encoding), and only pre-tokens that the task has not met yet go to the library's
+model; ids of the rest are gathered from arrays. A hash only says where to look: the bytes of what is found are
+compared. Texts with characters outside ASCII and the Latin letters U+00C0 to U+027F, whose
 classes need Unicode tables, or with a special token's string go to the library whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 
-from .common import BASE, U64, mix, powers
+from .common import binary_buffer, content_hashes, equal_bytes, ragged
 
-#: Pre-tokens remembered by a task (24 bytes each and their ids); beyond it the memory starts anew.
-MEMORY = 2_000_000
+#: Distinct pre-tokens that a task remembers, and their bytes at most; beyond either the memory starts anew.
+MEMORY, MEMORY_BYTES = 1_000_000, 32 << 20
 OTHER, LETTER, DIGIT, SPACE = range(4)
 
 
@@ -68,6 +70,41 @@ def pretoken_starts(b: np.ndarray, row_start: np.ndarray) -> np.ndarray:
     return start
 
 
+def _expect_plain_bytes(file: dict) -> None:
+    """Raises unless a tokenizer file is a byte-level BPE as `pretoken_starts` splits texts: no normalizer, no prefix space."""
+    steps = file.get("pre_tokenizer") or {}
+    steps = steps.get("pretokenizers", [steps])
+    plain = len(steps) == 1 and steps[0].get("type") == "ByteLevel" and not steps[0].get("add_prefix_space") and steps[0].get("use_regex", True)
+    if file.get("normalizer") or not plain or file["model"].get("type") != "BPE":
+        raise ValueError("the tokenizer must be a byte-level BPE with no normalizer, no prefix space and the usual splitting")
+
+
+class Growing:
+    """A one-dimensional array that grows at its end."""
+
+    def __init__(self, kind, values=()):
+        self.held, self.used = np.zeros(1 << 12, kind), 0
+        self.extend(np.asarray(values, kind))
+
+    def extend(self, values: np.ndarray) -> None:
+        while self.used + len(values) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+        self.held[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+    def all(self) -> np.ndarray:
+        return self.held[: self.used]
+
+    def last(self):
+        return self.held[self.used - 1]
+
+    def __len__(self) -> int:
+        return self.used
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.held[at]
+
+
 class Encoder:
     """encode(data, offsets) -> ids (uint32) of all rows and the n + 1 offsets of rows in them."""
 
@@ -76,30 +113,50 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        _expect_plain_bytes(json.loads(self.library.to_str()))
         self.model = self.library.model
         self.table = dict(enumerate(_stand_ins()))
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._forget()
 
     def _forget(self) -> None:
-        self.keys, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.pool = np.zeros(1 << 16, np.uint32)
-        self.used = 0
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes and what they stand for
+        self.text, self.text_at = Growing(np.uint8), Growing(np.int64, [0])  # the pre-tokens met, and where each ends
+        self.ids, self.ids_at = Growing(np.uint32), Growing(np.int64, [0])
 
-    def _learn(self, keys: np.ndarray, pretokens: list[bytes]) -> None:
-        if len(self.keys) + len(keys) > MEMORY:
-            self._forget()
-        found = [[t.id for t in self.model.tokenize(p.decode("latin-1").translate(self.table))] for p in pretokens]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for x in found for i in x), np.uint32, int(size.sum()))
-        while self.used + len(flat) > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        self.pool[self.used : self.used + len(flat)] = flat
+    def _model_ids(self, pretoken: bytes) -> list[int]:
+        return [t.id for t in self.model.tokenize(pretoken.decode("latin-1").translate(self.table))]
+
+    def _learn(self, data: np.ndarray, first: np.ndarray, size: np.ndarray, keys: np.ndarray) -> None:
+        text = data.tobytes()
+        found = [self._model_ids(text[s:e]) for s, e in zip(first.tolist(), (first + size).tolist(), strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        known = len(self.text_at) - 1
+        self.text.extend(data[ragged(first, size)])
+        self.text_at.extend(self.text_at.last() + np.cumsum(size))
+        self.ids.extend(np.fromiter((i for x in found for i in x), np.uint32, int(n.sum())))
+        self.ids_at.extend(self.ids_at.last() + np.cumsum(n))
         where = np.searchsorted(self.keys, keys)
-        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
-        self.size = np.insert(self.size, where, size)
+        self.slot = np.insert(self.slot, where, known + np.arange(len(keys)))
         self.keys = np.insert(self.keys, where, keys)
-        self.used += len(flat)
+
+    def _slots(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The places of distinct pre-tokens among those met; -1 where another one with the same hash was met before."""
+        key = content_hashes(data, first, size)
+        alone, at = np.unique(key, return_index=True)  # of two with one hash the first is learned
+        if len(self.keys) + len(alone) > MEMORY or len(self.text) + len(data) > MEMORY_BYTES:
+            self._forget()
+        new = ~np.isin(alone, self.keys, assume_unique=True)
+        if new.any():
+            self._learn(data, first[at[new]], size[at[new]], alone[new])
+        slot = self.slot[np.searchsorted(self.keys, key)]
+        begin, end = self.text_at[slot], self.text_at[slot + 1]
+        same = end - begin == size
+        own = np.flatnonzero(same)
+        differs = data[ragged(first[own], size[own])] != self.text[ragged(begin[own], size[own])]
+        if differs.any():
+            same[own[np.repeat(np.arange(len(own)), size[own])[differs]]] = False
+        return np.where(same, slot, -1)
 
     def _plain(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Mask of rows whose characters all have known classes."""
@@ -127,27 +184,17 @@ class Encoder:
         row_start = np.zeros(n + 1, bool)
         row_start[offsets[:-1]] = True
         starts = np.flatnonzero(pretoken_starts(data, row_start[:n]))
-        ends = np.append(starts[1:], n)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + U64(1)) * powers(BASE, n), out=total[1:])
-        h = (total[ends] - total[starts]) * powers(pow(BASE, -1, 1 << 64), n + 1)[starts]
-        del total
-        h = mix(h + (ends - starts).astype(np.uint64) * U64(0xA24BAED4963EE407))
-        keys, first, which = np.unique(h, return_index=True, return_inverse=True)
-        slot = np.searchsorted(self.keys, keys)
-        new = np.ones(len(keys), bool)
-        inside = slot < len(self.keys)
-        new[inside] = self.keys[slot[inside]] != keys[inside]
-        if new.any():
-            text = data.tobytes()
-            known = len(self.keys)
-            take = new if known + new.sum() <= MEMORY else np.ones(len(keys), bool)
-            self._learn(keys[take], [text[s:e] for s, e in zip(starts[first[take]].tolist(), ends[first[take]].tolist(), strict=True)])
-            slot = np.searchsorted(self.keys, keys)
-        size = self.size[slot][which]
+        which, pretokens = equal_bytes(data, np.append(starts, n))
+        text, at = binary_buffer(pretokens)
+        slot = self._slots(text, at[:-1], np.diff(at))
+        begin, end, ids = self.ids_at[slot], self.ids_at[slot + 1], self.ids.all()
+        for k in np.flatnonzero(slot < 0).tolist():  # hash met with other bytes: encoded anew
+            own = np.array(self._model_ids(text[at[k] : at[k + 1]].tobytes()), np.uint32)
+            begin[k], end[k] = len(ids), len(ids) + len(own)
+            ids = np.concatenate([ids, own])
+        size = (end - begin)[which]
         upto = np.concatenate([[0], np.cumsum(size)])
-        ids = self.pool[np.repeat(self.at[slot][which] - upto[:-1], size) + np.arange(upto[-1])]
-        return ids, upto[np.searchsorted(starts, offsets)]
+        return ids[ragged(begin[which], size)], upto[np.searchsorted(starts, offsets)]
 
     def _mixed(self, data: np.ndarray, offsets: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = np.diff(offsets)

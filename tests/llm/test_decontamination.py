@@ -5,9 +5,12 @@ import re
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lumenfold.llm import decontamination as d
 
+from .words import thue_morse
+
 WORDS = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
@@ -55,10 +58,29 @@ def test_against_brute_force(spark, monkeypatch):
     assert got == brute(docs, items)
     monkeypatch.setattr(d, "BLOCK_PHRASES", 40)  # several blocks of phrases in one pass, and several passes, give the same
     assert sorted((tuple(r) for r in d.report(df, bench).collect()), key=str) == got
-    monkeypatch.setattr(d, "GROUP_BLOCKS", 3)
+    monkeypatch.setattr(d, "GROUP_BYTES", 8_000)
     assert sorted((tuple(r) for r in d.report(df, bench).collect()), key=str) == got
 
 
+def test_passes_follow_the_benchmarks_bytes(spark):
+    """The 40 items make one block, or few, in however many partitions they come; a group is bounded by bytes."""
+    items = spark.createDataFrame([(k, f"item {k} of the benchmark with words enough for three windows {k}") for k in range(40)], "item_id long, text string")
+    for parts in (1, 40, 200):
+        blocks = [(r.place, r.size) for r in d.phrase_table(items.repartition(parts), 10).select("place", "size").collect()]
+        assert len(d.groups_by_bytes(blocks, d.GROUP_BYTES)) == 1 and len(blocks) <= 4
+    assert d.groups_by_bytes([(3, 5), (1, 4), (2, 9), (4, 1)], 9) == [[1], [2], [3, 4]]
+    assert d.groups_by_bytes([], 9) == []
+
+
+def test_words_of_one_polynomial_hash(spark):
+    """The Thue-Morse word of 1,024 letters and its complement agree under every polynomial hash modulo 2**64."""
+    one, two = thue_morse(1024)
+    docs = spark.createDataFrame([(1, f"x {one} y"), (2, f"x {two} y")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, two, "clash")], "item_id long, text string, doc_id string")
+    docs = docs.withColumn("item_id", F.lit("clash"))
+    assert sorted((r.doc_id, r.n_hit, r.n_items) for r in d.report(docs, items).collect()) == [(1, 0, 0), (2, 1, 1)]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")
@@ -76,7 +98,7 @@ def test_clean_text(spark):
 def test_clean_text_in_several_passes(spark, monkeypatch):
     """Spans of earlier passes are kept, also where `keep` names the text itself and a window overlaps an earlier one."""
     monkeypatch.setattr(d, "BLOCK_PHRASES", 1)
-    monkeypatch.setattr(d, "GROUP_BLOCKS", 1)
+    monkeypatch.setattr(d, "GROUP_BYTES", 1)
     docs = spark.createDataFrame([(1, "é one two three; four nine"), (2, None)], "doc_id long, text string")
     items = spark.createDataFrame([("a", "one two"), ("b", "two three four"), ("c", "nine"), ("d", "absent")], "item_id string, text string")
     rows = sorted(d.scan(docs, items, keep=("doc_id", "text"), clean="left").collect())

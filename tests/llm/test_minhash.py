@@ -7,6 +7,8 @@ from lumenfold.llm import minhash
 from lumenfold.llm.common import text_buffer, written
 from lumenfold.llm.components import components
 
+from .words import thue_morse
+
 DOCS = "doc_id long, text string, class_id string"
 
 
@@ -202,3 +204,10 @@ def test_pairs_that_share_rare_shingles(spark, monkeypatch):
     got = [(r.a, r.b) for r in minhash._sharing(entries).collect()]
     assert set(got) == want and (502, 503) in want
     assert len(want) > 500 and len(meetings) > 5 * len(want) and len(got) < 1.2 * len(want)
+
+
+def test_long_words_are_told_apart(spark):
+    """Words that agree under every polynomial hash modulo 2**64 are two classes."""
+    for n in (1024, 4096):
+        docs = spark.createDataFrame([(k, t) for k, t in enumerate(thue_morse(n))], "doc_id long, text string")
+        assert sorted((r.doc_id, r.class_id) for r in minhash.near_duplicates(docs).collect()) == [(0, 0), (1, 1)]

@@ -7,10 +7,12 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lumenfold.llm import packing, token_counts, token_files
+from lumenfold.llm import packing, token_counts, token_files, tokens
 from lumenfold.llm.common import text_buffer
 from lumenfold.llm.tokens import encoder
 
+from .words import thue_morse
+
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 ALPHABET = list("abst' re l vmd\n\t.,!1é_ß×²ñ\x0b\x1c") + ["'s", "'ll", "'re", " 't", "<|endoftext|>", "中", "😀", "  "]
 DOCS = "doc_id long, text string, start string"
@@ -26,6 +28,39 @@ def test_ids_equal_the_library(texts):
     assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_are_told_apart(spark, n):
+    """Words that agree under every polynomial hash modulo 2**64 get their own ids, in one block and over tables."""
+    texts = thue_morse(n)
+    code = encoder(PATH)
+    ids, at = code.encode(*text_buffer(pa.array(texts, pa.string())))
+    want = [e.ids for e in code.library.encode_batch(list(texts), add_special_tokens=False)]
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(2)] == want and want[0] != want[1]
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1])], "doc_id long, text string").coalesce(1)
+    for end, found in ((1, packing.pack(docs, PATH, window=1 << 14)), (2, token_files.round_trip(docs, PATH))):
+        crc = {r.doc_id: r.ids_crc32 for r in found.collect()}
+        assert crc == {k + 1: zlib.crc32(np.array([*w, end], "<u4").tobytes()) for k, w in enumerate(want)}
+
+
+def test_ids_do_not_rest_on_the_hash(monkeypatch):
+    """With a hash that nearly all pre-tokens share, and a memory that starts anew, ids are the library's."""
+    monkeypatch.setattr(tokens, "content_hashes", lambda data, first, size: (size % 3).astype(np.uint64))
+    monkeypatch.setattr(tokens, "MEMORY", 2)
+    code = tokens.Encoder(PATH)
+    for texts in (["one two three", "two's four", ""], ["six two one", "é one 中"], ["four six"]):
+        ids, at = code.encode(*text_buffer(pa.array(texts, pa.string())))
+        want = [e.ids for e in code.library.encode_batch(texts, add_special_tokens=False)]
+        assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == want
+
+
+def test_other_kinds_of_tokenizers_are_refused():
+    plain = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE"}}
+    tokens._expect_plain_bytes(plain)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"pre_tokenizer": None}, {"model": {"type": "WordPiece"}}):
+        with pytest.raises(ValueError):
+            tokens._expect_plain_bytes(plain | change)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=30))
 def test_longest_match_equals_greedy(word):
