@@ -68,7 +68,7 @@ class Gaps:
 def pieces(docs: DataFrame, tokenizer: str, window: int, end_id: int, id_column: str, text_column: str) -> DataFrame:
     """deal (a number of the row's own), id, piece, start, length, ids_crc32: the pieces of every document."""
     schema = T.StructType().add("deal", "long").add(docs.select(F.col(id_column)).schema[0])
-    schema = schema.add("piece", "int").add("start", "long").add("length", "long").add("ids_crc32", "long")
+    schema = schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, deal = encoder(tokenizer), TaskContext.get().partitionId() << OWN_BITS
