@@ -27,10 +27,26 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
 
     Lane k is symbols[begin[k] : begin[k + 1]] and ends with a 0, which it has nowhere else.
     """
-    n = len(symbols)
-    if not n:
+    if not len(symbols):
         return np.zeros(0, np.int32)
-    lanes = len(begin) - 1
+    group, before, low, high, _ = _grouped(symbols, begin)
+    return _emit(group, before, low, high)
+
+
+def lyndon_arrays(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Phase one alone: of every place the length of the longest Lyndon word that begins there, and a number that
+    places of a lane share exactly if that word is the same. Lanes are as in `suffix_arrays`.
+    """
+    if not len(symbols):
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    group, _, _, _, length = _grouped(symbols, begin)
+    return length[group[:-1]], group[:-1]
+
+
+def _grouped(symbols: np.ndarray, begin: np.ndarray):
+    """Phase one: each place's group (its first place in the order), previous smaller suffix, the lanes' bounds, and each
+    group's Lyndon word's length at the group's first place."""
+    n, lanes = len(symbols), len(begin) - 1
     low, high = begin[:-1].astype(np.int32), begin[1:].astype(np.int32)
     lane = np.repeat(np.arange(lanes), np.diff(begin))
     order = np.argsort(lane * (int(symbols.max()) + 1) + symbols, kind="stable").astype(np.int32)
@@ -44,12 +60,14 @@ def suffix_arrays(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
     group[order] = np.repeat(head, size[head])
     before = np.arange(-1, n, dtype=np.int32)
     before[low] = n
-    _group(order, place, group, size, before, low, high)
-    return _emit(group, before, low, high)
+    length = np.ones(n, np.int32)
+    _group(order, place, group, size, before, low, high, length)
+    return group, before, low, high, length
 
 
-def _group(order, place, group, size, before, low, high) -> None:
+def _group(order, place, group, size, before, low, high, length) -> None:
     n = len(order)
+    current = np.zeros(len(low), np.int32)  # the length of each lane's current Lyndon word
     moving = np.zeros(n, bool)
     top = high.copy()
     live = np.arange(len(low))
@@ -57,6 +75,7 @@ def _group(order, place, group, size, before, low, high) -> None:
         end = top[live]
         start = group[order[end - 1]]
         top[live] = start
+        current[live] = length[start]
         members = order[_ragged(start, end - start)]
         own = np.repeat(start, end - start)
         point = before[members]
@@ -93,6 +112,7 @@ def _group(order, place, group, size, before, low, high) -> None:
         new = np.flatnonzero(first | np.concatenate([[True], times[1:] != times[:-1]]))
         count = np.diff(np.append(new, len(up)))
         size[to[new]] = count
+        length[to[new]] = length[of[new]] + times[new].astype(np.int32) * current[np.searchsorted(low, up[new], side="right") - 1]
         group[up] = np.repeat(to[new], count)
 
 

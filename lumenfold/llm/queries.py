@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, decontamination, embeddings, minhash, packing, quality, substrings, token_counts, token_files, toxicity
+from . import bestfit, chat, decontamination, embeddings, minhash, packing, periodic, quality, substrings, token_counts, token_files, toxicity
 from .common import read
 
 #: Vocabulary of the token operators; a parameter of each of them.
@@ -56,12 +56,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.report(periodic.with_planted_runs(read(spark, sf_dir, "documents")))
+
+
 def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict:
-    own = (op1_chat_formatting, op2_suffix_array_dedup, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination, op13_bestfit_packing)
+    own = (op1_chat_formatting, op2_suffix_array_dedup, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination, op11_periodic_runs, op13_bestfit_packing)
     return {f.__name__: f for f in own}
 
 
