@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit, chat, decontamination, embeddings, minhash, packing, periodic, quality, substrings, token_counts, token_files, toxicity
+from . import bestfit, chat, decontamination, embeddings, minhash, packing, periodic, quality, substrings, token_counts, token_files, toxicity, trie
 from .common import read
 
 #: Vocabulary of the token operators; a parameter of each of them.
@@ -60,12 +60,17 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.report(periodic.with_planted_runs(read(spark, sf_dir, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = trie.prefix_trie(trie.rebuilt(trie.turn_lists(read(spark, sf_dir, "conversations"))))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 def op13_bestfit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bestfit.pack(read(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict:
-    own = (op1_chat_formatting, op2_suffix_array_dedup, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination, op11_periodic_runs, op13_bestfit_packing)
+    own = (op1_chat_formatting, op2_suffix_array_dedup, op3_quality_classifier, op4_token_counts, op5_packing, op6_minhash_dedup, op7_token_files, op8_embedding_dedup, op9_toxicity, op10_decontamination, op11_periodic_runs, op12_prefix_trie, op13_bestfit_packing)
     return {f.__name__: f for f in own}
 
 
@@ -105,5 +110,33 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN n USING (doc_id)
 """
 
 
+#: crc32 of an id's decimal digits, bit by bit.
+_CRC = """xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split({0}::varchar, ''), lambda ch: ascii(ch)::bigint)),
+  lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), [0::bigint, 0, 0, 0, 0, 0, 0, 0]),
+    lambda c, z: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384::bigint ELSE 0 END))), 4294967295::bigint)"""
+
+OP12_SQL = f"""
+WITH o AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST) AS own FROM conversations GROUP BY conv_id),
+h AS (SELECT c, own, {_CRC.format("c")} % 4 AS h FROM o),
+m AS (
+  SELECT h.c, list_concat(coalesce(b.own, [])[1 : h.h], h.own[h.h + 1 :]) AS turns
+  FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+p AS (SELECT c, d, turns[1 : d] AS seq, d = len(turns) AS ends FROM (SELECT c, turns, unnest(range(0, len(turns) + 1)) AS d FROM m)),
+n AS (
+  SELECT d, seq, min(c) AS conv_id, count(*) AS n_convs, coalesce(string_agg(c::varchar, ',' ORDER BY c) FILTER (WHERE ends), '') AS ids,
+         CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(any_value(seq[d].t), '[^\\x20\\x09-\\x0D]+')) END AS words
+  FROM p GROUP BY d, seq),
+k AS (SELECT d - 1 AS d, seq[1 : d - 1] AS seq, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+f AS (SELECT n.*, coalesce(k.n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, seq)),
+s AS (
+  SELECT a AS d, seq[1 : a] AS seq, sum((n_convs - 1) * words) AS saved, sum((n_children = 0)::bigint) AS leaves
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM f) GROUP BY 1, 2)
+SELECT f.conv_id, f.d::bigint AS depth, u.conv_id AS parent_conv_id, f.n_convs::bigint AS n_convs, f.n_children::bigint AS n_children,
+       s.leaves::bigint AS n_leaves, s.saved::bigint AS saved_tokens, sha256(f.ids) AS ends_sha256
+FROM f JOIN s USING (d, seq) LEFT JOIN f u ON u.d = f.d - 1 AND u.seq = f.seq[1 : f.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op10_decontamination": OP10_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op10_decontamination": OP10_SQL, "op12_prefix_trie": OP12_SQL}
