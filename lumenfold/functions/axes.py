@@ -6,13 +6,16 @@ Bins are half-open; the last one is closed only where there is no overflow slot.
 
 from __future__ import annotations
 
+import json
 import math
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Key of a bin column's metadata under which its binning is kept, also in Parquet files.
+BINNING = "binning"
 #: Axes with at most this many edges become a chain of comparisons; longer ones search an array literal.
 CHAIN = 32
 
@@ -56,6 +59,15 @@ class Axis:
     def slots(self) -> list[int]:
         return list(range(-1 if self.underflow else 0, self.bins + (1 if self.overflow else 0)))
 
+    @property
+    def metadata(self) -> dict:
+        """What a bin column carries: all that tells one binning from another. The axis's name is the column's."""
+        return {BINNING: json.dumps([list(self.edges), self.underflow, self.overflow, self.clamp, self.transform])}
+
+    def column(self, value: Column | str) -> Column:
+        """A column of bin numbers under the axis's name and with its binning."""
+        return _col(value).alias(self.name, metadata=self.metadata)
+
     # -- bin index
 
     def index(self, value: Column | str) -> Column:
@@ -157,6 +169,38 @@ def flat_index(axes: Sequence[Axis], columns: Sequence[Column | str] | None = No
     return out
 
 
+def slots_of(axes: Sequence[Axis], cell: Column | str) -> dict[str, Column]:
+    """The way back from `flat_index`: each axis's bin number in a cell number, flow included."""
+    out, rest = {}, _col(cell)
+    for a in reversed(axes):
+        out[a.name] = (rest % a.extent - (1 if a.underflow else 0)).cast("int")
+        rest = F.floor(rest / a.extent) if a is not axes[0] else rest
+    return {a.name: out[a.name] for a in axes}
+
+
+def binnings(df: DataFrame, columns: Iterable[str] | None = None) -> dict[str, str]:
+    """Binnings that the columns carry; those without one are left out. Reads the schema only."""
+    wanted = df.columns if columns is None else list(columns)
+    return {f.name: f.metadata[BINNING] for f in df.schema.fields if f.name in wanted and BINNING in f.metadata}
+
+
+def agreed_binning(a: DataFrame, b: DataFrame, columns: Iterable[str] | None = None) -> dict[str, str]:
+    """Refuses to mix binnings: raises if a column carries one in both tables and they differ. Returns the known ones."""
+    x, y = binnings(a, columns), binnings(b, columns)
+    for name in sorted(set(x) & set(y)):
+        if x[name] != y[name]:
+            raise ValueError(f"the binnings of {name} differ: {x[name]} and {y[name]}")
+    return x | y
+
+
+def carrying(df: DataFrame, known: dict[str, str]) -> DataFrame:
+    """The columns with the binnings that an operation on several tables lost."""
+    for name, binning in known.items():
+        if name in df.columns:
+            df = df.withMetadata(name, {BINNING: binning})
+    return df
+
+
 def categories(value: Column | str, labels: dict) -> Column:
     """Label of an integer or string category; an unlisted one is its own text."""
     mapping = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])

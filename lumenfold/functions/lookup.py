@@ -1,16 +1,15 @@
 """Corrections: binned tables and piecewise polynomials, joined by bin index.
 
-A correction table has one row per cell, so it is small by construction. Tables made on the driver are counted before
-they are broadcast; tables that are read from files are left to the planner, which knows or measures their size, so
-building a plan never runs a job over them.
+A correction table has one row per cell, so it is small by construction. Tables of rows that the driver holds (`local`)
+are broadcast, as their length is known; all others are left to the planner, which knows or measures their size. So
+building a plan never runs a job.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .axes import Axis
@@ -19,12 +18,10 @@ from .axes import Axis
 BROADCAST_ROWS = 500_000
 
 
-def small(table: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The table with a broadcast hint if it holds no rows of files and a count shows that it is small."""
-    plan = table._jdf.queryExecution().optimizedPlan().toString()
-    if re.search(r"(?<![A-Za-z])(Relation \[|InMemoryRelation|StreamingRelation)", plan):
-        return table
-    return F.broadcast(table) if table.limit(rows + 1).count() <= rows else table
+def local(spark: SparkSession, rows: Sequence[tuple], schema: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of the driver's own rows, with a broadcast hint if there are no more than `most`. The hint outlives a select."""
+    table = spark.createDataFrame(list(rows), schema)
+    return F.broadcast(table) if len(rows) <= most else table
 
 
 def binned_lookup(
@@ -32,22 +29,24 @@ def binned_lookup(
 ) -> DataFrame:
     """Adds the value of the cell that each row falls in.
 
-    `table` has a bin column named like each axis, the `keys` columns (compared by equality) and `value`. An axis
+    `table` (see `local`) has a bin column named like each axis, the `keys` columns (compared by equality) and `value`. An axis
     with `clamp` uses its outer bins beyond its range; otherwise such rows, like nulls, get the default.
     """
     bins = {f"_bin_{a.name}": a.index(c) for a, c in axes}
-    cells = small(table.select(*[F.col(a.name).alias(f"_bin_{a.name}") for a, _ in axes], *keys, F.col(value).alias("_value")))
+    cells = table.select(*[F.col(a.name).alias(f"_bin_{a.name}") for a, _ in axes], *keys, F.col(value).alias("_value"))
     out = df.withColumns(bins).join(cells, [*bins, *keys], "left")
     found = F.col("_value") if default is None else F.coalesce("_value", F.lit(default))
     return out.withColumn(into, found).drop(*bins, "_value").select(*df.columns, into)
 
 
-def range_lookup(df: DataFrame, table: DataFrame, x: str, lo: str = "lo", hi: str = "hi", value: str = "value", default: float = 1.0, into: str = "correction") -> DataFrame:
-    """lo <= x < hi against a table whose ranges are not an axis; the table must be small, as there is no equal key."""
-    r = table.select(F.col(lo).alias("_lo"), F.col(hi).alias("_hi"), F.col(value).alias("_value"))
-    if r.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+def range_lookup(df: DataFrame, ranges: Sequence[tuple[float, float, float]] | DataFrame, x: str, default: float = 1.0, into: str = "correction") -> DataFrame:
+    """The value of the range (lo, hi, value) with lo <= x < hi; ranges need not make up an axis. There is no equal key, so
+    there must be few of them; those of a table are brought to the driver to know that."""
+    rows = ranges.select("lo", "hi", "value").take(BROADCAST_ROWS + 1) if isinstance(ranges, DataFrame) else ranges
+    if len(rows) > BROADCAST_ROWS:
         raise ValueError("a range table of this size needs an axis: use binned_lookup")
-    out = df.join(F.broadcast(r), (F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi")), "left")
+    r = local(df.sparkSession, rows, "_lo double, _hi double, _value double")
+    out = df.join(r, (F.col(x) >= F.col("_lo")) & (F.col(x) < F.col("_hi")), "left")
     return out.select(*[df[c] for c in df.columns], F.coalesce("_value", F.lit(default)).alias(into))
 
 

@@ -7,11 +7,13 @@ exist are joined. All products are equi-joins followed by partial aggregations.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.axes import Axis
+from ..functions.axes import Axis, agreed_binning, carrying, slots_of
+from .cov import merged_bin
 
 
 def scale(h: DataFrame, factor: float, value: str = "sumw", variance: str | None = "sumw2") -> DataFrame:
@@ -24,9 +26,10 @@ def scale_covariance(cov: DataFrame, factor: float) -> DataFrame:
 
 
 def add(a: DataFrame, b: DataFrame, keys: Sequence[str], weight: float = 1.0, value: str = "sumw", variance: str = "sumw2") -> DataFrame:
-    """a + weight * b with outer-join semantics: a cell that one side lacks is 0 there."""
-    cols = [*keys, value, variance]
-    return a.select(cols).unionByName(scale(b.select(cols), weight, value, variance)).groupBy(*keys).agg(F.sum(value).alias(value), F.sum(variance).alias(variance))
+    """a + weight * b with outer-join semantics: a cell that one side lacks is 0 there. Raises if the keys carry different binnings."""
+    known, cols = agreed_binning(a, b, keys), [*keys, value, variance]
+    out = a.select(cols).unionByName(scale(b.select(cols), weight, value, variance)).groupBy(*keys).agg(F.sum(value).alias(value), F.sum(variance).alias(variance))
+    return carrying(out, known)
 
 
 def project(h: DataFrame, keys: Sequence[str], value: str = "sumw", variance: str = "sumw2") -> DataFrame:
@@ -36,12 +39,8 @@ def project(h: DataFrame, keys: Sequence[str], value: str = "sumw", variance: st
 
 def rebin(h: DataFrame, axis: Axis, coarse: Axis, others: Sequence[str] = (), value: str = "sumw", variance: str = "sumw2") -> DataFrame:
     """Merges the bins of one axis; an interior bin goes where its middle lies on `coarse`, flow stays flow."""
-    n = axis.bins
-    cases = F
-    for k in axis.slots():
-        to = (-1 if coarse.underflow else None) if k < 0 else (coarse.bins if coarse.overflow else None) if k >= n else coarse.place((axis.edges[k] + axis.edges[k + 1]) / 2)
-        cases = cases.when(F.col(axis.name) == k, F.lit(to).cast("int"))
-    return h.withColumn(axis.name, cases).where(F.col(axis.name).isNotNull()).groupBy(*others, axis.name).agg(F.sum(value).alias(value), F.sum(variance).alias(variance))
+    binned = h.withColumn(axis.name, merged_bin(axis, coarse, F.col(axis.name))).where(F.col(axis.name).isNotNull())
+    return binned.groupBy(*others, replace(coarse, name=axis.name).column(axis.name)).agg(F.sum(value).alias(value), F.sum(variance).alias(variance))
 
 
 def slice_range(h: DataFrame, axis: Axis, low: float, high: float) -> DataFrame:
@@ -126,12 +125,69 @@ def purity_stability(transfer: DataFrame) -> DataFrame:
     return d.join(r, "bin").join(g, "bin").select("bin", F.try_divide(F.col("d"), F.col("r")).alias("purity"), F.try_divide(F.col("d"), F.col("g")).alias("stability"))
 
 
+def vector(key: str, value) -> Column:
+    """Aggregate: {key: value} of all rows. As long as the binning; one row of it meets a matrix without shuffling either."""
+    value = F.col(value) if isinstance(value, str) else value
+    return F.map_from_entries(F.collect_list(F.struct(key, value)))
+
+
+def _at(v: str, key: str) -> Column:
+    return F.coalesce(F.try_element_at(v, F.col(key)), F.lit(0.0))
+
+
+def quadratic_form(row: DataFrame, d: str, inverse: str) -> DataFrame:
+    """chi2 and ndf of one row that holds a vector `d` and the inverse covariance, an array of (i, j, cov)."""
+    entries = row.select(d, F.inline(inverse))
+    return entries.agg(F.coalesce(F.sum(_at(d, "i") * F.col("cov") * _at(d, "j")), F.lit(0.0)).alias("chi2"), F.max(F.size(d)).cast("long").alias("ndf"))
+
+
 def chi_square(a: DataFrame, b: DataFrame, inverse: DataFrame) -> DataFrame:
     """chi2 and ndf of two value tables (i, value), given the inverse covariance (i, j, cov)."""
-    d = a.select("i", F.col("value").alias("x")).join(b.select("i", F.col("value").alias("y")), "i", "full").select("i", (F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))).alias("d"))
-    dj = d.select(F.col("i").alias("j"), F.col("d").alias("dj"))
-    quadratic = inverse.join(d, "i").join(dj, "j").agg(F.coalesce(F.sum(F.col("d") * F.col("cov") * F.col("dj")), F.lit(0.0)).alias("chi2"))
-    return quadratic.crossJoin(F.broadcast(d.agg(F.count(F.lit(1)).alias("ndf"))))  # one row each
+    known = agreed_binning(a, b, ["i"])
+    both = a.select("i", F.col("value").alias("d")).unionByName(b.select("i", (-F.col("value")).alias("d")))
+    return chi_square_of(carrying(both.groupBy("i").agg(F.sum("d").alias("d")), known), inverse)
+
+
+def chi_square_of(difference: DataFrame, inverse: DataFrame) -> DataFrame:
+    """chi2 and ndf of differences (i, d), given the inverse covariance (i, j, cov); i may be of any one type.
+
+    The differences become one row, as long as the binning, which is broadcast to the matrix: they are read once.
+    """
+    d = difference.agg(vector("i", "d").alias("_d"))
+    met = inverse.crossJoin(F.broadcast(d))  # one row
+    chi2 = met.agg(F.coalesce(F.sum(_at("_d", "i") * F.col("cov") * _at("_d", "j")), F.lit(0.0)).alias("chi2"), F.coalesce(F.max(F.size("_d")), F.lit(0)).cast("long").alias("ndf"))
+    return chi2
+
+
+def chi_square_shapes(values: DataFrame, pairs: DataFrame, inverse: DataFrame, axes: Sequence[Axis], block: Sequence[str], within: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """chi2, ndf, expected of the shapes of two spectra within blocks and ranges, for a given inverse covariance (i, j, cov).
+
+    values: (i, x, y) over flat cells of the axes; pairs: (i, j, cov_x, cov_y), the spectra uncorrelated. Shapes are
+    taken within each combination of the `block` axes' bins, then cells outside `within` (and flow of its axes) go.
+    expected is the trace of the inverse with the shapes' own covariance, J C J^T of both after the same slice: what
+    chi2 would be on average if the spectra differed by their errors only.
+    """
+    bins = slots_of(axes, "i")
+    number = F.concat_ws(",", *[bins[n].cast("string") for n in block])
+    sliced = F.lit(True)
+    for a in axes:
+        if within and a.name in within:
+            low, high = within[a.name]
+            sliced = sliced & bins[a.name].isin([k for k in range(a.bins) if a.edges[k] >= low and a.edges[k + 1] <= high])
+    v = values.withColumn("block", number)
+    of = Window.partitionBy("block")
+    s = v.select("i", "block", *[e for c in ("x", "y") for e in (F.try_divide(F.col(c), F.sum(c).over(of)).alias(f"s{c}"), F.sum(c).over(of).alias(f"f{c}"))])
+    kept = s.where(sliced)
+    chi2 = chi_square_of(kept.select("i", (F.coalesce("sx", F.lit(0.0)) - F.coalesce("sy", F.lit(0.0))).alias("d")), inverse)
+    # d shape_a / d value_i = (delta_ai - shape_a) / flux within a block, for both spectra side by side
+    one = F.when(F.col("a") == F.col("i"), 1.0).otherwise(0.0)
+    jac = kept.select(F.col("i").alias("a"), "block", "sx", "sy", "fx", "fy").join(v.select("block", "i"), "block")
+    jac = jac.select("a", "i", *[F.try_divide(one - F.col(f"s{c}"), F.col(f"f{c}")).alias(f"d{c}") for c in ("x", "y")])
+    right = jac.select(F.col("a").alias("b"), F.col("i").alias("j"), F.col("dx").alias("ex"), F.col("dy").alias("ey"))
+    half = pairs.join(right, "j").groupBy("i", "b").agg(F.sum(F.col("cov_x") * F.col("ex")).alias("cx"), F.sum(F.col("cov_y") * F.col("ey")).alias("cy"))
+    full = jac.join(half, "i").groupBy("a", "b").agg(F.sum(F.coalesce(F.col("dx") * F.col("cx"), F.lit(0.0)) + F.coalesce(F.col("dy") * F.col("cy"), F.lit(0.0))).alias("c"))
+    trace = inverse.join(full, (F.col("i") == F.col("a")) & (F.col("j") == F.col("b"))).agg(F.coalesce(F.sum(F.col("cov") * F.col("c")), F.lit(0.0)).alias("expected"))
+    return chi2.crossJoin(F.broadcast(trace))  # one row each
 
 
 def marginalise(cov: DataFrame, k: int) -> DataFrame:
@@ -139,16 +195,18 @@ def marginalise(cov: DataFrame, k: int) -> DataFrame:
 
 
 def condition(values: DataFrame, cov: DataFrame, k: int, at: float) -> tuple[DataFrame, DataFrame]:
-    """Values and covariance given that entry k is `at`: a rank-one update by two joins on the k-th column."""
-    column = cov.where(F.col("j") == k).select(F.col("i").alias("n"), F.col("cov").alias("c"))
-    at_k = values.where(F.col("i") == k).select(F.col("value").alias("_x"))
-    pivot = F.broadcast(cov.where((F.col("i") == k) & (F.col("j") == k)).select(F.col("cov").alias("_p")).crossJoin(at_k))  # one row
-    v = values.join(column.withColumnRenamed("n", "i"), "i", "left").crossJoin(pivot)
-    new_values = v.where(F.col("i") != k).select("i", (F.col("value") + F.coalesce("c", F.lit(0.0)) / F.col("_p") * (F.lit(at) - F.col("_x"))).alias("value"))
-    a, b = column.select(F.col("n").alias("i"), F.col("c").alias("ci")), column.select(F.col("n").alias("j"), F.col("c").alias("cj"))
-    c = marginalise(cov, k).join(a, "i", "left").join(b, "j", "left").crossJoin(pivot.select("_p"))
-    reduced = F.col("cov") - F.coalesce("ci", F.lit(0.0)) * F.coalesce("cj", F.lit(0.0)) / F.col("_p")
-    return new_values, c.select("i", "j", reduced.alias("cov"))
+    """Values and covariance given that entry k is `at`: a rank-one update.
+
+    Entry k's column of the covariance, its variance and value become one row, as long as the binning, which is
+    broadcast; so neither table is filtered and read again.
+    """
+    column = cov.agg(F.map_from_entries(F.collect_list(F.when(F.col("j") == k, F.struct("i", "cov")))).alias("_c"), F.max(F.when((F.col("i") == k) & (F.col("j") == k), F.col("cov"))).alias("_p"))
+    entry = values.agg(F.max(F.when(F.col("i") == k, F.col("value"))).alias("_x"), F.max(F.when(F.col("i") == k, F.col("i"))).alias("_k"))
+    pivot = F.broadcast(column.crossJoin(F.broadcast(entry)))  # one row
+    v = values.crossJoin(pivot).where(F.col("i") != F.col("_k"))
+    new_values = v.select("i", (F.col("value") + _at("_c", "i") / F.col("_p") * (F.lit(at) - F.col("_x"))).alias("value"))
+    c = cov.crossJoin(pivot).where((F.col("i") != F.col("_k")) & (F.col("j") != F.col("_k")))
+    return new_values, c.select("i", "j", (F.col("cov") - _at("_c", "i") * _at("_c", "j") / F.col("_p")).alias("cov"))
 
 
 def baseline(values: DataFrame, cov: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,10 +229,11 @@ def nuisance_contribution(values: DataFrame, cov: DataFrame, nuisances: Sequence
 
 
 def objective(chi2: DataFrame, theta: DataFrame, truth: DataFrame, penalty: float) -> DataFrame:
-    """chi2 / 2 + sum theta^2 / 2 + penalty * sum of negative truth, as one row."""
-    t = theta.agg(F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0.0)).alias("t"))
-    n = truth.agg(F.coalesce(F.sum(F.greatest(-F.col("value"), F.lit(0.0))), F.lit(0.0)).alias("n"))
-    return chi2.select("chi2").crossJoin(F.broadcast(t)).crossJoin(F.broadcast(n)).select((F.col("chi2") / 2 + F.col("t") / 2 + penalty * F.col("n")).alias("loss"))
+    """chi2 / 2 + sum theta^2 / 2 + penalty * sum of negative truth, as one row. One table for both is read once."""
+    t = F.coalesce(F.sum(F.col("value") * F.col("value")), F.lit(0.0)).alias("t")
+    n = F.coalesce(F.sum(F.greatest(-F.col("value"), F.lit(0.0))), F.lit(0.0)).alias("n")
+    terms = theta.agg(t, n) if theta is truth else theta.agg(t).crossJoin(F.broadcast(truth.agg(n)))
+    return chi2.select("chi2").crossJoin(F.broadcast(terms)).select((F.col("chi2") / 2 + F.col("t") / 2 + penalty * F.col("n")).alias("loss"))
 
 
 def remove_background(reco: DataFrame, rho: DataFrame) -> DataFrame:
@@ -195,17 +254,18 @@ def fold_jacobian(resp: DataFrame, gamma: DataFrame, rho: DataFrame) -> DataFram
 def compare(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
     """keys, value, variance of a sum, difference, product or ratio of uncorrelated inputs (value, variance).
 
-    A cell that one side lacks is 0 there; a ratio is null where its denominator is 0.
+    A cell that one side lacks is 0 there; a ratio is null where its denominator is 0. Raises if the keys carry different binnings.
     """
-    j = a.select(*keys, F.col("value").alias("x"), F.col("variance").alias("vx")).join(b.select(*keys, F.col("value").alias("y"), F.col("variance").alias("vy")), list(keys), "full")
-    x, vx, y, vy = (F.coalesce(c, F.lit(0.0)) for c in ("x", "vx", "y", "vy"))
+    known = agreed_binning(a, b, keys)
+    j = a.select(*keys, F.col("value").alias("_x"), F.col("variance").alias("_vx")).join(b.select(*keys, F.col("value").alias("_y"), F.col("variance").alias("_vy")), list(keys), "full")
+    x, vx, y, vy = (F.coalesce(c, F.lit(0.0)) for c in ("_x", "_vx", "_y", "_vy"))
     value, variance = {
         "sum": (x + y, vx + vy),
         "difference": (x - y, vx + vy),
         "product": (x * y, vx * y * y + vy * x * x),
         "ratio": (F.try_divide(x, y), F.try_divide(vx, y * y) + F.try_divide(vy * x * x, y * y * y * y)),
     }[how]
-    return j.select(*keys, value.alias("value"), variance.alias("variance"))
+    return carrying(j.select(*keys, value.alias("value"), variance.alias("variance")), known)
 
 
 def compare_covariance(cov_a: DataFrame, cov_b: DataFrame, a: DataFrame, b: DataFrame, how: str) -> DataFrame:
@@ -223,3 +283,14 @@ def compare_covariance(cov_a: DataFrame, cov_b: DataFrame, a: DataFrame, b: Data
         return cov.join(left, "i").join(right, "j").select("i", "j", (F.col("cov") * F.col("di") * F.col("dj")).alias("cov"))
 
     return part(cov_a, da).unionByName(part(cov_b, db)).groupBy("i", "j").agg(F.sum("cov").alias("cov"))
+
+
+def ratio_covariance(pairs: DataFrame, values: DataFrame, x: str = "x", y: str = "y", cov_x: str = "cov_x", cov_y: str = "cov_y") -> DataFrame:
+    """(i, j, cov) of x / y per cell, x and y uncorrelated, of covariances side by side (i, j, cov_x, cov_y) and values (i, x, y).
+
+    The values become one row, as long as the binning, which is broadcast. Null where y is 0.
+    """
+    v = F.broadcast(values.agg(vector("i", x).alias("_x"), vector("i", y).alias("_y")))
+    xi, xj, yi, yj = (F.try_element_at(v_, F.col(k)) for v_ in ("_x", "_y") for k in ("i", "j"))
+    cov = F.try_divide(F.col(cov_x), yi * yj) + F.try_divide(F.col(cov_y) * xi * xj, yi * yi * yj * yj)
+    return pairs.crossJoin(v).select("i", "j", cov.alias("cov"))

@@ -4,27 +4,108 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.axes import Axis, flat_index, slots_of
 
-def event_covariance(df: DataFrame, event: str, cell: str, weight: Column | str) -> DataFrame:
+#: Cells of one event that are paired within one group of the join.
+BLOCK = 1024
+
+
+def per_event(df: DataFrame, event: str, cell: str, weights: dict[str, Column | str]) -> DataFrame:
+    """event, cell and the sum of each weight: what values and covariances of the same table have in common."""
+    sums = [F.sum(w if isinstance(w, Column) else F.col(w)).alias(n) for n, w in weights.items()]
+    return df.where(F.col(cell).isNotNull()).groupBy(event, cell).agg(*sums)
+
+
+def event_covariance(df: DataFrame, event: str, cell: str, weight: Column | str, block: int = BLOCK) -> DataFrame:
     """C_ij = sum over events of (sum of weights in i) (sum in j): entries of one event are correlated.
 
     Rows are first added up per event and cell, so the self-join on the event sees each cell once; only i <= j is
-    formed and the other half mirrored after the second aggregation.
+    formed and the other half mirrored after the second aggregation. An event of more than `block` cells is dealt out
+    in pairs of blocks, so that no task forms more than the pairs of two blocks of one event.
     """
-    w = weight if isinstance(weight, Column) else F.col(weight)
-    per = df.where(F.col(cell).isNotNull()).groupBy(event, cell).agg(F.sum(w).alias("w"))
-    a = per.select(F.col(event).alias("e"), F.col(cell).alias("i"), F.col("w").alias("wi"))
-    b = per.select(F.col(event).alias("e"), F.col(cell).alias("j"), F.col("w").alias("wj"))
-    half = a.join(b, "e").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("wi") * F.col("wj")).alias("cov"))
-    return mirrored(half)
+    return covariance_of(per_event(df, event, cell, {"w": weight}), event, cell, {"cov": "w"}, block)
+
+
+def covariance_of(per: DataFrame, event: str, cell: str, columns: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """i, j and a covariance per entry of `columns` (its name: the weight's), all from one join of `per_event`'s rows."""
+    blocks = in_blocks(per, event, cell, block)
+    weights = list(dict.fromkeys(columns.values()))
+    side = lambda rows, by, x: rows.select(*by, F.col("cell").alias(x), *[F.col(w).alias(f"_{x}_{w}") for w in weights])
+    whole = blocks.where("last = 0")  # joined where the blocks were numbered: no further shuffle
+    dealt = block_pairs(blocks.where("last > 0"))
+    met = side(whole, ["e"], "i").join(side(whole, ["e"], "j"), "e").drop("e")
+    keys = ["e", "lo", "hi"]
+    met = met.unionByName(side(dealt.where("part = lo"), keys, "i").join(side(dealt.where("part = hi"), keys, "j"), keys).drop(*keys))
+    return mirrored(met.where("i <= j").groupBy("i", "j").agg(*[F.sum(F.col(f"_i_{w}") * F.col(f"_j_{w}")).alias(n) for n, w in columns.items()]))
+
+
+def in_blocks(per: DataFrame, event: str, cell: str, block: int = BLOCK) -> DataFrame:
+    """e, cell, the weights, part and last: an event's cells in order of their number, in blocks of `block` cells from 0 to last."""
+    of = Window.partitionBy(event)
+    part = F.floor((F.row_number().over(of.orderBy(cell)) - 1) / block).cast("int").alias("part")
+    last = F.floor((F.count(F.lit(1)).over(of) - 1) / block).cast("int").alias("last")
+    return per.select(F.col(event).alias("e"), F.col(cell).alias("cell"), *[c for c in per.columns if c not in (event, cell)], part, last)
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Each cell once for every pair lo <= hi of its event's blocks that has its own; i <= j lies in pairs lo <= hi."""
+    pair = lambda k: F.struct(F.least(k, "part").alias("lo"), F.greatest(k, "part").alias("hi"))
+    return blocks.select("*", F.inline(F.transform(F.sequence(F.lit(0), F.col("last")), pair)))
 
 
 def mirrored(half: DataFrame) -> DataFrame:
     both = F.when(F.col("i") == F.col("j"), F.array(F.struct("i", "j"))).otherwise(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
-    return half.select(F.inline(both), "cov").select("i", "j", "cov")
+    rest = [c for c in half.columns if c not in ("i", "j")]
+    return half.select(F.inline(both), *rest).select("i", "j", *rest)
+
+
+# ---- matrices over cells of several axes (flat numbers of `axes.flat_index`)
+
+
+def on_axes(table: DataFrame, axes: dict[str, Sequence[Axis]], keep: Sequence[str] | None = None, within: dict[str, tuple[float, float]] | None = None, coarse: dict[str, Axis] | None = None, value: str = "cov", also: Sequence[str] = ()) -> DataFrame:
+    """A matrix over flat cell numbers, sliced, rebinned and projected by axis: no join, one aggregation.
+
+    axes: of each index column, as {"i": a, "j": a} for a covariance and {"reco": r, "gen": g} for a transfer. `within`
+    keeps bins that lie in a range of an axis (flow goes); `coarse` merges an axis's bins by where their middle lies on
+    another one, flow stays flow if that has the slot; `keep` names the axes that stay, in order, the others are summed
+    out. The result's cells are numbered over what stays, rebinned: `kept_axes`. `also` names index columns that stay as
+    they are, so that two sides may be treated each in its own way.
+    """
+    sides = {}
+    for side, own in axes.items():
+        bins = slots_of(own, side)
+        for a in own:
+            if within and a.name in within:
+                low, high = within[a.name]
+                inside = [k for k in range(a.bins) if a.edges[k] >= low and a.edges[k + 1] <= high]
+                bins[a.name] = F.when(bins[a.name].isin(inside), bins[a.name])
+            if coarse and a.name in coarse:
+                bins[a.name] = merged_bin(a, coarse[a.name], bins[a.name])
+        left_out = [a for a in own if keep is not None and a.name not in keep]
+        to = kept_axes(own, keep, coarse)
+        for a in left_out:  # a bin that goes takes the cell with it, also where its axis is summed out
+            bins[to[0].name] = F.when(bins[a.name].isNotNull(), bins[to[0].name])
+        sides[side] = flat_index(to, [bins[a.name] for a in to])
+    out = table.withColumns(sides).where(" AND ".join(f"`{s}` IS NOT NULL" for s in sides))
+    return out.groupBy(*[c for c in table.columns if c in sides or c in also]).agg(F.sum(value).alias(value))
+
+
+def kept_axes(axes: Sequence[Axis], keep: Sequence[str] | None = None, coarse: dict[str, Axis] | None = None) -> list[Axis]:
+    """The axes that the cells of `on_axes` are numbered over."""
+    by = {a.name: (coarse or {}).get(a.name, a) for a in axes}
+    return [by[n] for n in (keep if keep is not None else [a.name for a in axes])]
+
+
+def merged_bin(axis: Axis, coarse: Axis, number: Column) -> Column:
+    """The bin of `coarse` that a bin of `axis` falls in: an interior one by its middle, flow into flow."""
+    out = F.lit(None).cast("int")
+    for k in axis.slots():
+        to = (-1 if coarse.underflow else None) if k < 0 else (coarse.bins if coarse.overflow else None) if k >= axis.bins else coarse.place((axis.edges[k] + axis.edges[k + 1]) / 2)
+        out = F.when(number == k, F.lit(to).cast("int")).otherwise(out)
+    return out
 
 
 def bootstrap(df: DataFrame, event: str, cell: str, weight: Column | str, replicas: int, draw: Column | None = None) -> DataFrame:
@@ -37,16 +118,20 @@ def bootstrap(df: DataFrame, event: str, cell: str, weight: Column | str, replic
     w = weight if isinstance(weight, Column) else F.col(weight)
     per = df.where(F.col(cell).isNotNull()).groupBy(event, cell).agg(F.sum(w).alias("w"))
     drawn = per.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    sums = drawn.groupBy("r", cell).agg(F.sum(F.col("w") * (poisson(F.xxhash64(event, "r")) if draw is None else draw)).alias("s"))
+    sums = drawn.groupBy("r", cell).agg(F.sum(F.col("w") * (poisson(uniform(event, "r")) if draw is None else draw)).alias("s"))
     mean = sums.groupBy(cell).agg((F.sum("s") / replicas).alias("m"))
     d = sums.join(mean, cell).select("r", cell, (F.col("s") - F.col("m")).alias("d"))
     a, b = d.select("r", F.col(cell).alias("i"), F.col("d").alias("di")), d.select("r", F.col(cell).alias("j"), F.col("d").alias("dj"))
     return mirrored(a.join(b, "r").where("i <= j").groupBy("i", "j").agg((F.sum(F.col("di") * F.col("dj")) / (replicas - 1)).alias("cov")))
 
 
-def poisson(h: Column) -> Column:
-    """Poisson(1) of a 64-bit hash; the tail beyond 7 has probability 1e-5 and counts as 7."""
-    u = F.pmod(h, F.lit(1 << 30)) / float(1 << 30)
+def uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) fixed by the parts' text: the first 32 bits of their MD5, which every engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
+
+
+def poisson(u: Column) -> Column:
+    """Poisson(1) of a uniform number; the tail beyond 7 has probability 1e-5 and counts as 7."""
     out, p, total = F.lit(7), 0.36787944117144233, 0.0
     bounds = []
     for k in range(7):

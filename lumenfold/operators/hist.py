@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.axes import Axis, grid
+from ..functions.axes import Axis, agreed_binning, grid
 from ..functions.expr import unsigned_mod
 from ..functions.lookup import BROADCAST_ROWS
 
@@ -26,13 +26,13 @@ def with_bins(df: DataFrame, axes: Sequence[Axis], values: Sequence[Column | str
 
 
 def histogram(df: DataFrame, axes: Sequence[Axis], values: Sequence[Column | str] | None = None, weight=1.0, by: Sequence[str] = ()) -> DataFrame:
-    """by..., one index column per axis, sumw, sumw2 and n. Cells without rows are absent (see `dense`).
+    """by..., one index column per axis (which carries the axis's binning), sumw, sumw2 and n. Cells without rows are absent (see `dense`).
 
     One partial aggregation: the shuffle carries one row per cell and task.
     """
     w = F.lit(weight) if isinstance(weight, int | float) else _col(weight)
     filled = with_bins(df.withColumn("_w", w), axes, values)
-    keys = [*by, *[F.col(f"_bin_{a.name}").alias(a.name) for a in axes]]
+    keys = [*by, *[a.column(f"_bin_{a.name}") for a in axes]]
     return filled.groupBy(*keys).agg(F.sum("_w").alias("sumw"), F.sum(F.col("_w") * F.col("_w")).alias("sumw2"), F.count(F.lit(1)).alias("n"))
 
 
@@ -40,7 +40,7 @@ def variations(df: DataFrame, axes: Sequence[Axis], weights: dict[str, Column |
     """variation, bins, sumw, sumw2 for all weights in one scan and one aggregation."""
     filled = with_bins(df, axes, values)
     sums = [x for n, w in weights.items() for x in (F.sum(_col(w)).alias(f"{n}__w"), F.sum(_col(w) * _col(w)).alias(f"{n}__w2"))]
-    wide = filled.groupBy(*[F.col(f"_bin_{a.name}").alias(a.name) for a in axes]).agg(*sums)
+    wide = filled.groupBy(*[a.column(f"_bin_{a.name}") for a in axes]).agg(*sums)
     rows = F.array(*[F.struct(F.lit(n).alias("variation"), F.col(f"{n}__w").alias("sumw"), F.col(f"{n}__w2").alias("sumw2")) for n in weights])
     return wide.select(*[a.name for a in axes], F.inline(rows))
 
@@ -73,6 +73,12 @@ def combine_splits(h: DataFrame, keys: Sequence[str], split: str = "statk", keep
     return h.groupBy(*by).agg(F.sum("sumw").alias("sumw"), F.sum("sumw2").alias("sumw2"))
 
 
+def split_sums(h: DataFrame, keys: Sequence[str], wanted: dict[str, Sequence[int] | None], split: str = "statk", value: str = "sumw") -> DataFrame:
+    """keys and a sum per entry of `wanted` over its splits (None: all), side by side in one aggregation."""
+    one = lambda ks: F.col(value) if ks is None else F.when(F.col(split).isin(list(ks)), F.col(value))
+    return h.groupBy(*keys).agg(*[F.sum(one(ks)).alias(n) for n, ks in wanted.items()])
+
+
 def transfer(df: DataFrame, reco: Sequence[tuple[Axis, Column | str]], gen: Sequence[tuple[Axis, Column | str]], weight) -> DataFrame:
     """Reco bins (suffix _reco), gen bins (suffix _gen), sumw, sumw2 in one aggregation."""
     from dataclasses import replace
@@ -104,7 +110,10 @@ def with_widths(h: DataFrame, axes: Sequence[Axis], radial: Sequence[str] = (),
 
 
 def scaled_to(h: DataFrame, other: DataFrame, axis: str, first: int) -> DataFrame:
-    """`h` scaled so that its sum over bins >= first equals the other's. One row of two sums is joined to all cells."""
+    """`h` scaled so that its sum over bins >= first equals the other's. One row of two sums is joined to all cells.
+
+    Raises if the axis carries different binnings."""
+    agreed_binning(h, other, [axis])
     a = h.agg(F.sum(F.when(F.col(axis) >= first, F.col("sumw"))).alias("_a"))
     b = other.agg(F.sum(F.when(F.col(axis) >= first, F.col("sumw"))).alias("_b"))
     f = F.try_divide(F.col("_b"), F.col("_a"))
@@ -113,6 +122,6 @@ def scaled_to(h: DataFrame, other: DataFrame, axis: str, first: int) -> DataFram
 
 
 def same_binning(a: Sequence[Axis], b: Sequence[Axis]) -> None:
-    """Refuses to mix binnings."""
+    """Refuses to mix binnings that the driver holds; of tables: `axes.agreed_binning`."""
     if list(a) != list(b):
         raise ValueError("the binnings differ")

@@ -44,20 +44,57 @@ class Selection:
         return df.where(self.all())
 
 
-def muon_pair(minimum_pt: tuple[float, float], maximum_eta: float, opposite: bool = True, isolation: int = -1, maximum_dxy: float = -1, maximum_dz: float = -1, lead: str = "lead", sub: str = "sub") -> Selection:
-    """Selection of two leading objects; limits below 0 are off."""
+#: Flags of the id levels, and least isolation number of the isolation levels (fixed values).
+ID_FLAGS = {"loose": "looseId", "medium": "mediumId", "tight": "tightId"}
+ISOLATION_LEVELS = {"loose": 2, "tight": 4}
+
+
+def _level(level: str, levels: dict):
+    if level != "none" and level not in levels:
+        raise ValueError(f"no such level: {level}")
+    return levels.get(level)
+
+
+def muon_pair(
+    minimum_pt: tuple[float, float] = (-1, -1), maximum_eta: float | tuple[float, float] = -1, opposite: bool = True, isolation: str = "none", identity: str = "none", maximum_dxy: float = -1, maximum_dz: float = -1, lead: str = "lead", sub: str = "sub"
+) -> Selection:
+    """Selection of two leading objects; limits below 0 and the level "none" are off.
+
+    minimum_pt is of the leading and the other one (equal passes), and so is maximum_eta (equal does not pass), or one
+    limit that both share in one step. identity asks for a flag of both, isolation for a least `pfIsoId` of both,
+    opposite for charges that differ.
+    """
     a, b = F.col(lead), F.col(sub)
     each = lambda f: f(a) & f(b)
+    flag, least = _level(identity, ID_FLAGS), _level(isolation, ISOLATION_LEVELS)
+    both, lead_eta, sub_eta = (-1, *maximum_eta) if isinstance(maximum_eta, tuple) else (maximum_eta, -1, -1)
     return (
         Selection()
         .add("two", a.isNotNull() & b.isNotNull())
         .add_if(minimum_pt[0] >= 0, "lead_pt", lambda: a["pt"] >= minimum_pt[0])
         .add_if(minimum_pt[1] >= 0, "sub_pt", lambda: b["pt"] >= minimum_pt[1])
-        .add_if(maximum_eta >= 0, "eta", lambda: each(lambda m: F.abs(m["eta"]) < maximum_eta))
-        .add_if(isolation >= 0, "isolation", lambda: each(lambda m: m["iso"] >= isolation))
+        .add_if(both >= 0, "eta", lambda: each(lambda m: F.abs(m["eta"]) < both))
+        .add_if(lead_eta >= 0, "lead_eta", lambda: F.abs(a["eta"]) < lead_eta)
+        .add_if(sub_eta >= 0, "sub_eta", lambda: F.abs(b["eta"]) < sub_eta)
+        .add_if(flag is not None, "id", lambda: each(lambda m: m[flag].cast("boolean")))
+        .add_if(least is not None, "isolation", lambda: each(lambda m: m["pfIsoId"] >= least))
         .add_if(maximum_dxy >= 0, "dxy", lambda: each(lambda m: F.abs(m["dxy"]) < maximum_dxy))
         .add_if(maximum_dz >= 0, "dz", lambda: each(lambda m: F.abs(m["dz"]) < maximum_dz))
-        .add_if(opposite, "charge", lambda: a["charge"] * b["charge"] < 0)
+        .add_if(opposite, "charge", lambda: a["charge"] != b["charge"])
+    )
+
+
+def pair_system(pole: float = 0, width: float = -1, minimum_pt: float = -1, maximum_y: float = -1, pair: str = "pair") -> Selection:
+    """Selection by the pair's own mass, pt and y (fields of a struct): within the window, at least, at most in size.
+
+    Limits below 0 are off; values on a limit pass.
+    """
+    z = F.col(pair)
+    return (
+        Selection()
+        .add_if(width >= 0, "mass", lambda: mass_window(z["mass"], pole, width))
+        .add_if(minimum_pt >= 0, "pair_pt", lambda: z["pt"] >= minimum_pt)
+        .add_if(maximum_y >= 0, "pair_y", lambda: F.abs(z["y"]) <= maximum_y)
     )
 
 
@@ -111,8 +148,26 @@ def mass_window(mass, pole: float, width: float) -> Column:
     return (mass if isinstance(mass, Column) else F.col(mass)).between(pole - width, pole + width)
 
 
+def stitched(df: DataFrame, catalog: DataFrame, ht: str | None = None, vpt: str | None = None, dataset: str = "dataset") -> DataFrame:
+    """Rows of many datasets that lie in their own dataset's sample: ht <= ht_max, vpt_low <= vpt < vpt_high.
+
+    `catalog` has a row per dataset, as `load_catalog` gives it or as the driver's rows; a null limit, a negative
+    vpt_high, or a dataset that it does not list limits nothing. A null ht or vpt passes no limit.
+    """
+    limits = [c for c in ("ht_max", "vpt_low", "vpt_high") if c in catalog.columns]
+    rows = df.join(catalog.select(F.col("dataset").alias(dataset), *[F.col(c).alias(f"_{c}") for c in limits]), dataset, "left")
+    cut = F.lit(True)
+    if ht and "ht_max" in limits:
+        cut = cut & (F.col("_ht_max").isNull() | (F.col(ht) <= F.col("_ht_max")))
+    if vpt and "vpt_low" in limits:
+        cut = cut & (F.col("_vpt_low").isNull() | (F.col(vpt) >= F.col("_vpt_low")))
+    if vpt and "vpt_high" in limits:
+        cut = cut & (F.coalesce("_vpt_high", F.lit(-1.0)) < 0) | (cut & (F.col(vpt) < F.col("_vpt_high")))
+    return rows.where(cut).select(*df.columns)
+
+
 def in_sample(flags: dict[str, float], ht: str | None = None, vpt: str | None = None) -> Column:
-    """Sample stitching: ht at most the sample's own maximum, low <= vpt < high (a negative high is no limit)."""
+    """Sample stitching of one dataset (of several: `stitched`): ht at most its own maximum, low <= vpt < high (a negative high is no limit)."""
     cut = F.lit(True)
     if ht and "ht_max" in flags:
         cut = cut & (F.col(ht) <= flags["ht_max"])

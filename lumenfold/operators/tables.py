@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.nested import field_or_none, normalised_weight
@@ -31,6 +31,19 @@ def item_table(df: DataFrame, items: str, common: Sequence[str] = (), prefix: st
     return out.select(*common, *[F.col(f"_item.{f}").alias(f"{prefix}{f}") for f in fields])
 
 
+def leading(rows: DataFrame, event: str, order: Sequence[str | Column], k: int) -> DataFrame:
+    """event, n_leading (up to k), leading1 ... leadingk: structs of the first k rows of each event in the given order; null beyond.
+
+    The rank limit is applied before the rows are shuffled as well as after, so a task sends k rows of an event at most
+    and no event's rows are collected.
+    """
+    rank = F.row_number().over(Window.partitionBy(event).orderBy(*order))
+    top = rows.withColumn("_rank", rank).where(F.col("_rank") <= k)
+    item = F.struct(*[c for c in rows.columns if c != event])
+    nth = [F.max(F.when(F.col("_rank") == i, item)).alias(f"leading{i}") for i in range(1, k + 1)]
+    return top.groupBy(event).agg(F.count(F.lit(1)).cast("int").alias("n_leading"), *nth)
+
+
 def grandchild_table(df: DataFrame, items: str, children: str, common: Sequence[str] = (), item_fields: Sequence[str] = (), prefix: str = "J") -> DataFrame:
     """One row per child of each item, with the listed item fields (prefixed) and the common event columns."""
     one = df.select(*common, F.explode(items).alias("_item"))

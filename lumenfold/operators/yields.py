@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.lookup import small
+from ..functions.lookup import local
 
 
 def _col(c) -> Column:
@@ -39,9 +39,8 @@ def _efficiency() -> Column:
 
 def with_totals(table: DataFrame, dataset: str, totals: dict[str, Sequence[str]]) -> DataFrame:
     """Adds a row set per total: yields add, efficiencies are the ratio of summed numerators and denominators."""
-    spark = table.sparkSession
-    members = spark.createDataFrame([(t, m) for t, ms in totals.items() for m in ms], f"_total string, `{dataset}` string")
-    joined = table.join(small(members), dataset)
+    members = local(table.sparkSession, [(t, m) for t, ms in totals.items() for m in ms], f"_total string, `{dataset}` string")
+    joined = table.join(members, dataset)
     ratio = "num" in table.columns
     sums = [F.sum(c).alias(c) for c in (("num", "den") if ratio else ("n",))]
     added = joined.groupBy(F.col("_total").alias(dataset), "bin").agg(*sums)
@@ -49,9 +48,8 @@ def with_totals(table: DataFrame, dataset: str, totals: dict[str, Sequence[str]]
 
 
 def percentages(table: DataFrame, dataset: str, reference: str) -> DataFrame:
-    """Adds percent = 100 n / the reference row's n in the same bin; 0 where that is 0."""
-    ref = small(table.where(F.col(dataset) == reference).select("bin", F.col("n").alias("_ref")))
-    out = table.join(ref, "bin", "left")
+    """Adds percent = 100 n / the reference row's n in the same bin; 0 where that is 0. A bin has a row per dataset."""
+    out = table.withColumn("_ref", F.max(F.when(F.col(dataset) == reference, F.col("n"))).over(Window.partitionBy("bin")))
     p = F.when(F.coalesce("_ref", F.lit(0.0)) == 0, F.lit(0.0)).otherwise(F.try_divide(F.col("n") * 100, F.col("_ref")))
     return out.withColumn("percent", p).drop("_ref")
 

@@ -35,10 +35,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import binned  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import binned  # noqa: F401
+
     return dict(SQL)
 
 
@@ -166,9 +170,8 @@ SELECT qty, round(sum(s), 3) AS whole, round(sum(CASE WHEN k IN (0, 2) THEN s EN
 def stat_split_sum(spark, sf_dir):
     rows = _items(spark, sf_dir).withColumn("statk", expr.unsigned_mod("l_orderkey", 5))
     h = hist.histogram(rows, [QTY], ["l_quantity"], _k(KPRICE), by=["statk"])
-    whole = hist.combine_splits(h, ["qty"]).select("qty", F.col("sumw").alias("whole"))
-    two = algebra.scale(hist.combine_splits(h, ["qty"], keep=[0, 2]), weights.split_factor(5, 2)).select("qty", F.col("sumw").alias("from_two"))
-    return rounded(whole.join(two, "qty", "left"), whole=3, from_two=3)
+    sums = hist.split_sums(h, ["qty"], {"whole": None, "from_two": [0, 2]})
+    return rounded(algebra.scale(sums, weights.split_factor(5, 2), "from_two", None), whole=3, from_two=3)
 
 
 @query(f"""
@@ -223,8 +226,11 @@ def _cov(spark, sf_dir) -> DataFrame:
     return cov.event_covariance(_cells(spark, sf_dir), "l_orderkey", "cell", _k(KPRICE))
 
 
-def _values(spark, sf_dir) -> DataFrame:
-    return hist.histogram(_items(spark, sf_dir), [CELLS], ["l_quantity"], _k(KPRICE)).select(F.col("cell").alias("i"), F.col("sumw").alias("value"))
+def _values_and_cov(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Both from the same sums per event and cell, so the items are read once."""
+    per = cov.per_event(_cells(spark, sf_dir), "l_orderkey", "cell", {"w": _k(KPRICE)})
+    values = per.groupBy(F.col("cell").alias("i")).agg(F.sum("w").alias("value"))
+    return values, cov.covariance_of(per, "l_orderkey", "cell", {"cov": "w"})
 
 
 @query(f"WITH {_COV} SELECT i, j, round(cov, 2) AS cov FROM c")
@@ -240,13 +246,13 @@ def correlation_from_cov(spark, sf_dir):
 @query(f"WITH {_COV} SELECT i // 2 AS i, j // 2 AS j, round(sum(cov), 2) AS cov FROM c GROUP BY 1, 2")
 def cov_rebinned(spark, sf_dir):
     c = _cov(spark, sf_dir)
-    mapping = spark.createDataFrame([(k, k // 2) for k in CELLS.slots()], "old int, new int")
-    return rounded(cov.rebinned(c, lookup.small(mapping)), cov=2)
+    mapping = lookup.local(spark, [(k, k // 2) for k in CELLS.slots()], "old int, new int")
+    return rounded(cov.rebinned(c, mapping), cov=2)
 
 
 @query(f"WITH {_COV}, {_VAL} SELECT v.i, round(sqrt(c.cov) / v.value, 8) AS relative_error FROM v JOIN c ON c.i = v.i AND c.j = v.i")
 def relative_errors(spark, sf_dir):
-    return rounded(cov.relative_error(_values(spark, sf_dir), _cov(spark, sf_dir)), relative_error=8)
+    return rounded(cov.relative_error(*_values_and_cov(spark, sf_dir)), relative_error=8)
 
 
 @query(f"""
@@ -254,9 +260,9 @@ WITH {_COV}, {_VAL}, s AS (SELECT i, value, i // 2 AS b, sum(value) OVER (PARTIT
 jac AS (SELECT x.i AS a, y.i AS i, (CASE WHEN x.i = y.i THEN 1.0 ELSE 0.0 END - x.value / x.f) / x.f AS d FROM s x JOIN s y ON x.b = y.b)
 SELECT p.a AS i, q.a AS j, round(sum(p.d * c.cov * q.d) * 1e6, 6) AS cov FROM jac p JOIN c ON c.i = p.i JOIN jac q ON q.i = c.j GROUP BY 1, 2""")
 def shape_covariance(spark, sf_dir):
-    v = _values(spark, sf_dir).withColumn("block", F.floor(F.col("i") / 2))
-    jac = algebra.shape_jacobian(v, "i", "block")
-    return rounded(cov.sandwich(jac, _cov(spark, sf_dir)).withColumn("cov", F.col("cov") * 1e6), cov=6)
+    v, c = _values_and_cov(spark, sf_dir)
+    jac = algebra.shape_jacobian(v.withColumn("block", F.floor(F.col("i") / 2)), "i", "block")
+    return rounded(cov.sandwich(jac, c).withColumn("cov", F.col("cov") * 1e6), cov=6)
 
 
 @query(f"""
@@ -264,28 +270,28 @@ WITH {_COV}, {_VAL}, k AS (SELECT i, cov AS ck FROM c WHERE j = 4), p AS (SELECT
 SELECT c.i, c.j, round(c.cov - a.ck * b.ck / p.p, 2) AS cov, round(v.value + a.ck / p.p * (100 - x.x), 3) AS value
 FROM c JOIN k a ON a.i = c.i JOIN k b ON b.i = c.j JOIN v ON v.i = c.i, p, x WHERE c.i <> 4 AND c.j <> 4""")
 def marginalise_condition(spark, sf_dir):
-    v, c = algebra.condition(_values(spark, sf_dir), _cov(spark, sf_dir), 4, 100.0)
+    v, c = algebra.condition(*_values_and_cov(spark, sf_dir), 4, 100.0)
     return rounded(c.join(v, "i"), cov=2, value=3)
 
 
 @query(f"""
 WITH {_COV}, {_VAL} SELECT v.i, round(v.value, 3) AS value, round(sqrt(c.cov), 4) AS error, 1.0::double AS prior FROM v JOIN c ON c.i = v.i AND c.j = v.i WHERE v.i IN (1, 3)""")
 def nuisance_pulls(spark, sf_dir):
-    return rounded(cov.pulls(_values(spark, sf_dir), _cov(spark, sf_dir), [1, 3]), value=3, error=4)
+    return rounded(cov.pulls(*_values_and_cov(spark, sf_dir), [1, 3]), value=3, error=4)
 
 
 @query(f"""
 WITH {_COV}, k AS (SELECT i, cov AS ck FROM c WHERE j = 4), p AS (SELECT cov AS p FROM c WHERE i = 4 AND j = 4)
 SELECT k.i, round(k.ck * k.ck / p.p, 2) AS contribution FROM k, p WHERE k.i <> 4""")
 def nuisance_contribution(spark, sf_dir):
-    return rounded(algebra.nuisance_contribution(_values(spark, sf_dir), _cov(spark, sf_dir), [4], 4), contribution=2)
+    return rounded(algebra.nuisance_contribution(*_values_and_cov(spark, sf_dir), [4], 4), contribution=2)
 
 
 @query(f"""
 WITH {_COV}, {_VAL} SELECT c.i, c.j, round(c.cov * (c.i + 1) * (c.j + 1), 2) AS cov, round(v.value * (v.i + 1), 3) AS value FROM c JOIN v ON v.i = c.i""")
 def apply_baseline(spark, sf_dir):
-    base = lookup.small(spark.createDataFrame([(k, float(k + 1)) for k in CELLS.slots()], "i int, b double"))
-    v, c = algebra.baseline(_values(spark, sf_dir), _cov(spark, sf_dir), base)
+    base = lookup.local(spark, [(k, float(k + 1)) for k in CELLS.slots()], "i int, b double")
+    v, c = algebra.baseline(*_values_and_cov(spark, sf_dir), base)
     return rounded(c.join(v, "i"), cov=2, value=3)
 
 
@@ -303,9 +309,17 @@ def bootstrap_cov(spark, sf_dir):
     return rounded(c.withColumn("cov", F.col("cov") / 1e4), cov=2)
 
 
-@query()
+_POISSON = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712])) + " ELSE 7 END"
+
+
+@query(f"""
+WITH {_PER}, x AS (SELECT cell, r, w, ('0x' || md5(e::varchar || ':' || r::varchar)[1:8])::bigint / 4294967296.0::double AS u FROM per, range(20) t(r)),
+s AS (SELECT cell, r, sum(w * {_POISSON}) AS s FROM x GROUP BY 1, 2), m AS (SELECT cell, sum(s) / 20 AS m FROM s GROUP BY 1),
+z AS (SELECT s.cell, s.r, s.s - m.m AS z FROM s JOIN m USING (cell))
+SELECT a.cell AS i, b.cell AS j, round(sum(a.z * b.z) / 19 / 1e4, 3) AS cov FROM z a JOIN z b ON a.r = b.r GROUP BY 1, 2""")
 def bootstrap_poisson(spark, sf_dir):
-    return cov.bootstrap(_cells(spark, sf_dir), "l_orderkey", "cell", _k(KPRICE), 20)
+    c = cov.bootstrap(_cells(spark, sf_dir), "l_orderkey", "cell", _k(KPRICE), 20)
+    return rounded(c.withColumn("cov", F.col("cov") / 1e4), cov=3)
 
 
 # ---- response and folding
@@ -400,10 +414,14 @@ x2 AS (SELECT sum((x - coalesce(y, 0)) ** 2 / v) AS chi2, count(*) AS ndf FROM a
 
 
 def _chi(spark, sf_dir) -> DataFrame:
-    h = hist.histogram(_items(spark, sf_dir), [QTY], ["l_quantity"], "l_quantity", by=["l_linestatus"])
-    one = lambda s: h.where(F.col("l_linestatus") == s).select(F.col("qty").alias("i"), F.col("sumw").alias("value"))
-    inverse = h.where("l_linestatus = 'O'").select(F.col("qty").alias("i"), F.col("qty").alias("j"), (1 / F.col("sumw2")).alias("cov"))
-    return algebra.chi_square(one("O"), one("F"), inverse)
+    """Differences of two histograms and the inverse of the first's variances, from one aggregation of the items."""
+    rows = hist.with_bins(_items(spark, sf_dir), [QTY], ["l_quantity"])
+    of = lambda s, w: F.sum(F.when(F.col("l_linestatus") == s, w))
+    q = F.col("l_quantity")
+    h = rows.groupBy(F.col("_bin_qty").alias("i")).agg(of("O", q).alias("x"), of("F", q).alias("y"), of("O", q * q).alias("v"))
+    d = F.coalesce("x", F.lit(0.0)) - F.coalesce("y", F.lit(0.0))
+    inverse = F.collect_list(F.when(F.col("v").isNotNull(), F.struct("i", F.col("i").alias("j"), (1 / F.col("v")).alias("cov"))))
+    return algebra.quadratic_form(h.agg(algebra.vector("i", d).alias("d"), inverse.alias("inverse")), "d", "inverse")
 
 
 @query(f"WITH {_CHI} SELECT round(chi2, 5) AS chi2, ndf FROM x2")
@@ -514,7 +532,7 @@ SELECT stack, total, round(sum(w), 4) AS sumw FROM o JOIN m ON d = o_orderpriori
 def stack_normalised(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "dataset")
     h = catalog.normalised(hist.histogram(o, [_TOTAL], [F.col("o_totalprice") / 1000], by=["dataset"]), _catalog(spark, sf_dir), _LUMI)
-    links = spark.createDataFrame(_STACKS, "stack string, child string, kind string")
+    links = catalog.stack_links(spark, _STACKS)
     return rounded(catalog.stacked(h, catalog.stack_members(spark, links), ["total"]).select("stack", "total", "sumw"), sumw=4)
 
 
@@ -523,7 +541,8 @@ _BINS = {"low": "o_totalprice < 50000", "mid": "o_totalprice >= 50000 AND o_tota
 
 def _yield_table(spark, sf_dir) -> DataFrame:
     o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "dataset")
-    c = lookup.small(_catalog(spark, sf_dir).select("dataset", weights.normalisation("is_mc", "xsec", F.lit(_LUMI), "eventcount").alias("w")))
+    # no more rows than the driver's catalog has
+    c = F.broadcast(_catalog(spark, sf_dir).select("dataset", weights.normalisation("is_mc", "xsec", F.lit(_LUMI), "eventcount").alias("w")))
     return yields.yields(o.join(c, "dataset"), "dataset", {n: F.expr(b) for n, b in _BINS.items()}, "w", F.col("o_orderstatus") != "P")
 
 
@@ -590,9 +609,9 @@ def dataset_cuts_and_weights(spark, sf_dir):
 # ---- nested events
 
 
-def _events(spark, sf_dir) -> DataFrame:
-    """One row per order with its line items as an array, dearest first."""
-    item = F.struct(
+def _item_fields() -> list[Column]:
+    """Fields of an item, those that order it first."""
+    return [
         F.negative("l_extendedprice").alias("order"),
         "l_linenumber",
         F.col("l_extendedprice").alias("pt"),
@@ -601,8 +620,16 @@ def _events(spark, sf_dir) -> DataFrame:
         (F.col("l_tax") * 100).alias("mass"),
         F.when(F.col("l_returnflag") == "R", -1).otherwise(1).alias("charge"),
         F.col("l_quantity").alias("quantity"),
-    )
-    items = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    ]
+
+
+def _item_rows(spark, sf_dir) -> DataFrame:
+    return _items(spark, sf_dir).select("l_orderkey", *_item_fields())
+
+
+def _events(spark, sf_dir) -> DataFrame:
+    """One row per order with its line items as an array, dearest first."""
+    items = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct(*_item_fields()))).alias("items"))
     return read(spark, sf_dir, "orders").join(items, F.col("o_orderkey") == F.col("l_orderkey"))
 
 
@@ -646,9 +673,10 @@ v AS (SELECT *, pt1 * cos(phi1) + pt2 * cos(phi2) AS px, pt1 * sin(phi1) + pt2 *
 SELECT l_orderkey, round(CASE WHEN pt1 > pt2 THEN pt1 ELSE pt2 END, 2) AS lead_pt, round(coalesce(pt3, 0), 2) AS third_pt, round(sqrt(px * px + py * py) / 1000, 5) AS pair_pt,
   round(sqrt(greatest(e * e - px * px - py * py - pz * pz, 0)) / 1000, 4) AS pair_mass FROM v""")
 def lead_sublead_pairs(spark, sf_dir):
-    e = _events(spark, sf_dir).where(F.size("items") >= 2)
-    pair = nested.leading_pair(F.get("items", F.lit(0)), F.get("items", F.lit(1)))
-    e = e.select("l_orderkey", pair.alias("p"), nested.nth("items", 2, 0.0, "pt").alias("third_pt"))
+    top = tables.leading(_item_rows(spark, sf_dir), "l_orderkey", ["order", "l_linenumber"], 3)
+    e = top.where("n_leading >= 2")
+    pair = nested.leading_pair(F.col("leading1"), F.col("leading2"))
+    e = e.select("l_orderkey", pair.alias("p"), F.coalesce(F.col("leading3.pt"), F.lit(0.0)).alias("third_pt"))
     z = e.withColumn("z", expr.four_sum(F.col("p.lead"), F.col("p.sub")))
     out = z.select("l_orderkey", F.col("p.lead.pt").alias("lead_pt"), "third_pt", (F.col("z.pt") / 1000).alias("pair_pt"), (F.col("z.mass") / 1000).alias("pair_mass"))
     return rounded(out, lead_pt=2, third_pt=2, pair_pt=5, pair_mass=4)
@@ -719,7 +747,7 @@ _SFV = ", ".join(f"({q}, {d}, {v!r}::double)" for (q, d), v in _SF.items())
 @query(f"""
 WITH t(q, d, v) AS (VALUES {_SFV}) SELECT l_orderkey, l_linenumber, round(coalesce(v, 1.0), 8) AS sf FROM lineitem LEFT JOIN t ON t.q = {case(_SFQ, 'l_quantity')} AND t.d = {case(_SFD, 'l_discount')}""")
 def correction_lookup(spark, sf_dir):
-    t = spark.createDataFrame([(q, d, v) for (q, d), v in _SF.items()], "q int, d int, value double")
+    t = lookup.local(spark, [(q, d, v) for (q, d), v in _SF.items()], "q int, d int, value double")
     out = lookup.binned_lookup(_items(spark, sf_dir), t, [(_SFQ, "l_quantity"), (_SFD, "l_discount")], into="sf")
     return rounded(out.select("l_orderkey", "l_linenumber", "sf"), sf=8)
 
@@ -912,7 +940,7 @@ SELECT l_orderkey, l_linenumber FROM x JOIN v ON v.e = {case(_VETO_ETA, 'eta')}
 def map_veto(spark, sf_dir):
     l = _items(spark, sf_dir).withColumns({"eta": (F.col("l_quantity") - 25) / 10, "phi": (F.col("l_discount") - 0.05) * 60})  # noqa: E741
     phi = F.greatest(F.least("phi", F.lit(3.14159)), F.lit(-3.14159))
-    t = spark.createDataFrame([(e, p, v) for (e, p), v in _VETO.items()], "e int, p int, value double")
+    t = lookup.local(spark, [(e, p, v) for (e, p), v in _VETO.items()], "e int, p int, value double")
     out = lookup.binned_lookup(l, t, [(_VETO_ETA, "eta"), (_VETO_PHI, phi)], default=None, into="veto")
     return out.where("veto = 0").select("l_orderkey", "l_linenumber")
 
@@ -937,7 +965,7 @@ def pair_scale_factor(spark, sf_dir):
     e = _events(spark, sf_dir).where(F.size("items") >= 2)
     legs = {f"{v}{k}": nested.nth("items", k, field=v) / (1000 if v == "pt" else 1) for k in (0, 1) for v in ("eta", "pt")}
     e = e.select("l_orderkey", *[c.alias(n) for n, c in legs.items()])
-    t = spark.createDataFrame([(a, p, v) for (a, p), v in _SFS.items()], "eta int, pt int, value double")
+    t = lookup.local(spark, [(a, p, v) for (a, p), v in _SFS.items()], "eta int, pt int, value double")
     both = lookup.efficiency_pair(e, t, [("eta0", "pt0"), ("eta1", "pt1")], _SFE, _SFT, into="sf")
     both = lookup.efficiency_pair(both, t, [("eta0", "pt0")], _SFE, _SFT, into="trigger")
     return rounded(both.select("l_orderkey", "sf", "trigger"), sf=7, trigger=7)
@@ -950,7 +978,7 @@ _PU = Axis.regular("pu", 50, 0.5, 50.5, underflow=False, overflow=False)
 SELECT p_partkey, round(1 + (p_size - 25) / 100.0, 6)::double AS nominal, round(CASE WHEN p_size < 26 THEN 1.0 ELSE (p_size - 25) / 10.0 END, 6)::double AS guarded FROM part WHERE p_size BETWEEN 1 AND 50""")
 def pileup_weight(spark, sf_dir):
     """A one-dimensional correction with variants as keys, and one whose values at or below 0 count as 1."""
-    t = spark.createDataFrame([(k, s, 1 + (k - 24) / 100 if s == "nominal" else (k - 24) / 10) for k in range(50) for s in ("nominal", "raw")], "pu int, syst string, value double")
+    t = lookup.local(spark, [(k, s, 1 + (k - 24) / 100 if s == "nominal" else (k - 24) / 10) for k in range(50) for s in ("nominal", "raw")], "pu int, syst string, value double")
     p = read(spark, sf_dir, "part").where(F.col("p_size").between(1, 50))
     p = lookup.binned_lookup(p.withColumn("syst", F.lit("nominal")), t, [(_PU, "p_size")], keys=["syst"], into="nominal")
     p = lookup.binned_lookup(p.withColumn("syst", F.lit("raw")), t, [(_PU, "p_size")], keys=["syst"], default=None, into="raw")
@@ -997,9 +1025,10 @@ u AS (SELECT {case(CELLS, 'l_quantity')} AS i, sum(l_quantity) AS y FROM lineite
 SELECT c.i, c.j, round((c.cov / (p.y * q.y) + d.cov * p.x * q.x / (p.y * p.y * q.y * q.y)) * 1e6, 5) AS cov FROM c JOIN d ON d.i = c.i AND d.j = c.j JOIN j p ON p.i = c.i JOIN j q ON q.i = c.j""")
 def ratio_covariance(spark, sf_dir):
     """Covariance of price over quantity per cell, the two taken as uncorrelated."""
-    quantity = hist.histogram(_items(spark, sf_dir), [CELLS], ["l_quantity"], "l_quantity").select(F.col("cell").alias("i"), F.col("sumw").alias("value"))
-    cov_q = cov.event_covariance(_cells(spark, sf_dir), "l_orderkey", "cell", "l_quantity")
-    out = algebra.compare_covariance(_cov(spark, sf_dir), cov_q, _values(spark, sf_dir), quantity, "ratio")
+    per = cov.per_event(_cells(spark, sf_dir), "l_orderkey", "cell", {"p": _k(KPRICE), "q": "l_quantity"})
+    pairs = cov.covariance_of(per, "l_orderkey", "cell", {"cov_x": "p", "cov_y": "q"})
+    values = per.groupBy(F.col("cell").alias("i")).agg(F.sum("p").alias("x"), F.sum("q").alias("y"))
+    out = algebra.ratio_covariance(pairs, values)
     return rounded(out.withColumn("cov", F.col("cov") * 1e6), cov=5)
 
 
@@ -1135,5 +1164,5 @@ def stacked_covariances(spark, sf_dir):
     o = read(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "dataset")
     h = hist.histogram(o, [_TOTAL], [F.col("o_totalprice") / 1000], by=["dataset"])
     stored = h.where("dataset <> '3-MEDIUM'").select("dataset", F.col("total").alias("i"), F.col("total").alias("j"), F.col("sumw2").alias("cov"))
-    links = spark.createDataFrame([("urgent", "1-URGENT", "dset"), ("all", "urgent", "stack"), ("all", "2-HIGH", "dset"), ("all", "3-MEDIUM", "dset")], "stack string, child string, kind string")
+    links = catalog.stack_links(spark, [("urgent", "1-URGENT", "dset"), ("all", "urgent", "stack"), ("all", "2-HIGH", "dset"), ("all", "3-MEDIUM", "dset")])
     return catalog.stacked_covariance(stored, h, catalog.stack_members(spark, links), "total")

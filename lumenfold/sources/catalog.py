@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.lookup import small
+from ..functions.axes import agreed_binning, carrying
+from ..functions.lookup import local
 from ..functions.weights import normalisation
+from .layout import scan_table
 
 CATALOG = "runtag string, dataset string, is_mc boolean, xsec double, lumi double, eventcount double, ht_max double"
 
 
 def catalog(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
-    return spark.createDataFrame(list(rows), CATALOG)
+    return local(spark, rows, CATALOG)
 
 
 def load_catalog(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
@@ -46,12 +48,12 @@ def checked(cat: DataFrame) -> DataFrame:
 
 
 def groups(spark: SparkSession, members: dict[str, Sequence[str]]) -> DataFrame:
-    return spark.createDataFrame([(g, m) for g, ms in members.items() for m in ms], "name string, member string")
+    return local(spark, [(g, m) for g, ms in members.items() for m in ms], "name string, member string")
 
 
 def expand(names: DataFrame, group_table: DataFrame) -> DataFrame:
     """name, dataset: a group's members; a name that is no group is itself."""
-    return names.join(small(group_table), "name", "left").select("name", F.coalesce("member", "name").alias("dataset"))
+    return names.join(group_table, "name", "left").select("name", F.coalesce("member", "name").alias("dataset"))
 
 
 def systematic_jobs(cat: DataFrame, objects: Sequence[str], weights: Sequence[str]) -> DataFrame:
@@ -82,22 +84,49 @@ def stack_members(spark: SparkSession, links: DataFrame, roots: Sequence[str] |
 
 def normalised(hist: DataFrame, cat: DataFrame, lumi: float, dataset: str = "dataset") -> DataFrame:
     """Histograms of many datasets scaled to a luminosity: simulation by 1000 xsec lumi / eventcount, data as it is."""
-    c = small(cat.select(F.col("dataset").alias(dataset), normalisation("is_mc", "xsec", F.lit(lumi), "eventcount").alias("_f")))
+    c = cat.select(F.col("dataset").alias(dataset), normalisation("is_mc", "xsec", F.lit(lumi), "eventcount").alias("_f"))
     out = hist.join(c, dataset)
     return out.withColumn("sumw", F.col("sumw") * F.col("_f")).withColumn("sumw2", F.col("sumw2") * F.col("_f") * F.col("_f")).drop("_f")
 
 
-def stacked(hist: DataFrame, members: DataFrame, keys: Sequence[str], dataset: str = "dataset") -> DataFrame:
-    """stack, keys, sumw, sumw2: sums over each stack's datasets."""
-    m = small(members.select("stack", F.col("dataset").alias(dataset), "times"))
-    return hist.join(m, dataset).groupBy("stack", *keys).agg(F.sum(F.col("sumw") * F.col("times")).alias("sumw"), F.sum(F.col("sumw2") * F.col("times")).alias("sumw2"))
+def stacked(hist: DataFrame | Sequence[DataFrame], members: DataFrame, keys: Sequence[str], dataset: str = "dataset") -> DataFrame:
+    """stack, keys, sumw, sumw2: sums over each stack's datasets, of one histogram or several (as of several datasets).
+
+    Raises if the keys of several carry different binnings.
+    """
+    first, *rest = [hist] if isinstance(hist, DataFrame) else hist
+    known = agreed_binning(first, first, keys)
+    for h in rest:
+        known |= agreed_binning(first, h, keys)
+        first = first.unionByName(h)
+    m = members.select("stack", F.col("dataset").alias(dataset), "times")
+    out = first.join(m, dataset).groupBy("stack", *keys).agg(F.sum(F.col("sumw") * F.col("times")).alias("sumw"), F.sum(F.col("sumw2") * F.col("times")).alias("sumw2"))
+    return carrying(out, known)
 
 
 def stacked_covariance(covariance: DataFrame | None, hist: DataFrame, members: DataFrame, key: str, dataset: str = "dataset") -> DataFrame:
     """stack, i, j, cov of each stack: sums over its datasets. Where no covariance is stored it is zero on the diagonal."""
-    m = small(members.select("stack", F.col("dataset").alias(dataset), "times"))
+    m = members.select("stack", F.col("dataset").alias(dataset), "times")
     zero = hist.join(m, dataset).select("stack", F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("cov"))
     if covariance is None:
         return zero.distinct()
     stored = covariance.join(m, dataset).select("stack", "i", "j", (F.col("cov") * F.col("times")).alias("cov"))
     return stored.unionByName(zero).groupBy("stack", "i", "j").agg(F.sum("cov").alias("cov"))
+
+
+def stack_links(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
+    """(stack, child, kind), kind "stack" or "dset": the driver's own list, so what is reached over it is as bounded."""
+    return local(spark, rows, "stack string, child string, kind string")
+
+
+def scan_stack(spark: SparkSession, values_path: str, covariance_path: str | None, members: DataFrame, stack: str, keys: Sequence[str], key: str, dataset: str = "dataset", **coordinates) -> tuple[DataFrame, DataFrame]:
+    """Values (stack, keys, sumw, sumw2) and covariance (stack, i, j, cov) of a named stack of partitioned binned tables.
+
+    The stack's datasets are found at run time (`stack_members`, a short table that is broadcast) and prune the
+    partitions of both tables by `dataset`; `coordinates` prune the others. A dataset without stored covariance, or
+    no covariance table at all, counts as zero on the diagonal.
+    """
+    own = F.broadcast(members.where(F.col("stack") == stack))
+    values = scan_table(spark, values_path, **coordinates)
+    stored = None if covariance_path is None else scan_table(spark, covariance_path, **coordinates)
+    return stacked(values, own, keys, dataset), stacked_covariance(stored, values, own, key, dataset)

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.axes import agreed_binning, binnings
+
 #: Partition columns of skims, and the further ones of binned tables.
 SKIM = ("configsuite", "runtag", "dataset", "objsyst", "tbl")
 BINNED = (*SKIM, "wtsyst", "statn", "statk", "kind")
@@ -29,9 +32,19 @@ def scan_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
 
 
 def write_table(df: DataFrame, path: str, mode: str = "append", **coordinates) -> None:
-    """Writes under Hive-style partition columns; files of other coordinates stay."""
+    """Writes under Hive-style partition columns; files of other coordinates stay.
+
+    Raises if the table is there and one of its columns carries another binning: one output holds one binning.
+    """
     for k, v in coordinates.items():
         df = df.withColumn(k, F.lit(v))
+    if binnings(df):
+        try:
+            there = df.sparkSession.read.parquet(path)
+        except AnalysisException:  # nothing there yet
+            there = None
+        if there is not None:
+            agreed_binning(there, df)
     df.write.mode(mode).partitionBy(*coordinates).parquet(path)
 
 
@@ -104,7 +117,46 @@ def empty_or_corrupt(spark: SparkSession, path: str, glob: str = "*.parquet") ->
     return listed.join(file_rows(spark, path, glob).where("n > 0 and n = n_read"), "file", "left_anti")
 
 
-def binned(spark: SparkSession, values_path: str, covariance_path: str | None = None, **coordinates) -> tuple[DataFrame, DataFrame | None]:
-    """Values and, if there is one, covariance of a binned table."""
+def binned(spark: SparkSession, values_path: str, covariance_path: str | None = None, key: str = "i", **coordinates) -> tuple[DataFrame, DataFrame]:
+    """Values and covariance (i, j, cov) of a binned table at its coordinates; a covariance that is absent is zero on the diagonal.
+
+    `key` is the values' cell column. A stack of tables: `catalog.scan_stack`.
+    """
     values = scan_table(spark, values_path, **coordinates)
-    return values, None if covariance_path is None else scan_table(spark, covariance_path, **coordinates)
+    zero = values.select(F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("cov"))
+    if covariance_path is None:
+        return values, zero.distinct()
+    stored = scan_table(spark, covariance_path, **coordinates).select("i", "j", "cov")
+    return values, stored.unionByName(zero).groupBy("i", "j").agg(F.sum("cov").alias("cov"))
+
+
+def partition_files(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """A row per file below a partitioned table: its coordinates `keys` (as text) and bytes, from the listing alone.
+
+    Nothing is opened. Files of no bytes are listed too, which scans leave out.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    decoded = lambda c: F.url_decode(F.replace(c, F.lit("+"), F.lit("%2B")))
+    plain = lambda c: F.regexp_replace(c, "^([^:/]+:)/+", "$1/")  # noqa: E731  one spelling of file:/ and file:///
+    listed = spark.createDataFrame([(f,) for f in files.inputFiles()], "uri string").select(plain(decoded(F.col("uri"))).alias("path"))
+    sized = listed.join(files.select(plain(F.col("path")).alias("path"), F.col("length").alias("bytes")), "path", "left")
+    return sized.select(*[decoded(F.regexp_extract("path", f"/{k}=([^/]*)/", 1)).alias(k) for k in keys], F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
+
+
+def partition_status(expected: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, status, bytes of binned outputs: expected partitions (keys, once each) against `partition_files`.
+
+    missing: no file; empty: files of no bytes only; extra: files at coordinates that nobody expects; else complete.
+    Coordinates are compared and given as text.
+    """
+    expected = expected.select(*[F.col(k).cast("string").alias(k) for k in keys])
+    made = files.groupBy(*keys).agg(F.sum("bytes").alias("bytes")).withColumn("_made", F.lit(True))
+    j = expected.select(*keys).withColumn("_wanted", F.lit(True)).join(made, list(keys), "full")
+    status = F.when(F.col("_made").isNull(), "missing").when(F.col("_wanted").isNull(), "extra").when(F.col("bytes") == 0, "empty").otherwise("complete")
+    return j.select(*keys, status.alias("status"), F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"))
+
+
+def binned_jobs(jobs: DataFrame, tables: Sequence[str], splits: int) -> DataFrame:
+    """jobs (dataset, objsyst, wtsyst) x tables x statistical splits: a row per binned output (tbl, statn, statk)."""
+    per = F.array(*[F.struct(F.lit(t).alias("tbl"), F.lit(splits).alias("statn"), F.lit(k).alias("statk")) for t in tables for k in range(splits)])
+    return jobs.select("*", F.inline(per))

@@ -318,14 +318,6 @@ def test_stitching_keeps_the_boundary(spark):
     assert sorted(map(tuple, rows.where(select.in_sample(flags, "ht", "vpt")).collect())) == [(69.0, 5.0), (70.0, 5.0)]
 
 
-def test_plans_are_built_without_jobs_on_files(spark, sf_dir):
-    from lumenfold.functions.lookup import small
-
-    table = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority").count()
-    assert small(table) is table
-    assert small(spark.createDataFrame([(1,)], "x int"))._jdf.queryExecution().logical().toString().startswith("'UnresolvedHint") or "ResolvedHint" in small(spark.createDataFrame([(1,)], "x int"))._jdf.queryExecution().analyzed().toString()
-
-
 def test_completeness(spark):
     want = spark.createDataFrame([("a", 10), ("b", 10), ("c", 10), ("d", 10), ("e", 10)], "file string, entries long")
     made = spark.createDataFrame([("a", 0, 5, True), ("a", 5, 10, True), ("b", 0, 4, True), ("b", 6, 10, True), ("c", 0, 10, False), ("e", 0, 6, True), ("e", 4, 10, True)], "file string, start long, stop long, ok boolean")
