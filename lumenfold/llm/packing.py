@@ -5,7 +5,7 @@ of windows per level smallest: an array holds how many windows are open at each
 windows at one level are interchangeable. Of a longer document the whole windows are cut off first. Documents are cut
 for two more reasons only: at a task's end the windows still open are joined end to end and cut anew, so that a task
 pads one window at most; and where more than `most_open` windows are open (as when all documents are just over half
-a window) the same is done at once, so that a task's memory stays bounded.
+a window) the fullest of them joins those, one at a time, so that a task's memory stays bounded and the others stay open.
 
 Map-only: no shuffle, and a task holds its open windows only. Sequence ids are the task's partition number and a
 counter, so a task that runs again gives the same ids.
@@ -49,7 +49,7 @@ class SumOfSquares:
         if whole < n:
             self._place((key, whole, ids[whole:], n))
         if self.n_open > self.most_open:
-            self._join()
+            self._close_fullest()
 
     def level(self, size: int) -> int:
         """The level of the window to use, 0 for a new one: a move from h to h + size changes the squares by
@@ -89,6 +89,13 @@ class SumOfSquares:
                 self.emit(self.rest)
                 self.rest, self.rest_fill = [], 0
 
+    def _close_fullest(self) -> None:
+        h = int(np.flatnonzero(self.count)[-1])
+        for piece in self.open[h].pop():
+            self._append(piece)
+        self.count[h] -= 1
+        self.n_open -= 1
+
     def _join(self) -> None:
         for level in self.open:
             for window in level:
@@ -109,7 +116,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 2048, end_id: int = 1, i
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     A null text is an empty one and gives the end id alone; ids may be null or repeat (each row is a document
-    of its own); a text longer than a window fills whole windows first. An empty table gives no rows.
+    of its own); a text longer than a window fills whole windows first, however long it is. A task keeps 4,096 windows
+    open at most; beyond that the documents of the fullest are cut where windows end. An empty table gives no rows.
     """
     schema = docs.select(F.col(id_column)).schema
     for name, t in PIECE:

@@ -29,10 +29,8 @@ from pyspark.sql import types as T
 from .common import forget, mix, text_blocks, words, written
 from .labelled import SAMPLE_ROWS, in_fold, labelled_texts, sample_of
 
-#: Documents of the sample that a word must be in to have a score of its own.
-LEAST_DOCS = 4
 #: Weight of the prior in documents, drift per word, standard errors taken off, and the E-value below which a segment is a toxic passage.
-PRIOR, DRIFT, ERRORS, SIGNIFICANT = 50.0, 0.15, 1.5, 1e-2
+PRIOR, DRIFT, ERRORS, SIGNIFICANT = 50.0, 0.15, 1.8, 1e-2
 MOST, LEAST = 8.0, -1.0
 #: Words behind a scoring word in which its repetition is no new evidence; passages further apart are scored each by itself.
 REPEAT = 20
@@ -136,8 +134,7 @@ def _sample_counts(texts: DataFrame) -> DataFrame:
             n, t = np.bincount(at, minlength=len(word)), np.bincount(at, toxic, minlength=len(word))
             yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t.astype(np.int64)), pa.array((n - t).astype(np.int64))], names=["word", "toxic", "clean"])
 
-    counts = texts.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    return counts.where(F.col("toxic") + F.col("clean") >= LEAST_DOCS)
+    return texts.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def _corpus_counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
