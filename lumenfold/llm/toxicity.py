@@ -119,8 +119,9 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(a + b * evidence[:, 0] + c * np.log1p(evidence[:, 1]), -60, 60)))
 
 
-def _sample_counts(texts: DataFrame) -> DataFrame:
-    """word, toxic, clean: documents of the sample with the word; bounded as the sample is."""
+def _sample_counts(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Words of the sample, sorted, and how many of its documents have each: a row for the toxic and the clean ones of
+    each half. Bounded as the sample is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text"):
@@ -129,12 +130,17 @@ def _sample_counts(texts: DataFrame) -> DataFrame:
             k, r = key[order], row[order]
             once = np.concatenate([np.ones(min(1, len(k)), bool), (k[1:] != k[:-1]) | (r[1:] != r[:-1])])
             k, r = k[once], r[once]
-            toxic = rows.column("label").to_numpy(zero_copy_only=False)[r]
+            kind = 2 * rows.column("half").to_numpy()[r] + 1 - rows.column("label").to_numpy()[r]
             word, at = np.unique(k, return_inverse=True)
-            n, t = np.bincount(at, minlength=len(word)), np.bincount(at, toxic, minlength=len(word))
-            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(t.astype(np.int64)), pa.array((n - t).astype(np.int64))], names=["word", "toxic", "clean"])
+            n = np.bincount(at * 4 + kind, minlength=4 * len(word)).reshape(-1, 4).T
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), *(pa.array(x.astype(np.int32)) for x in n)], names=["word", *names])
 
-    return texts.mapInArrow(run, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    names = ["toxic0", "clean0", "toxic1", "clean1"]
+    counts = texts.mapInArrow(run, "word long, " + ", ".join(f"{n} int" for n in names)).groupBy("word").agg(*[F.sum(n).cast("int").alias(n) for n in names])
+    table = counts.toArrow()
+    word = table.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(word)
+    return word[order], np.stack([table.column(n).to_numpy()[order] for n in names])
 
 
 def _corpus_counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -151,11 +157,11 @@ def _corpus_counts(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
                 at = np.minimum(np.searchsorted(ks, key), len(ks) - 1)
                 total[:-1] += np.bincount(at[ks[at] == key], minlength=len(ks))
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["word", "n"])
 
-    found = docs.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toPandas()
+    found = docs.select("text").mapInArrow(run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(len(keys) + 1, np.int64)
-    out[found.word.to_numpy(np.int64)] = found.n.to_numpy(np.int64)
+    out[found.column("word").to_numpy()] = found.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -184,9 +190,13 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def _word_model(counts, corpus: np.ndarray, every: int) -> Model:
-    """Scores of words and the rate, from counts (word, toxic, clean) and the corpus counts of the same words."""
-    keys, t, c = counts.word.to_numpy(np.int64).view(np.uint64), counts.toxic.to_numpy(float), counts.clean.to_numpy(float)
+def _word_model(keys: np.ndarray, toxic: np.ndarray, clean: np.ndarray, corpus: np.ndarray, every: int) -> Model:
+    """Scores of words and the rate, from the documents of each kind that have them and the words' corpus counts.
+
+    Words that score as any other word does are not kept: their scores are what the model gives without them.
+    """
+    seen = toxic + clean > 0
+    keys, corpus, t, c = keys[seen], corpus[seen], toxic[seen].astype(float), clean[seen].astype(float)
     if not t.sum() or not c.sum():
         return Model(np.zeros(0, np.uint64), np.zeros(0), -DRIFT, 1.0, 0.0, (-4.0, 0.0, 0.0))
     prior = PRIOR * corpus / max(every, 1) + 0.5
@@ -199,27 +209,21 @@ def _word_model(counts, corpus: np.ndarray, every: int) -> Model:
     # lambda: over clean words; those outside the vocabulary have the score `other`
     clean = corpus * (c / np.maximum(t + c, 1))
     p = np.append(clean, max(every - corpus.sum(), 0)) / max(every - (corpus - clean).sum(), 1)
-    return Model(keys, scores, -DRIFT, _rate(p, np.append(scores, -DRIFT)), 0.0, (0.0, 1.0, 0.0))
+    rate, own = _rate(p, np.append(scores, -DRIFT)), solid != 0
+    return Model(keys[own], scores[own], -DRIFT, rate, 0.0, (0.0, 1.0, 0.0))
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model from labels.toxic outside the held-out fold. Without labelled rows of both kinds nothing is toxic."""
     half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2)).cast("int")
     texts = written(labelled_texts(docs, sample_of(labels, "toxic", folds, held_out, sample_rows)).withColumn("half", half), "toxic-sample")
-    halves = [_sample_counts(texts.where(F.col("half") == h)).toPandas() for h in (0, 1)]
-    counts = _sample_counts(texts).toPandas()
-    keys = np.unique(np.concatenate([c.word.to_numpy(np.int64).view(np.uint64) for c in (*halves, counts)]))
+    keys, (t0, c0, t1, c1) = _sample_counts(texts)
     corpus, every = _corpus_counts(docs, keys)
-
-    def of(c) -> Model:
-        c = c.iloc[np.argsort(c.word.to_numpy(np.int64).view(np.uint64))]
-        return _word_model(c, corpus[np.searchsorted(keys, c.word.to_numpy(np.int64).view(np.uint64))], every)
-
-    model = of(counts)
+    model = _word_model(keys, t0 + t1, c0 + c1, corpus, every)
     if not len(model.keys):
         return model
     # each half is seen by the model of the other
-    frozen = docs.sparkSession.sparkContext.broadcast([of(halves[1]), of(halves[0])])
+    frozen = docs.sparkSession.sparkContext.broadcast([_word_model(keys, t1, c1, corpus, every), _word_model(keys, t0, c0, corpus, every)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text"):
