@@ -119,10 +119,15 @@ def bootstrap(df: DataFrame, event: str, cell: str, weight: Column | str, replic
     per = df.where(F.col(cell).isNotNull()).groupBy(event, cell).agg(F.sum(w).alias("w"))
     drawn = per.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
     sums = drawn.groupBy("r", cell).agg(F.sum(F.col("w") * (poisson(uniform(event, "r")) if draw is None else draw)).alias("s"))
-    mean = sums.groupBy(cell).agg((F.sum("s") / replicas).alias("m"))
-    d = sums.join(mean, cell).select("r", cell, (F.col("s") - F.col("m")).alias("d"))
-    a, b = d.select("r", F.col(cell).alias("i"), F.col("d").alias("di")), d.select("r", F.col(cell).alias("j"), F.col("d").alias("dj"))
-    return mirrored(a.join(b, "r").where("i <= j").groupBy("i", "j").agg((F.sum(F.col("di") * F.col("dj")) / (replicas - 1)).alias("cov")))
+    return over_replicas(sums.select("r", F.col(cell).alias("i"), F.col("s").alias("value")), replicas)
+
+
+def over_replicas(values: DataFrame, replicas: int) -> DataFrame:
+    """i, j, cov of values (r, i, value), a row for every replica and cell: sum of d d^T / (replicas - 1) about the mean."""
+    mean = values.groupBy("i").agg((F.sum("value") / replicas).alias("_m"))
+    d = values.join(mean, "i").select("r", "i", (F.col("value") - F.col("_m")).alias("di"))
+    met = d.join(d.select("r", F.col("i").alias("j"), F.col("di").alias("dj")), "r").where("i <= j")
+    return mirrored(met.groupBy("i", "j").agg((F.sum(F.col("di") * F.col("dj")) / (replicas - 1)).alias("cov")))
 
 
 def uniform(*parts: Column | str) -> Column:

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import local
 from . import algebra
 
 NOMINAL = "nominal"
@@ -117,9 +118,53 @@ def truth(cells: DataFrame) -> DataFrame:
     return cells.groupBy("gen").agg(F.sum(nominal).alias("value")).where("value is not null")
 
 
-def fold(beta: DataFrame, cells: DataFrame, nuisances: Sequence[Nuisance], theta: DataFrame) -> DataFrame:
-    """reco, value = T(theta) [beta (1 - gamma(theta))] (1 + rho(theta)) of a truth (gen, value)."""
+def _matrices(cells: DataFrame, nuisances: Sequence[Nuisance], theta: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """T (reco, gen, t), gamma (gen, gamma) and rho (reco, rho) at theta."""
     gamma = at(gammas(cells), ["gen"], nuisances, theta).withColumnRenamed("value", "gamma")
     rho = at(rhos(cells), ["reco"], nuisances, theta).withColumnRenamed("value", "rho")
     t = at(responses(cells), ["reco", "gen"], [n for n in nuisances if n.transfer], theta).withColumnRenamed("value", "t")
-    return algebra.fold(beta, t, gamma, rho)
+    return t, gamma, rho
+
+
+def fold(beta: DataFrame, cells: DataFrame, nuisances: Sequence[Nuisance], theta: DataFrame) -> DataFrame:
+    """reco, value = T(theta) [beta (1 - gamma(theta))] (1 + rho(theta)) of a truth (gen, value)."""
+    return algebra.fold(beta, *_matrices(cells, nuisances, theta))
+
+
+def jacobian(beta: DataFrame, cells: DataFrame, nuisances: Sequence[Nuisance], theta: DataFrame) -> DataFrame:
+    """a (reco), i (parameter), d: derivatives of the fold at (beta, theta) by every truth bin ("gen:" and its number) and nuisance.
+
+    By a nuisance the three linear forms give three terms: dT [beta (1 - gamma)] (1 + rho) - T [beta dgamma] (1 + rho)
+    + T [beta (1 - gamma)] drho. For `cov.sandwich` with a covariance of the same parameters.
+    """
+    t, gamma, rho = _matrices(cells, nuisances, theta)
+    by_gen = algebra.fold_jacobian(t, gamma, rho).select("a", F.concat(F.lit("gen:"), F.col("i")).alias("i"), "d")
+    if not nuisances:
+        return by_gen
+    truth_ = beta.join(gamma, "gen", "left").select("gen", "value", (F.col("value") * (1 - F.coalesce("gamma", F.lit(0.0)))).alias("pure"))
+    met = [n for n in nuisances if n.transfer]
+    moved = deltas(responses(cells), ["reco", "gen"], met).join(truth_, "gen").select("nuisance", "reco", (F.col("delta") * F.col("pure")).alias("x")) if met else None
+    lost = deltas(gammas(cells), ["gen"], nuisances).join(truth_, "gen").join(t, "gen").select("nuisance", "reco", (-F.col("t") * F.col("value") * F.col("delta")).alias("x"))
+    lost = lost if moved is None else lost.unionByName(moved)
+    scaled = lost.groupBy("nuisance", "reco").agg(F.sum("x").alias("x")).join(rho, "reco", "left").select("nuisance", "reco", (F.col("x") * (1 + F.coalesce("rho", F.lit(0.0)))).alias("x"))
+    folded = t.join(truth_, "gen").groupBy("reco").agg(F.sum(F.col("t") * F.col("pure")).alias("_p"))
+    more = deltas(rhos(cells), ["reco"], nuisances).join(folded, "reco").select("nuisance", "reco", (F.col("delta") * F.col("_p")).alias("x"))
+    by_nuisance = scaled.unionByName(more).groupBy("nuisance", "reco").agg(F.sum("x").alias("d"))
+    return by_gen.unionByName(by_nuisance.select(F.col("reco").alias("a"), F.col("nuisance").alias("i"), "d"))
+
+
+def parameter_covariance(gen: DataFrame, nuisances: Sequence[Nuisance]) -> DataFrame:
+    """i, j, cov over the parameters of `jacobian`: the truth's (gen, variance) without correlations, and unit priors."""
+    own = gen.select(F.concat(F.lit("gen:"), F.col("gen")).alias("i"), F.col("variance").cast("double").alias("cov"))
+    if nuisances:
+        own = own.unionByName(local(gen.sparkSession, [(n.name, 1.0) for n in nuisances], "i string, cov double"))
+    return own.select("i", F.col("i").alias("j"), "cov")
+
+
+def folds(cells: DataFrame) -> DataFrame:
+    """variation, reco, value: every variation's own truth through its own matrices, as for replicas of the events."""
+    g = gammas(cells).withColumnRenamed("value", "gamma")
+    beta = cells.groupBy("variation", "gen").agg(F.sum("w").alias("b")).join(g, ["variation", "gen"]).select("variation", "gen", (F.col("b") * (1 - F.col("gamma"))).alias("pure"))
+    pure = responses(cells).join(beta, ["variation", "gen"]).groupBy("variation", "reco").agg(F.sum(F.col("value") * F.col("pure")).alias("p"))
+    rho = rhos(cells).withColumnRenamed("value", "rho")
+    return pure.join(rho, ["variation", "reco"], "left").select("variation", "reco", (F.col("p") * (1 + F.coalesce("rho", F.lit(0.0)))).alias("value"))

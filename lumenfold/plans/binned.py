@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expr, lookup, weights
 from ..functions.axes import Axis, flat_index, slots_of
-from ..operators import algebra, cov, hist, model, select, tables
+from ..operators import algebra, cov, hist, model, reweight, select, tables
 from ..sources import catalog, layout
 from .queries import (
     _COV, _GEN, _RANKED, _RECO, _VAL, DISC, KPRICE, KRECO, PRICE, QTY, TAX, _catalog, _folder, _item_fields, _items, _k, _values_and_cov, case, query, read, rounded,
@@ -75,6 +75,86 @@ def fold_nuisances(spark, sf_dir):
     return rounded(model.fold(model.truth(cells), cells, _NUISANCES, theta), value=2)
 
 
+_AT_THETA = f"""{_model_sql(_VARIED_ITEMS)},
+k(v, c) AS (VALUES {_coefficients(_THETA, _NUISANCES)}), kt(v, c) AS (VALUES {_coefficients(_THETA, [n for n in _NUISANCES if n.transfer])}),
+ga AS (SELECT gen, sum(x * c) AS gamma FROM gamma JOIN k USING (v) GROUP BY 1), ro AS (SELECT reco, sum(x * c) AS rho FROM rho JOIN k USING (v) GROUP BY 1),
+ts AS (SELECT reco, gen, sum(x * c) AS t FROM rs JOIN kt USING (v) GROUP BY 1, 2), be AS (SELECT gen, t AS b FROM g WHERE v = 'nominal')"""
+
+
+def _deltas_of(table: str, keys: str, nuisances: list[model.Nuisance]) -> str:
+    own = lambda v: f"coalesce(sum(x) FILTER (v = '{v}'), 0)"
+    return " UNION ALL ".join(f"SELECT '{n.name}' AS u, {keys}, {f'{own(n.name)} - {own(model.NOMINAL)}' if n.one_sided else f'({own(n.variations[0])} - {own(n.variations[1])}) * 0.5'} AS z FROM {table} GROUP BY {keys}" for n in nuisances)
+
+
+_JACOBIAN = f"""{_AT_THETA}, dt AS ({_deltas_of('rs', 'reco, gen', [n for n in _NUISANCES if n.transfer])}), dg AS ({_deltas_of('gamma', 'gen', _NUISANCES)}), dr AS ({_deltas_of('rho', 'reco', _NUISANCES)}),
+j AS (SELECT ts.reco AS a, 'gen:' || ts.gen AS i, ts.t * (1 - gamma) * (1 + rho) AS d FROM ts JOIN ga USING (gen) JOIN ro USING (reco)
+UNION ALL SELECT a, i, sum(d) FROM (
+  SELECT dt.reco AS a, u AS i, z * b * (1 - gamma) * (1 + rho) AS d FROM dt JOIN be USING (gen) JOIN ga USING (gen) JOIN ro USING (reco)
+  UNION ALL SELECT ts.reco, u, -ts.t * b * z * (1 + rho) FROM ts JOIN be USING (gen) JOIN dg USING (gen) JOIN ro USING (reco)
+  UNION ALL SELECT dr.reco, u, z * ts.t * b * (1 - gamma) FROM dr JOIN ts USING (reco) JOIN be USING (gen) JOIN ga USING (gen)) GROUP BY 1, 2)"""
+
+
+def _varied_cells(spark, sf_dir) -> DataFrame:
+    return model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), {n: F.expr(w) for n, w in _WEIGHTS.items()})
+
+
+def _at_theta(spark) -> DataFrame:
+    return lookup.local(spark, list(_THETA.items()), "nuisance string, theta double")
+
+
+@query(f"WITH {_JACOBIAN} SELECT a AS reco, i AS parameter, round(d, 4) + 0.0 AS derivative FROM j")
+def fold_jacobian_nuisances(spark, sf_dir):
+    """Derivatives of the fold at theta by every truth bin and every nuisance."""
+    cells = _varied_cells(spark, sf_dir)
+    j = model.jacobian(model.truth(cells), cells, _NUISANCES, _at_theta(spark))
+    return rounded(j.select(F.col("a").alias("reco"), F.col("i").alias("parameter"), F.col("d").alias("derivative")), derivative=4)
+
+
+@query(f"""WITH {_JACOBIAN}, c AS (SELECT 'gen:' || gen AS i, b AS v FROM be UNION ALL VALUES {', '.join(f"('{n.name}', 1.0)" for n in _NUISANCES)})
+SELECT x.a AS i, y.a AS j, round(sum(x.d * c.v * y.d) / 1e3, 3) + 0.0 AS cov FROM j x JOIN c ON c.i = x.i JOIN j y ON y.i = x.i GROUP BY 1, 2""")
+def fold_covariance_nuisances(spark, sf_dir):
+    """First-order covariance of the fold: the truth's (its variance as its sum) and unit priors on the nuisances."""
+    cells = _varied_cells(spark, sf_dir)
+    beta = model.truth(cells)
+    j = model.jacobian(beta, cells, _NUISANCES, _at_theta(spark))
+    c = cov.sandwich(j, model.parameter_covariance(beta.withColumnRenamed("value", "variance"), _NUISANCES))
+    return rounded(c.withColumn("cov", F.col("cov") / 1e3), cov=3)
+
+
+@query(f"""WITH {_AT_THETA}, y AS (SELECT reco, t AS y FROM r WHERE v = 'nominal'), bp AS (SELECT gen, b - 20000 AS b FROM be),
+fo AS (SELECT ts.reco, sum(ts.t * bp.b * (1 - gamma)) * (1 + any_value(rho)) AS f FROM ts JOIN bp USING (gen) JOIN ga USING (gen) JOIN ro USING (reco) GROUP BY 1)
+SELECT round((0.5 * (SELECT sum((f - y) ** 2 / y) FROM fo JOIN y USING (reco)) + 0.5 * {sum(v * v for v in _THETA.values())!r} + 2.0 * (SELECT sum(greatest(-b, 0)) FROM bp)) / 1e3, 4)::double AS loss""")
+def unfolding_objective(spark, sf_dir):
+    """Half of chi-square between the fold of a trial truth and the observed sums, half of the nuisances' squares, and a
+    penalty on negative truth."""
+    cells = _varied_cells(spark, sf_dir)
+    theta = _at_theta(spark)
+    trial = model.truth(cells).select("gen", (F.col("value") - 20000).alias("value"))
+    observed = cells.groupBy(F.col("reco").alias("i")).agg(F.sum(F.when(F.col("variation") == model.NOMINAL, F.col("w"))).alias("value"))
+    folded = model.fold(trial, cells, _NUISANCES, theta).withColumnRenamed("reco", "i")
+    inverse = observed.select("i", F.col("i").alias("j"), (1 / F.col("value")).alias("cov"))
+    out = algebra.objective(algebra.chi_square(folded, observed, inverse), theta.select(F.col("theta").alias("value")), trial, 2.0)
+    return rounded(out.select((F.col("loss") / 1e3).alias("loss")), loss=4)
+
+
+_REPLICAS = 6
+_POISSON_SQL = "CASE " + " ".join(f"WHEN u < {b!r} THEN {k}" for k, b in enumerate([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712])) + " ELSE 7 END"
+_REPLICA_ITEMS = f"""SELECT r AS v, gen, reco, bkg, l_quantity * {_POISSON_SQL} AS w FROM (SELECT t.r, {_GEN} AS gen, {_RECO} AS reco, ({_BKG}) AS bkg, l_quantity,
+('0x' || md5(l_orderkey::varchar || ':' || t.r::varchar)[1:8])::bigint / 4294967296.0::double AS u FROM lineitem, range({_REPLICAS}) t(r) WHERE l_extendedprice IS NOT NULL AND l_discount IS NOT NULL)"""
+
+
+@query(f"""WITH {_model_sql(_REPLICA_ITEMS)}, fo AS (SELECT v, rs.reco, sum(rs.x * g.t * (1 - gamma.x)) * (1 + any_value(rho.x)) AS f FROM rs JOIN g USING (v, gen) JOIN gamma USING (v, gen) JOIN rho USING (v, reco) GROUP BY 1, 2),
+m AS (SELECT reco, sum(f) / {_REPLICAS} AS m FROM fo GROUP BY 1), z AS (SELECT v, fo.reco, f - m AS z FROM fo JOIN m ON m.reco = fo.reco)
+SELECT a.reco AS i, b.reco AS j, round(sum(a.z * b.z) / {_REPLICAS - 1} / 1e3, 2) + 0.0 AS cov FROM z a JOIN z b ON a.v = b.v GROUP BY 1, 2""")
+def fold_bootstrap(spark, sf_dir):
+    """Covariance of the fold over event-level replicas: each has its own truth and matrices, all from one pass."""
+    draws = {str(r): F.col("l_quantity") * cov.poisson(cov.uniform("l_orderkey", F.lit(r))) for r in range(_REPLICAS)}
+    cells = model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), draws)
+    values = model.folds(cells).select(F.col("variation").alias("r"), F.col("reco").alias("i"), "value")
+    c = cov.over_replicas(values, _REPLICAS)
+    return rounded(c.withColumn("cov", F.col("cov") / 1e3), cov=2)
+
+
 #: Object systematics move the reconstructed price; each fills partitions of its own. One loses some cells.
 _OBJECTS = [model.Nuisance("JES", objects=True), model.Nuisance("JER", objects=True, one_sided=True)]
 _SHIFTED = {"nominal": (1.0, "true"), "JES_UP": (1.2, "true"), "JES_DN": (0.8, "l_linenumber < 6"), "JER": (1.1, "l_extendedprice < 60000")}
@@ -352,6 +432,29 @@ def muon_selection(spark, sf_dir):
 # ---- weights and streams
 
 
+_PT = Axis.regular("pt", 8, 0, 320, underflow=False)
+_NUM = "o_orderpriority IN ('1-URGENT', '2-HIGH')"
+_PTSQL = case(_PT, "(o_totalprice / 1000)")
+
+
+@query(f"""
+WITH o AS (SELECT {_PTSQL} AS pt, {_NUM} AS n, o_totalprice / 1000 AS w FROM orders WHERE o_totalprice IS NOT NULL AND o_orderpriority IS NOT NULL AND o_totalprice >= 0),
+h AS (SELECT pt, coalesce(sum(w) FILTER (n), 0) AS n, coalesce(sum(w * w) FILTER (n), 0) AS n2, coalesce(sum(w) FILTER (NOT n), 0) AS d, coalesce(sum(w * w) FILTER (NOT n), 0) AS d2 FROM o GROUP BY 1),
+t AS (SELECT sum(n) AS tn, sum(d) AS td FROM h),
+r AS (SELECT pt, (n / tn) / nullif(d / td, 0) AS ratio, sqrt((n2 / (tn * tn)) / nullif((d / td) ** 2, 0) + (n / tn) ** 2 * (d2 / (td * td)) / nullif((d / td) ** 4, 0)) AS error FROM h, t),
+s AS (SELECT pt, sum(ratio / error) OVER w / sum(1 / error) OVER w AS c FROM r WHERE pt BETWEEN 0 AND 7 AND error > 0 AND ratio IS NOT NULL WINDOW w AS (ORDER BY pt ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) UNION ALL SELECT pt, ratio FROM r WHERE pt NOT BETWEEN 0 AND 7)
+SELECT o.pt, round(sum(w) FILTER (NOT n), 3) AS before, round(sum(w * coalesce(c, 1)) FILTER (NOT n), 3) AS after, round(any_value(c), 7) AS correction FROM o LEFT JOIN s ON s.pt = o.pt GROUP BY 1""")
+def derived_reweighting(spark, sf_dir):
+    """Weights derived from the ratio of two datasets' shapes, smoothed by errors, and applied to the denominator's events."""
+    o = read(spark, sf_dir, "orders").where("o_totalprice is not null and o_orderpriority is not null").withColumn("w", F.col("o_totalprice") / 1000)
+    h = reweight.side_by_side(o, _PT, "w", F.expr(_NUM), "w")
+    table = reweight.correction(reweight.shape_ratio(h, _PT), _PT, 1, by_error=True)
+    out = reweight.corrected(o, table, _PT, "w").withColumn("pt", _PT.index("w")).where("pt is not null")
+    den = ~F.expr(_NUM)
+    out = out.groupBy("pt").agg(F.sum(F.when(den, F.col("w"))).alias("before"), F.sum(F.when(den, F.col("w") * F.col("correction"))).alias("after"), F.max("correction").alias("correction"))
+    return rounded(out, before=3, after=3, correction=7)
+
+
 @query("""
 SELECT p_partkey, round(CASE WHEN p_size < 26 OR p_size > 40 OR p_retailprice > 1500 THEN 1.0 ELSE (p_size - 25) / 10.0 END, 6)::double AS guarded FROM part WHERE p_size IS NOT NULL AND p_retailprice IS NOT NULL""")
 def guarded_weight(spark, sf_dir):
