@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import equal_bytes, ragged, text_blocks
+from .common import blank_words, equal_bytes, ragged, text_blocks
 from .grouping import lyndon_arrays
 
 #: Bytes of text worked on at once, and rounds of cutting (more would cut no run either, so this bounds time alone).
@@ -31,23 +31,6 @@ BLOCK, ROUNDS = 2 << 20, 8
 #: What separates words.
 BLANKS = r"[\x20\x09-\x0D]+"
 
-_BLANK = np.zeros(256, bool)
-_BLANK[[32, 9, 10, 11, 12, 13]] = True
-
-
-def blank_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: start and end byte and row of each word; words are what lies between blanks."""
-    word = ~_BLANK[data]
-    edge = np.zeros(len(data) + 1, bool)
-    edge[1:-1] = word[1:] != word[:-1]
-    edge[offsets] = True
-    bounds = np.flatnonzero(edge)
-    starts, ends = bounds[:-1], bounds[1:]
-    keep = word[starts]
-    starts, ends = starts[keep], ends[keep]
-    return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
-
-
 def stretches(symbol: np.ndarray, row: np.ndarray, least: int, repeats: int) -> tuple[np.ndarray, np.ndarray]:
     """First place and length of the stretches of words that can hold a run: see the cutting above."""
     place, own = np.arange(len(symbol)), row.astype(np.int64)

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, text_blocks
+from .tokens import stand_ins
 
 #: Runs of word bytes, and of the others, in a text without blanks.
 RUNS = re.compile(b"([%b]+)|[^%b]+" % ((re.escape(bytes(x for x in range(256) if WORD[x])),) * 2))
@@ -34,9 +35,7 @@ def load_pieces(path: str) -> list[bytes]:
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     special = {t["content"] for t in spec.get("added_tokens", [])}
-    # The byte-level alphabet: printable Latin-1 stands for itself, the other bytes for the characters from 256 on.
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    back = {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in own)}
+    back = {c: b for b, c in enumerate(stand_ins())}
     return [bytes(back[c] for c in t) for t in spec["model"]["vocab"] if t not in special]
 
 

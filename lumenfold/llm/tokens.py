@@ -32,7 +32,7 @@ def _classes() -> np.ndarray:
 CLASSES = _classes()
 
 
-def _stand_ins() -> list[str]:
+def stand_ins() -> list[str]:
     """The character by which a byte-level vocabulary writes each byte."""
     own = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -115,7 +115,7 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         _expect_plain_bytes(json.loads(self.library.to_str()))
         self.model = self.library.model
-        self.table = dict(enumerate(_stand_ins()))
+        self.table = dict(enumerate(stand_ins()))
         self.special = [t.content.encode() for t in self.library.get_added_tokens_decoder().values()]
         self._forget()
 
