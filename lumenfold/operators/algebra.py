@@ -194,19 +194,52 @@ def marginalise(cov: DataFrame, k: int) -> DataFrame:
     return cov.where((F.col("i") != k) & (F.col("j") != k))
 
 
-def condition(values: DataFrame, cov: DataFrame, k: int, at: float) -> tuple[DataFrame, DataFrame]:
-    """Values and covariance given that entry k is `at`: a rank-one update.
+def _pivots(cov: DataFrame, ks: Sequence[int], values: DataFrame | None = None, at: Sequence[float] = ()) -> DataFrame:
+    """One row for conditioning on entries ks one after the other: per step s the covariance's column _c<s> as it is then,
+    its diagonal entry _p<s>, and how far the entry moves, _m<s>; and _ks, the entries.
 
-    Entry k's column of the covariance, its variance and value become one row, as long as the binning, which is
-    broadcast; so neither table is filtered and read again.
+    One aggregation takes all columns; what a step does to the later ones is arithmetic of that row, which is as long
+    as the binning times the steps.
+    """
+    take = [F.map_from_entries(F.collect_list(F.when(F.col("j") == k, F.struct("i", "cov")))).alias(f"_c{s}") for s, k in enumerate(ks)]
+    known = F.collect_set(F.when(F.col("i").isin(list(ks)), F.col("i"))).alias("_ks")
+    row = cov.agg(*take, known)
+    if values is not None:
+        entries = values.agg(*[F.max(F.when(F.col("i") == k, F.col("value"))).alias(f"_x{s}") for s, k in enumerate(ks)])
+        row = row.crossJoin(F.broadcast(entries))  # one row
+    none = F.lit(0.0)
+    for s, k in enumerate(ks):
+        own = f"_c{s}"
+        row = row.withColumn(f"_p{s}", F.try_element_at(own, F.lit(k)))
+        if values is not None:
+            row = row.withColumn(f"_m{s}", F.lit(float(at[s])) - F.col(f"_x{s}"))
+        for t in range(s + 1, len(ks)):
+            share = F.coalesce(F.try_element_at(f"_c{t}", F.lit(k)), none) / F.col(f"_p{s}")
+            row = row.withColumn("_share", share)
+            row = row.withColumn(f"_c{t}", F.map_zip_with(f"_c{t}", own, lambda i, x, y: F.coalesce(x, none) - F.coalesce(y, none) * F.col("_share"))).drop("_share")
+            if values is not None:
+                row = row.withColumn(f"_x{t}", F.col(f"_x{t}") + F.coalesce(F.try_element_at(own, F.lit(ks[t])), none) / F.col(f"_p{s}") * F.col(f"_m{s}"))
+    return row
+
+
+def condition_on(values: DataFrame, cov: DataFrame, at: dict[int, float]) -> tuple[DataFrame, DataFrame]:
+    """Values and covariance given that some entries have these values: a rank-one update each, all in one join.
+
+    Neither table is filtered and read again: what the updates need becomes one row that is broadcast.
     """
-    column = cov.agg(F.map_from_entries(F.collect_list(F.when(F.col("j") == k, F.struct("i", "cov")))).alias("_c"), F.max(F.when((F.col("i") == k) & (F.col("j") == k), F.col("cov"))).alias("_p"))
-    entry = values.agg(F.max(F.when(F.col("i") == k, F.col("value"))).alias("_x"), F.max(F.when(F.col("i") == k, F.col("i"))).alias("_k"))
-    pivot = F.broadcast(column.crossJoin(F.broadcast(entry)))  # one row
-    v = values.crossJoin(pivot).where(F.col("i") != F.col("_k"))
-    new_values = v.select("i", (F.col("value") + _at("_c", "i") / F.col("_p") * (F.lit(at) - F.col("_x"))).alias("value"))
-    c = cov.crossJoin(pivot).where((F.col("i") != F.col("_k")) & (F.col("j") != F.col("_k")))
-    return new_values, c.select("i", "j", (F.col("cov") - _at("_c", "i") * _at("_c", "j") / F.col("_p")).alias("cov"))
+    ks = list(at)
+    steps = range(len(ks))
+    pivot = F.broadcast(_pivots(cov, ks, values, list(at.values())))
+    stays = lambda c: ~F.array_contains("_ks", F.col(c))
+    moved = sum((_at(f"_c{s}", "i") / F.col(f"_p{s}") * F.col(f"_m{s}") for s in steps), F.lit(0.0))
+    less = sum((_at(f"_c{s}", "i") * _at(f"_c{s}", "j") / F.col(f"_p{s}") for s in steps), F.lit(0.0))
+    v = values.crossJoin(pivot).where(stays("i")).select("i", (F.col("value") + moved).alias("value"))
+    return v, cov.crossJoin(pivot).where(stays("i") & stays("j")).select("i", "j", (F.col("cov") - less).alias("cov"))
+
+
+def condition(values: DataFrame, cov: DataFrame, k: int, at: float) -> tuple[DataFrame, DataFrame]:
+    """Values and covariance given that entry k is `at`."""
+    return condition_on(values, cov, {k: at})
 
 
 def baseline(values: DataFrame, cov: DataFrame, base: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -217,15 +250,14 @@ def baseline(values: DataFrame, cov: DataFrame, base: DataFrame) -> tuple[DataFr
 
 
 def nuisance_contribution(values: DataFrame, cov: DataFrame, nuisances: Sequence[int], chosen: int) -> DataFrame:
-    """i, contribution: variance with only `chosen` free less the variance with all nuisances fixed."""
-    free, fixed = (values, cov), (values, cov)
-    for k in nuisances:
-        if k != chosen:
-            free = condition(*free, k, 0.0)
-        fixed = condition(*fixed, k, 0.0)
-    a = marginalise(free[1], chosen).where("i = j").select("i", F.col("cov").alias("a"))
-    b = fixed[1].where("i = j").select("i", F.col("cov").alias("b"))
-    return a.join(b, "i").select("i", (F.col("a") - F.col("b")).alias("contribution"))
+    """i, contribution: variance with only `chosen` free less the variance with all nuisances fixed.
+
+    With the others fixed first, that is what fixing `chosen` takes away. (The values do not matter.)
+    """
+    ks = [k for k in nuisances if k != chosen] + [chosen]
+    last = len(ks) - 1
+    out = cov.crossJoin(F.broadcast(_pivots(cov, ks))).where((F.col("i") == F.col("j")) & ~F.array_contains("_ks", F.col("i")))
+    return out.select("i", (_at(f"_c{last}", "i") * _at(f"_c{last}", "i") / F.col(f"_p{last}")).alias("contribution"))
 
 
 def objective(chi2: DataFrame, theta: DataFrame, truth: DataFrame, penalty: float) -> DataFrame:

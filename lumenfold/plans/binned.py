@@ -206,6 +206,24 @@ def nuisance_contributions(spark, sf_dir):
     return rounded(algebra.nuisance_contribution(*_values_and_cov(spark, sf_dir), [1, 3, 4], 4), contribution=2)
 
 
+def _shifted(steps: dict[int, float]) -> str:
+    """CTEs v0, v1, ...: the values conditioned on each entry in turn, beside `_conditioned`."""
+    out = ["v0 AS (SELECT i, value FROM v)"]
+    for n, (k, at) in enumerate(steps.items()):
+        out.append(f"v{n + 1} AS (SELECT x.i, x.value + coalesce(a.cov, 0) / p.cov * ({at!r} - y.value) AS value FROM v{n} x JOIN (SELECT value FROM v{n} WHERE i = {k}) y ON true JOIN (SELECT cov FROM c{n} WHERE i = {k} AND j = {k}) p ON true LEFT JOIN c{n} a ON a.i = x.i AND a.j = {k} WHERE x.i <> {k})")
+    return ", ".join(out)
+
+
+_FIXED = {4: 100.0, 1: 5000.0, 3: 20.0}
+
+
+@query(f"WITH {_COV}, {_VAL}, {_conditioned(list(_FIXED))}, {_shifted(_FIXED)} SELECT c3.i, c3.j, round(c3.cov, 2) AS cov, round(v3.value, 3) AS value FROM c3 JOIN v3 ON v3.i = c3.i")
+def condition_several(spark, sf_dir):
+    """Values and covariance given that three entries have stated values."""
+    v, c = algebra.condition_on(*_values_and_cov(spark, sf_dir), _FIXED)
+    return rounded(c.join(v, "i"), cov=2, value=3)
+
+
 # ---- chi-square of shapes
 
 

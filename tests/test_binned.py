@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.functions import axes, lookup
 from lumenfold.functions.axes import Axis
-from lumenfold.operators import algebra, cov, hist, model, select, tables
+from lumenfold.operators import algebra, cov, hist, model, reweight, select, tables
 from lumenfold.plans import binned, queries
 from lumenfold.sources import catalog, layout
 from lumenfold.streaming import fill
@@ -99,6 +99,31 @@ def test_fold_is_the_product_of_three_linear_forms(spark, sf_dir):
     assert got == pytest.approx({b: want[place[b]] for b in got}, rel=1e-9) and len(got) >= 4
 
 
+def test_jacobian_is_the_folds_slope(spark, sf_dir):
+    """Every derivative against a difference quotient of the fold itself."""
+    cells = cells_of(spark, sf_dir).persist()
+    theta = {"disc": 0.3, "tax": -0.6, "line": 0.2}
+    table = lambda t: lookup.local(spark, list(t.items()), "nuisance string, theta double")
+    beta = {r.gen: r.value for r in model.truth(cells).collect()}
+    truth = lambda b: lookup.local(spark, list(b.items()), "gen int, value double")
+    fold = lambda b, t: {r.reco: r.value for r in model.fold(truth(b), cells, binned._NUISANCES, table(t)).collect()}
+    j = {(r.a, r.i): r.d for r in model.jacobian(truth(beta), cells, binned._NUISANCES, table(theta)).collect()}
+    for n in binned._NUISANCES:
+        up, down = (fold(beta, theta | {n.name: theta[n.name] + h}) for h in (1e-3, -1e-3))
+        for reco in up:
+            assert j[reco, n.name] == pytest.approx((up[reco] - down[reco]) / 2e-3, rel=1e-4, abs=1e-3)
+    base = fold(beta, theta)
+    g = max(beta, key=beta.get)
+    more = fold(beta | {g: beta[g] + 1}, theta)
+    for reco in base:
+        assert j.get((reco, f"gen:{g}"), 0.0) == pytest.approx(more[reco] - base[reco], abs=1e-5)
+    c = model.parameter_covariance(lookup.local(spark, [(g, 9.0)], "gen int, variance double"), binned._NUISANCES)
+    assert {(r.i, r["cov"]) for r in c.collect()} == {(f"gen:{g}", 9.0), ("disc", 1.0), ("tax", 1.0), ("line", 1.0)}
+    nominal = {r.reco: r.value for r in model.folds(cells).where("variation = 'nominal'").collect()}
+    assert nominal == pytest.approx(fold(beta, dict.fromkeys(theta, 0.0)))
+    cells.unpersist()
+
+
 def test_variations_by_name_and_missing_bins(spark):
     varied = spark.createDataFrame([("nominal", 0, 1.0), ("nominal", 1, 2.0), ("A_UP", 0, 3.0), ("A_DN", 1, 5.0), ("B", 0, 4.0)], "variation string, gen int, value double")
     nuisances = [model.Nuisance("A", objects=True), model.Nuisance("B", objects=True, one_sided=True)]
@@ -217,6 +242,41 @@ def test_chi_square_of_tables(spark):
     assert tuple(algebra.chi_square(a.limit(0), b.limit(0), table).first()) == (0.0, 0)
 
 
+def test_conditioning_equals_numpy(spark):
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(6, 6))
+    c, x = a @ a.T + np.eye(6), rng.normal(size=6)
+    c[2, 5] = c[5, 2] = 0.0
+    at = {1: 0.5, 4: -2.0, 2: 1.0}
+    cov_ = spark.createDataFrame([(i, j, float(c[i, j])) for i in range(6) for j in range(6) if c[i, j]], "i int, j int, cov double")
+    values = spark.createDataFrame([(i, float(x[i])) for i in range(6)], "i int, value double")
+    k, rest = list(at), [0, 3, 5]
+    gain = c[np.ix_(rest, k)] @ np.linalg.inv(c[np.ix_(k, k)])
+    v, m = algebra.condition_on(values, cov_, at)
+    assert {r.i: r.value for r in v.collect()} == pytest.approx(dict(zip(rest, x[rest] + gain @ (np.array(list(at.values())) - x[k]), strict=True)))
+    want = c[np.ix_(rest, rest)] - gain @ c[np.ix_(k, rest)]
+    assert {(r.i, r.j): r["cov"] for r in m.collect()} == pytest.approx({(p, q): want[i, j] for i, p in enumerate(rest) for j, q in enumerate(rest)})
+    free = algebra.condition_on(values, cov_, {1: 0.0, 4: 0.0})[1].where("i = j")
+    want = {r.i: r["cov"] - w for r in free.collect() if r.i in rest for w in [want[rest.index(r.i), rest.index(r.i)]]}
+    got = {r.i: r.contribution for r in algebra.nuisance_contribution(values, cov_, [1, 2, 4], 2).collect()}
+    assert got == pytest.approx(want)
+
+
+def test_derived_corrections(spark):
+    axis = Axis.regular("pt", 4, 0, 4)
+    rows = spark.createDataFrame([(0.5, True)] * 6 + [(1.5, True)] * 2 + [(0.5, False)] * 2 + [(1.5, False)] * 2 + [(9.0, True), (2.5, True), (None, True), (0.5, None)], "x double, data boolean")
+    h = reweight.side_by_side(rows, axis, "x", F.col("data"))
+    assert {r.pt: (r.n, r.d) for r in h.collect()} == {0: (6, 2), 1: (2, 2), 2: (1, 0), 4: (1, 0)}
+    ratio = reweight.shape_ratio(h, axis)
+    got = {r.pt: r.ratio for r in ratio.collect()}
+    assert got == pytest.approx({0: 0.6 / 0.5, 1: 0.2 / 0.5, 2: None, 4: None}) and axes.binnings(ratio, ["pt"]) == {"pt": axis.metadata[axes.BINNING]}
+    plain = reweight.correction(ratio, axis)
+    assert {r.x: r.correction for r in reweight.corrected(rows.select("x").distinct(), plain, axis, "x").collect()} == pytest.approx({0.5: 1.2, 1.5: 0.4, 2.5: 1.0, 9.0: 1.0, None: 1.0})
+    smooth = {r.pt: r.value for r in reweight.correction(ratio, axis, 1).collect()}
+    assert smooth == pytest.approx({0: 0.8, 1: 0.8, 4: None})
+    assert reweight.correction(ratio, axis, 1, by_error=True).where("value is not null").count() == 2
+
+
 # ---- selections and leading items
 
 
