@@ -159,7 +159,7 @@ def count_ids(tokens: DataFrame, width: str) -> DataFrame:
 def write_files(tokens: DataFrame, width: str, path: str, id_column: str = "doc_id") -> None:
     """Writes the token files under `path`: blocks, codebook (token, length of its code) and shards (shard, n_tokens).
 
-    Blocks are in ascending id order (nulls first, equal ids by content). The three tables are all a reader needs.
+    Blocks are in ascending id order (nulls first, equal ids by a hash of their content). The three tables are all a reader needs.
     """
     spark = tokens.sparkSession
     found = count_ids(tokens, width).toPandas()  # one row per vocabulary entry at most
@@ -208,11 +208,13 @@ def write_files(tokens: DataFrame, width: str, path: str, id_column: str = "doc_
         if held:
             yield block()
 
+    # rows of one id (or of none) are spread by their content, and rows that repeat by their place in the table
+    keys_ = [id_column, "_content", "_place"]
     ordered = (
-        tokens.select(id_column, "ids")
-        .repartitionByRange(shards, id_column)
-        .sortWithinPartitions(id_column, "ids")
-        .withColumn("_shard", F.spark_partition_id().cast("long"))
+        tokens.select(id_column, "ids", F.xxhash64("ids").alias("_content"), F.monotonically_increasing_id().alias("_place"))
+        .repartitionByRange(shards, *keys_)
+        .sortWithinPartitions(*keys_)
+        .select(id_column, "ids", F.spark_partition_id().cast("long").alias("_shard"))
     )
     ordered.mapInArrow(run, schema).write.option("compression", "uncompressed").parquet(f"{path}/blocks")
     used = np.flatnonzero(length)

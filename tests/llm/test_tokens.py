@@ -233,3 +233,15 @@ def test_token_counts_of_punctuation_and_capitals(spark):
     out = token_counts.count_tokens(spark.createDataFrame([(k, t, "clash") for k, t in enumerate(texts)], DOCS), PATH).collect()
     assert {r.doc_id: r.n_tokens for r in out} == {k: brute(t) for k, t in enumerate(texts)}
     assert {r.doc_id: r.n_words for r in out} == {0: 0, 1: 5, 2: 7, 3: 2, 4: 3, 5: 3, 6: 1, 7: 0, 8: 1}
+
+
+def test_rows_without_ids_are_spread_over_shards(spark, tmp_path):
+    """A third of all rows have no id, and many repeat: no shard gets all of them, and places stay gapless."""
+    rows = [(None, f"text {k}") for k in range(200)] + [(5, "same text")] * 200 + [(k, f"own {k}") for k in range(100, 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = token_files.round_trip(docs, PATH, path=str(tmp_path / "files")).collect()
+    found.sort(key=lambda r: r.start)
+    assert [r.start for r in found] == np.cumsum([0, *[r.n_tokens for r in found]])[:-1].tolist() and len(found) == len(rows)
+    assert [r.doc_id for r in found] == sorted((r.doc_id for r in found), key=lambda x: (x is not None, x))
+    per = spark.read.parquet(str(tmp_path / "files/shards")).agg({"n_tokens": "max", "shard": "count"}).first()
+    assert per["max(n_tokens)"] < 0.5 * sum(r.n_tokens for r in found) and per["count(shard)"] == 4
