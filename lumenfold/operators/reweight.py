@@ -6,10 +6,10 @@ the bin that each event falls in.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.axes import Axis, agreed_binning, carrying
+from ..functions.axes import Axis
 from ..functions.lookup import BROADCAST_ROWS
 from .smooth import moving_average
 
@@ -28,26 +28,28 @@ def side_by_side(df: DataFrame, axis: Axis, value: Column | str, numerator: Colu
 
 def shape_ratio(h: DataFrame, axis: Axis) -> DataFrame:
     """Adds ratio and error of both sides' shapes (each over its own total), uncorrelated; null where the denominator has nothing."""
-    total = h.agg(F.sum("n").alias("_n"), F.sum("d").alias("_d"))
+    every = Window.partitionBy()  # as long as the axis
+    h_ = h.select(*h.columns, F.sum("n").over(every).alias("_n"), F.sum("d").over(every).alias("_d"))
     n, d = F.try_divide(F.col("n"), F.col("_n")), F.try_divide(F.col("d"), F.col("_d"))
     vn, vd = F.try_divide(F.col("n2"), F.col("_n") * F.col("_n")), F.try_divide(F.col("d2"), F.col("_d") * F.col("_d"))
     error = F.sqrt(F.try_divide(vn, d * d) + F.try_divide(n * n * vd, d * d * d * d))
-    out = h.crossJoin(F.broadcast(total)).select(*h.columns, F.try_divide(n, d).alias("ratio"), error.alias("error"))  # one row
-    return carrying(out, agreed_binning(h, h, [axis.name]))
+    return h_.select(*h.columns, F.try_divide(n, d).alias("ratio"), error.alias("error"))
 
 
 def correction(ratio: DataFrame, axis: Axis, neighbours: int = 0, by_error: bool = False) -> DataFrame:
     """The axis's bin and value: the ratio, averaged over `neighbours` bins on both sides. Bins without a ratio have none.
 
-    Flow bins are left as they are and lend nothing to their neighbours. With errors a bin weighs 1 / error, and one
-    without an error counts not at all.
+    Flow bins are left as they are and lend nothing to their neighbours; bins without a ratio are left out. With errors
+    a bin weighs 1 / error, and one without an error counts not at all.
     """
     if not neighbours:
         return ratio.select(axis.name, F.col("ratio").alias("value"))
-    inside = ratio.where(F.col(axis.name).between(0, axis.bins - 1) & F.col("ratio").isNotNull() & ((F.col("error") > 0) if by_error else F.lit(True)))
-    smooth = moving_average(inside, axis.name, "ratio", neighbours, "error" if by_error else None, into="value").select(axis.name, "value")
-    flow = ratio.where(~F.col(axis.name).between(0, axis.bins - 1)).select(axis.name, F.col("ratio").alias("value"))
-    return smooth.unionByName(flow)
+    number = F.col(axis.name)
+    inside = number.between(0, axis.bins - 1)
+    usable = F.col("ratio").isNotNull() & (~inside | (F.col("error") > 0) if by_error else F.lit(True))
+    rows = ratio.withColumn("_flow", F.when(~inside, number)).where(usable)
+    smooth = moving_average(rows, axis.name, "ratio", neighbours, "error" if by_error else None, by=["_flow"], into="_smooth")
+    return smooth.select(axis.name, F.when(inside, F.col("_smooth")).otherwise(F.col("ratio")).alias("value"))
 
 
 def corrected(df: DataFrame, table: DataFrame, axis: Axis, value: Column | str, into: str = "correction") -> DataFrame:

@@ -340,6 +340,21 @@ def stack_scan(spark, sf_dir):
     return rounded(values.withColumnRenamed("total", "i").join(diagonal, ["stack", "i"]).select("stack", "i", "sumw", "cov"), sumw=3, cov=3)
 
 
+@query(f"""
+SELECT {case(_TOTAL, '(o_totalprice / 1000)')} AS i, round(sum(o_totalprice / 1000), 3) AS sumw, CASE WHEN {case(_TOTAL, '(o_totalprice / 1000)')} < 3 THEN round(sum((o_totalprice / 1000) ** 2), 3) ELSE 0 END::double AS cov
+FROM orders WHERE o_totalprice >= 0 AND o_orderpriority = '2-HIGH' GROUP BY 1""")
+def binned_scan(spark, sf_dir):
+    """One dataset's values and covariance by their coordinates; where no covariance is stored it is zero."""
+    path = _folder(spark, "binned")
+    o = read(spark, sf_dir, "orders").where("o_totalprice >= 0").withColumnRenamed("o_orderpriority", "dataset")
+    h = hist.histogram(o, [_TOTAL], [F.col("o_totalprice") / 1000], F.col("o_totalprice") / 1000, by=["dataset"])
+    h.write.partitionBy("dataset").parquet(f"{path}/values")
+    h.where("total < 3").select("dataset", F.col("total").alias("i"), F.col("total").alias("j"), F.col("sumw2").alias("cov")).write.partitionBy("dataset").parquet(f"{path}/covariances")
+    values, covariance = layout.binned(spark, f"{path}/values", f"{path}/covariances", "total", dataset="2-HIGH")
+    out = values.withColumnRenamed("total", "i").join(covariance.where("i = j"), "i")
+    return rounded(out.select("i", "sumw", "cov"), sumw=3, cov=3)
+
+
 _JOBS = {"objects": ["nominal", "JES_UP", "JES_DN"], "weights": ["nominal", "puUp"]}
 _WANTED = f"""d AS (SELECT DISTINCT o_orderpriority AS dataset FROM orders),
 j AS (SELECT dataset, o AS objsyst, w AS wtsyst FROM d, (VALUES ('nominal'), ('JES_UP'), ('JES_DN')) a(o), (VALUES ('nominal'), ('puUp')) b(w) WHERE dataset <> '5-LOW' UNION ALL SELECT dataset, 'DATA', 'nominal' FROM d WHERE dataset = '5-LOW'),
@@ -447,6 +462,36 @@ def muon_selection(spark, sf_dir):
     return rounded(out, n=3)
 
 
+@query(f"""
+WITH {_RANKED}, p AS (SELECT l_orderkey, {', '.join(f"max({c}) FILTER (k = {k}) AS {n}{k}" for k in (1, 2) for c, n in (('l_extendedprice', 'p'), ('eta', 'e'), ('phi', 'f'), ('mass', 'm')))} FROM l GROUP BY 1 HAVING max(n) >= 2),
+v AS (SELECT l_orderkey, p1 * cos(f1) + p2 * cos(f2) AS px, p1 * sin(f1) + p2 * sin(f2) AS py, p1 * sinh(e1) + p2 * sinh(e2) AS pz, sqrt((p1 * cosh(e1)) ** 2 + m1 ** 2) + sqrt((p2 * cosh(e2)) ** 2 + m2 ** 2) AS en FROM p)
+SELECT l_orderkey, round(sqrt(px * px + py * py) / 1000, 5) AS pt, round(asinh(pz / sqrt(px * px + py * py)), 6) AS eta, round(atan2(py, px), 6) AS phi, round(sqrt(greatest(en * en - px * px - py * py - pz * pz, 0)) / 1000, 4) AS mass,
+  round(0.5 * ln((en + pz) / (en - pz)), 5) AS y FROM v WHERE px * px + py * py > 1""")
+def pair_kinematics(spark, sf_dir):
+    """All five quantities of the two leading items' four-vector sum."""
+    rows = _items(spark, sf_dir).select("l_orderkey", *_item_fields())
+    top = tables.leading(rows, "l_orderkey", ["order", "l_linenumber"], 2).where("n_leading = 2")
+    z = top.select("l_orderkey", expr.four_sum(F.col("leading1"), F.col("leading2")).alias("z")).where("z.pt > 1")
+    out = z.select("l_orderkey", (F.col("z.pt") / 1000).alias("pt"), "z.eta", "z.phi", (F.col("z.mass") / 1000).alias("mass"), "z.y")
+    return rounded(out, pt=5, eta=6, phi=6, mass=4, y=5)
+
+
+@query("""
+SELECT l_orderkey, count(*) FILTER (l_extendedprice > 10000 AND abs((l_quantity - 25) / 10) < 2 AND l_returnflag = 'R' AND abs(l_discount - 0.05) < 0.04 AND abs(l_tax - 0.04) < 0.03)::int AS flagged,
+  count(*) FILTER (l_linenumber >= 3 AND abs(l_tax - 0.04) < 0.03)::int AS levelled, count(*)::int AS n FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY 1""")
+def item_quality_limits(spark, sf_dir):
+    """Item selections with every limit on: by a flag, and by the least level of an id."""
+    item = F.struct(
+        F.col("l_extendedprice").alias("pt"), ((F.col("l_quantity") - 25) / 10).alias("eta"), (F.col("l_returnflag") == "R").alias("good"), F.col("l_linenumber").alias("level"),
+        (F.col("l_discount") - 0.05).alias("dxy"), (F.col("l_tax") - 0.04).alias("dz"),
+    )
+    items = _items(spark, sf_dir).groupBy("l_orderkey").agg(F.collect_list(item).alias("items"))
+    e = items.join(read(spark, sf_dir, "orders"), F.col("o_orderkey") == F.col("l_orderkey"))
+    flagged = select.quality("items", 10000, 2, "good", None, 0.04, 0.03)
+    levelled = select.quality("items", flag="level", level=3, maximum_dz=0.03)
+    return e.select("l_orderkey", F.size(flagged).alias("flagged"), F.size(levelled).alias("levelled"), F.size("items").alias("n"))
+
+
 # ---- weights and streams
 
 
@@ -483,6 +528,17 @@ def guarded_weight(spark, sf_dir):
     return rounded(p.select("p_partkey", weights.guarded("raw", invalid=F.col("p_retailprice") > 1500).alias("guarded")), guarded=6)
 
 
+_PERIODS = [(1.0, 10.0, 0.9), (10.0, 20.5, 1.1), (30.0, 45.0, 1.25)]
+
+
+@query(f"""WITH r(lo, hi, v) AS (VALUES {', '.join(f"({a!r}::double, {b!r}::double, {v!r}::double)" for a, b, v in _PERIODS)})
+SELECT l_orderkey, l_linenumber, coalesce(v, 1.0)::double AS correction FROM lineitem LEFT JOIN r ON l_quantity >= lo AND l_quantity < hi""")
+def range_correction(spark, sf_dir):
+    """A correction by ranges that leave gaps, so that they are no axis; a value on a limit belongs to the upper range."""
+    out = lookup.range_lookup(_items(spark, sf_dir), _PERIODS, "l_quantity")
+    return out.select("l_orderkey", "l_linenumber", "correction")
+
+
 _VALUES = Axis.regular("value", 12, 0, 120)
 
 
