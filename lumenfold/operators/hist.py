@@ -13,6 +13,16 @@ from ..functions.expr import unsigned_mod
 from ..functions.lookup import BROADCAST_ROWS
 
 
+#: Rows of a binned table up to which it is gathered in one partition.
+GATHERED = 100_000
+
+
+def gathered(h: DataFrame, cells: int) -> DataFrame:
+    """A binned table that its axes bound to `cells` rows: in one partition if these are few, so that grouping and joining it
+    needs no further shuffle. The aggregation that made it stays spread over its tasks up to their partial sums."""
+    return h.coalesce(1) if cells <= GATHERED else h
+
+
 def _col(c) -> Column:
     return c if isinstance(c, Column) else F.col(c)
 

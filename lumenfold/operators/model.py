@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lookup import local
 from . import algebra
+from .hist import gathered
 
 NOMINAL = "nominal"
 
@@ -45,19 +46,25 @@ def names(nuisances: Sequence[Nuisance]) -> list[str]:
     return [NOMINAL, *(v for n in nuisances for v in n.variations if v)]
 
 
-def filled(rows: DataFrame, gen: str, reco: str, role: Column, weights: dict[str, Column]) -> DataFrame:
-    """variation, gen, reco, role, w: sums under every weight from one aggregation of the rows."""
+def filled(rows: DataFrame, gen: str, reco: str, role: Column, weights: dict[str, Column], most: int | None = None) -> DataFrame:
+    """variation, gen, reco, role, w: sums under every weight from one aggregation of the rows.
+
+    `most` bounds the cells (gen, reco, role), as the axes' extents do; what follows then needs no shuffle if they are few.
+    """
     wide = rows.groupBy(F.col(gen).alias("gen"), F.col(reco).alias("reco"), role.alias("role")).agg(*[F.sum(w).alias(f"w_{n}") for n, w in weights.items()])
+    wide = wide if most is None else gathered(wide, most * len(weights))
     each = F.array(*[F.struct(F.lit(n).alias("variation"), F.col(f"w_{n}").alias("w")) for n in weights])
     return wide.select("gen", "reco", "role", F.inline(each))
 
 
-def filled_from_partitions(table: DataFrame, variation: str = "objsyst") -> DataFrame:
+def filled_from_partitions(table: DataFrame, variation: str = "objsyst", most: int | None = None) -> DataFrame:
     """variation, gen, reco, role, w of a table that holds each object systematic in rows (partitions) of its own.
 
-    One aggregation over all partitions: their outer union. A cell that a partition lacks is no row.
+    One aggregation over all partitions: their outer union. A cell that a partition lacks is no row. `most` bounds the
+    rows, as in `filled`.
     """
-    return table.groupBy(F.col(variation).alias("variation"), "gen", "reco", "role").agg(F.sum("w").alias("w"))
+    cells = table.groupBy(F.col(variation).alias("variation"), "gen", "reco", "role").agg(F.sum("w").alias("w"))
+    return cells if most is None else gathered(cells, most)
 
 
 def _sums(cells: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -28,6 +28,8 @@ _WEIGHTS = {
 }
 _THETA = {"disc": 0.7, "tax": -0.4, "line": 0.3}
 _BKG = "l_returnflag = 'N' OR l_linestatus = 'O'"
+#: Cells (gen, reco, role) at most.
+_CELLS = 2 * PRICE.extent**2
 _ROLE = f"CASE WHEN {_BKG} THEN 'background' ELSE 'in' END"
 
 
@@ -70,7 +72,7 @@ ts AS (SELECT reco, gen, sum(x * c) AS t FROM rs JOIN kt USING (v) GROUP BY 1, 2
 SELECT reco, round(sum(ts.t * g.t * (1 - gamma)) * (1 + any_value(rho)), 2) AS value FROM ts JOIN g ON g.gen = ts.gen AND g.v = 'nominal' JOIN ga ON ga.gen = ts.gen JOIN ro USING (reco) GROUP BY reco""")
 def fold_nuisances(spark, sf_dir):
     """The truth folded at theta: response, gamma and rho move with the nuisances (one leaves the response), from one scan."""
-    cells = model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), {n: F.expr(w) for n, w in _WEIGHTS.items()})
+    cells = _varied_cells(spark, sf_dir)
     theta = lookup.local(spark, list(_THETA.items()), "nuisance string, theta double")
     return rounded(model.fold(model.truth(cells), cells, _NUISANCES, theta), value=2)
 
@@ -95,7 +97,7 @@ UNION ALL SELECT a, i, sum(d) FROM (
 
 
 def _varied_cells(spark, sf_dir) -> DataFrame:
-    return model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), {n: F.expr(w) for n, w in _WEIGHTS.items()})
+    return model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), {n: F.expr(w) for n, w in _WEIGHTS.items()}, _CELLS)
 
 
 def _at_theta(spark) -> DataFrame:
@@ -149,7 +151,7 @@ SELECT a.reco AS i, b.reco AS j, round(sum(a.z * b.z) / {_REPLICAS - 1} / 1e3, 2
 def fold_bootstrap(spark, sf_dir):
     """Covariance of the fold over event-level replicas: each has its own truth and matrices, all from one pass."""
     draws = {str(r): F.col("l_quantity") * cov.poisson(cov.uniform("l_orderkey", F.lit(r))) for r in range(_REPLICAS)}
-    cells = model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), draws)
+    cells = model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), draws, _CELLS)
     values = model.folds(cells).select(F.col("variation").alias("r"), F.col("reco").alias("i"), "value")
     c = cov.over_replicas(values, _REPLICAS)
     return rounded(c.withColumn("cov", F.col("cov") / 1e3), cov=2)
@@ -178,7 +180,7 @@ def object_systematics(spark, sf_dir):
         rows = _binned(_items(spark, sf_dir).where(cut), f"({KRECO} * {factor!r}D)")
         filled = rows.groupBy("gen", "reco", F.expr(_ROLE).alias("role")).agg(F.sum("l_quantity").alias("w"))
         layout.write_table(filled, path, objsyst=name)
-    cells = model.filled_from_partitions(layout.scan_table(spark, path))
+    cells = model.filled_from_partitions(layout.scan_table(spark, path), most=_CELLS * len(_SHIFTED))
     none = F.lit(None).cast("int")
     parts = [("gamma", model.gammas(cells), ["gen"]), ("rho", model.rhos(cells), ["reco"]), ("response", model.responses(cells), ["reco", "gen"])]
     out = None

@@ -345,7 +345,7 @@ class _Model:
         un, out = F.col("l_returnflag") == "N", F.col("l_linestatus") == "O"
         # one aggregation of the table has all roles; no filter or dropped column makes it another one for some of them
         role = F.when(un & out, "both").when(un, "un").when(out, "out").otherwise("in").alias("role")
-        cells = rows.groupBy("gen", "reco", role).agg(F.sum("l_quantity").alias("w"))
+        cells = hist.gathered(rows.groupBy("gen", "reco", role).agg(F.sum("l_quantity").alias("w")), 4 * PRICE.extent**2)
         total = lambda key, *roles: cells.groupBy(key).agg(F.sum(F.when(F.col("role").isin(*roles) if roles else F.lit(True), F.col("w"))).alias("sumw")).where("sumw is not null")
         self.gen, self.reco = total("gen"), total("reco")
         self.gamma = algebra.background_fractions(self.gen, total("gen", "un", "both"), total("gen", "out"), "gen")
