@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -112,13 +113,23 @@ def bootstrap(df: DataFrame, event: str, cell: str, weight: Column | str, replic
     """i, j, cov of the cells' sums over event-level replicas: sum of d d^T / (replicas - 1) about the mean.
 
     Every event has one deterministic weight per replica, a function of its id, so a replica is the same on every
-    run. The default is Poisson(1) by inversion of a hashed uniform. Events are added up per cell first and the
-    expansion to replicas happens inside the partial aggregation.
+    run. The default is Poisson(1) by inversion of a hash. Events are added up per cell first and the expansion to
+    replicas happens inside the partial aggregation. Hashes cost most by far, so an event's cells, one row at most for
+    each cell there is, are brought together and it is hashed once per replica. They are dealt out over as many tasks as
+    the session has shuffle partitions: by its bytes alone the planner would merge this step into a few.
     """
     w = weight if isinstance(weight, Column) else F.col(weight)
     per = df.where(F.col(cell).isNotNull()).groupBy(event, cell).agg(F.sum(w).alias("w"))
-    drawn = per.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicas - 1))))
-    sums = drawn.groupBy("r", cell).agg(F.sum(F.col("w") * (poisson(uniform(event, "r")) if draw is None else draw)).alias("s"))
+    r = F.explode(F.sequence(F.lit(0), F.lit(replicas - 1)))
+    if draw is None:
+        tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        whole = per.repartition(tasks, event).groupBy(event).agg(F.collect_list(F.struct(cell, "w")).alias("_cells"))
+        # the hash is a column of its own: every comparison would compute it again
+        drawn = whole.withColumn("r", r).withColumn("_hash", hashed(event, "r"))
+        drawn, draw = drawn.select("r", poisson("_hash").alias("_times"), F.inline("_cells")), F.col("_times")
+    else:
+        drawn = per.withColumn("r", r)
+    sums = drawn.groupBy("r", cell).agg(F.sum(F.col("w") * draw).alias("s"))
     return over_replicas(sums.select("r", F.col(cell).alias("i"), F.col("s").alias("value")), replicas)
 
 
@@ -130,21 +141,27 @@ def over_replicas(values: DataFrame, replicas: int) -> DataFrame:
     return mirrored(met.groupBy("i", "j").agg((F.sum(F.col("di") * F.col("dj")) / (replicas - 1)).alias("cov")))
 
 
-def uniform(*parts: Column | str) -> Column:
-    """A number in [0, 1) fixed by the parts' text: the first 32 bits of their MD5, which every engine can repeat."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])), 1, 8), 16, 10).cast("double") / float(1 << 32)
+def hashed(*parts: Column | str) -> Column:
+    """The MD5 of the parts' text in hexadecimal, which every engine can repeat; null if a part is. Its first 32 bits are a number in [0, 1)."""
+    text = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.md5(F.concat(text[0], *[x for t in text[1:] for x in (F.lit(":"), t)]))
 
 
-def poisson(u: Column) -> Column:
-    """Poisson(1) of a uniform number; the tail beyond 7 has probability 1e-5 and counts as 7."""
+def poisson(hash: Column | str) -> Column:
+    """Poisson(1) of the number that a column of `hashed` stands for; the tail beyond 7 has probability 1e-5 and counts as 7, as null does.
+
+    Hexadecimal digits of one length are in the order of their numbers, so the bounds are written in them and nothing
+    is parsed.
+    """
+    h = F.col(hash) if isinstance(hash, str) else hash
     out, p, total = F.lit(7), 0.36787944117144233, 0.0
     bounds = []
     for k in range(7):
         total += p
-        bounds.append(total)
+        bounds.append(f"{math.ceil(total * (1 << 32)):08x}")
         p /= k + 1
     for k in range(6, -1, -1):
-        out = F.when(u < bounds[k], F.lit(k)).otherwise(out)
+        out = F.when(h < bounds[k], F.lit(k)).otherwise(out)
     return out
 
 

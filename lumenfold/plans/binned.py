@@ -150,8 +150,9 @@ m AS (SELECT reco, sum(f) / {_REPLICAS} AS m FROM fo GROUP BY 1), z AS (SELECT v
 SELECT a.reco AS i, b.reco AS j, round(sum(a.z * b.z) / {_REPLICAS - 1} / 1e3, 2) + 0.0 AS cov FROM z a JOIN z b ON a.v = b.v GROUP BY 1, 2""")
 def fold_bootstrap(spark, sf_dir):
     """Covariance of the fold over event-level replicas: each has its own truth and matrices, all from one pass."""
-    draws = {str(r): F.col("l_quantity") * cov.poisson(cov.uniform("l_orderkey", F.lit(r))) for r in range(_REPLICAS)}
-    cells = model.filled(_binned(_items(spark, sf_dir)), "gen", "reco", F.expr(_ROLE), draws, _CELLS)
+    draws = {str(r): F.col("l_quantity") * cov.poisson(f"_hash{r}") for r in range(_REPLICAS)}
+    rows = _binned(_items(spark, sf_dir)).withColumns({f"_hash{r}": cov.hashed("l_orderkey", F.lit(r)) for r in range(_REPLICAS)})
+    cells = model.filled(rows, "gen", "reco", F.expr(_ROLE), draws, _CELLS)
     values = model.folds(cells).select(F.col("variation").alias("r"), F.col("reco").alias("i"), "value")
     c = cov.over_replicas(values, _REPLICAS)
     return rounded(c.withColumn("cov", F.col("cov") / 1e3), cov=2)
